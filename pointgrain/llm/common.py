@@ -22,16 +22,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small derived table: a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only local sessions may lack one and get their own."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at or tempfile.mkdtemp(prefix="spark-")
+
 
-    Only local sessions without such a folder get one of their own."""
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a small derived table: a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

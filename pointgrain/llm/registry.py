@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
