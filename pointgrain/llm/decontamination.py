@@ -76,7 +76,7 @@ def merged(sorted_hits: str) -> Column:
 def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the rows that hold a window of an item."""
     mark, bad_key, bad_mark = fresh(df, "mark", "bad_key", "bad_mark")
-    bad = hits(df.select(key, text).withColumn(mark, row_hash(df)), items, text).where("n_hit > 0")
+    bad = hits(df.withColumn(mark, row_hash(df)).select(key, text, mark), items, text).where("n_hit > 0")
     bad = bad.select(F.col(key).alias(bad_key), F.col(mark).alias(bad_mark))
     same = F.col(key).eqNullSafe(F.col(bad_key)) & (F.col(mark) == F.col(bad_mark))
     return df.withColumn(mark, row_hash(df)).join(bad, same, "left_anti").drop(mark)

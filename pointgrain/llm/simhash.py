@@ -139,7 +139,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """df with one row of each component: that with the smallest key. Rows with equal keys in one component are told
     apart by a hash of the row; of equal rows one stays."""
     mark, rank = fresh(df, "mark", "rank")
-    marked = near_duplicates(df.select(key, text).withColumn(mark, row_hash(df)), key, text)
+    marked = near_duplicates(df.withColumn(mark, row_hash(df)).select(key, text, mark), key, text)
     # component_id and the fingerprint's component: the first row of each by (key, hash).
     first = marked.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(mark))).alias("first"))
     keys = first.select(F.col("first")[key].alias("kept_key"), F.col("first")[mark].alias("kept_mark"))
