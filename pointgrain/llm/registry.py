@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
