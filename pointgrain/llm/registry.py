@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
