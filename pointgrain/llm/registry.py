@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii", "language_model")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
