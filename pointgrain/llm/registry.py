@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii", "language_model")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii", "language_model", "url_filter", "token_counts")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
