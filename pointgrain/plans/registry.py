@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("contracts",)
+MODULES = ("contracts", "views", "density", "compare", "sampling", "runs")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

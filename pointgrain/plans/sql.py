@@ -42,7 +42,7 @@ def gauss(columns, mean, cov) -> str:
     """Log density through the inverse matrix rather than a substitution."""
     cov = np.asarray(cov, float)
     inv, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-    const = -0.5 * (len(mean) * math.log(2 * math.pi) + logdet)
+    const = float(-0.5 * (len(mean) * math.log(2 * math.pi) + logdet))
     return f"({const!r} - 0.5 * {quadratic(columns, mean, inv)})"
 
 
