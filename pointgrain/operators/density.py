@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -71,13 +72,14 @@ class DiagonalGaussian:
         return spark.range(n).select("id", *cells)
 
     def save(self, spark, path: str) -> None:
-        spark.createDataFrame(list(zip(self.columns, map(float, self.mean), map(float, self.var), strict=True)), "column string, mean double, var double").write.parquet(path)
+        rows = [(i, c, float(m), json.dumps(np.asarray(v).tolist())) for i, (c, m, v) in enumerate(zip(self.columns, self.mean, self.var, strict=True))]
+        spark.createDataFrame(rows, "no int, column string, mean double, var string").write.parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> DiagonalGaussian:
-        rows = spark.read.parquet(path).collect()
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["no"])  # a row for each column
         out = cls([r["column"] for r in rows])
-        out.mean, out.var = [r["mean"] for r in rows], [r["var"] for r in rows]
+        out.mean, out.var = [r["mean"] for r in rows], [json.loads(r["var"]) for r in rows]
         return out
 
 

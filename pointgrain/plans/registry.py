@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("contracts", "views", "density", "compare", "sampling", "runs")
+MODULES = ("contracts", "views", "density", "compare", "sampling", "runs", "outcomes")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
