@@ -22,19 +22,19 @@ def shard_by_bytes(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
     are replaced, all other columns are kept."""
     spark = df.sparkSession
     df = without(df, "size", "start", "shard", "slot")
-    bucket, tie, run, row, before, rows_before, total, first = fresh(df, "bucket", "tie", "run", "row", "before", "rows_before", "total", "first")
+    bucket, tie, run, row, before, rows_before, total, first, n_rows = fresh(df, "bucket", "tie", "run", "row", "before", "rows_before", "total", "first", "n_rows")
     n = buckets or bucket_count(spark)
     bounds = df.agg(F.percentile_approx(key, F.lit([i / n for i in range(n)]), F.lit(8 * n))).first()[0] or []
     hot = sorted({a for a, b in zip(bounds, bounds[1:], strict=False) if a == b})
     part = F.when(F.col(key).isNull() | F.col(key).isin(hot), F.shiftrightunsigned(tie, 56)).otherwise(F.lit(256)).cast("int")
     sized = df.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, tie: row_hash(df)})
     sized = sized.withColumn(bucket, search(sorted(set(bounds)), F.col(key)) * 512 + part)
-    totals = sized.groupBy(bucket).agg(F.sum("size").alias(total), F.count("*").alias("n_rows"))
+    totals = sized.groupBy(bucket).agg(F.sum("size").alias(total), F.count("*").alias(n_rows))
     # One row for each range: at most 8192 + 256 for each hot key, whatever the input's size.
     so_far = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = totals.select(bucket, F.coalesce(F.sum(total).over(so_far), F.lit(0)).alias(before), F.coalesce(F.sum("n_rows").over(so_far), F.lit(0)).alias(rows_before), F.sum(total).over(everything).alias(total))
-    inside = Window.partitionBy(bucket).orderBy(key, tie)
+    offsets = totals.select(bucket, F.coalesce(F.sum(total).over(so_far), F.lit(0)).alias(before), F.coalesce(F.sum(n_rows).over(so_far), F.lit(0)).alias(rows_before), F.sum(total).over(everything).alias(total))
+    inside = Window.partitionBy(bucket).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumns({run: F.sum("size").over(inside), row: F.row_number().over(inside)}).join(F.broadcast(offsets), bucket)
     start = F.col(before) + F.col(run) - F.col("size")
     middle = (2 * start + F.col("size")).cast("double") / (2 * F.col(total)).cast("double")
