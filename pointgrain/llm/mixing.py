@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import WORD, bucket_count, row_hash, saved, search, table, without
+from pointgrain.llm.common import WORD, bucket_count, fresh, row_hash, saved, search, table, without
 
 #: Fractional part of the golden ratio: multiples of it spread evenly over the unit interval.
 GOLDEN = 0.6180339887498949
@@ -39,8 +39,9 @@ def source_targets(sizes: DataFrame, source: str = "source", epochs: int = EPOCH
     level = (F.col("all_words") - before_words) / (F.col("all_weight") - before_weight)
     full = F.when(level * F.col("weight") >= epochs * F.col("source_size"), F.lit(1)).otherwise(F.lit(0))
     marked = summed.withColumns({"full": full, "level_here": level})
-    first_open = F.min(F.when(F.col("full") == 0, F.struct(F.col("source_size") / F.col("weight"), F.col("level_here")))).over(everything)
-    target = F.when(F.col("full") == 1, epochs * F.col("source_size").cast("double")).otherwise(first_open["level_here"] * F.col("weight"))
+    # The first source that is not filled has the final level; later ones took it for full.
+    final = F.first(F.when(F.col("full") == 0, F.col("level_here")), ignorenulls=True).over(everything)
+    target = F.when(F.col("full") == 1, epochs * F.col("source_size").cast("double")).otherwise(final * F.col("weight"))
     return marked.select(source, "source_size", "weight", target.alias("target"))
 
 
@@ -67,11 +68,11 @@ def schedule(spark: SparkSession, targets: list[float], n_slots: int) -> DataFra
 def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | None) -> tuple[DataFrame, DataFrame]:
     """The rows with their source's plan and their place in its stream of words, and the schedule's slots."""
     spark = df.sparkSession
-    df = without(df, "size", "source_no", "source_size", "target", "starts", "ordinal", "block", "tie", "bucket")
+    df = without(df, "size", "source_no", "source_size", "target", "starts", "ordinal", "block", "__tie", "__bucket")
     buckets = bucket_count(spark)
-    sized = df.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "tie": F.xxhash64(F.lit(seed), row_hash(df))})
-    sized = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("tie", 40), F.lit(buckets)).cast("int"))
-    totals = saved(sized.groupBy(F.col(source).alias("at_source"), F.col("bucket").alias("at_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
+    sized = df.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__tie": F.xxhash64(F.lit(seed), row_hash(df))})
+    sized = sized.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__tie", 40), F.lit(buckets)).cast("int"))
+    totals = saved(sized.groupBy(F.col(source).alias("at_source"), F.col("__bucket").alias("at_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
     known = source_targets(totals.groupBy("at_source").agg(F.sum("words").alias("source_size")), "at_source")
     listed = known.orderBy(F.col("at_source").isNull(), "at_source").limit(MAX_SOURCES + 1).collect()
     if len(listed) > MAX_SOURCES:
@@ -85,12 +86,12 @@ def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | N
     plan = spark.createDataFrame([(r["at_source"], i, r["source_size"], r["target"]) for i, r in enumerate(listed)], "name string, source_no int, source_size long, target double")
     upto = Window.partitionBy("at_source").orderBy("at_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("at_source", "at_bucket", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("words", "rows")))
-    inside = Window.partitionBy(source, "bucket").orderBy("tie", "size")
+    inside = Window.partitionBy(source, "__bucket").orderBy("__tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumns({"starts": F.sum("size").over(inside) - F.col("size"), "ordinal": F.row_number().over(inside)})
-    placed = placed.join(offsets, F.col(source).eqNullSafe(F.col("at_source")) & (F.col("bucket") == F.col("at_bucket")))
+    placed = placed.join(offsets, F.col(source).eqNullSafe(F.col("at_source")) & (F.col("__bucket") == F.col("at_bucket")))
     placed = placed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("name")))  # at most MAX_SOURCES rows
     placed = placed.withColumns({"starts": F.col("words_before") + F.col("starts"), "ordinal": F.col("rows_before") + F.col("ordinal"), "block": F.lit(block).cast("long")})
-    return placed.drop("tie", "bucket", "at_source", "at_bucket", "words_before", "rows_before", "name"), slots
+    return placed.drop("__tie", "__bucket", "at_source", "at_bucket", "words_before", "rows_before", "name"), slots
 
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1, block: int | None = None) -> DataFrame:
@@ -125,13 +126,15 @@ def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed:
     """The mix in whole rows: a row comes once for each copy whose middle word lies in a scheduled block, so 0 to
     EPOCHS times, with the columns of df. A source's ranks have no gaps, so its number of slots tells which blocks
     the schedule holds; the rows need no join with the slots. Rows without words are left out."""
-    placed, slots = placed_rows(without(df, "copy", "given"), source, text, seed, None)
+    source_, body, own = fresh(df, "source_", "body", "own")
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(own), F.col(source).alias(source_), F.col(text).alias(body))
+    placed, slots = placed_rows(packed, source_, body, seed, None)
     given = slots.groupBy(F.col("source_no").alias("of")).agg(F.count("*").alias("given"))
     limit = F.least(F.round("target").cast("long"), F.col("given") * F.col("block"))
     copy = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     with_given = placed.where(F.col("size") > 0).join(F.broadcast(given), F.col("source_no") == F.col("of"))
     middle = F.col("starts") + F.col("copy") * F.col("source_size") + F.floor(F.col("size") / 2)
-    return with_given.withColumn("copy", copy).where(middle < limit).select(*(F.col(f"`{c}`") for c in df.columns))
+    return with_given.withColumn("copy", copy).where(middle < limit).select(f"{own}.*")
 
 
 def op4_mixing(spark, sf_dir):
