@@ -41,10 +41,10 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     windows = item_windows(items, item_id, text)
     size = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
     lengths = sorted(r["length"] for r in size)
-    if sum(r["n"] for r in size) <= MAX_BROADCAST:
-        windows = F.broadcast(windows)
+    small = sum(r["n"] for r in size) <= MAX_BROADCAST
     kept = [c for c in df.columns if c != text]
-    row, all_words, codes, at, length = fresh(df, "row", "all_words", "codes", "at", "length")
+    row, all_words, codes, at, length, probed = fresh(df, "row", "all_words", "codes", "at", "length", "probed")
+    windows = windows.select(F.col("length").alias("__length"), F.col("hash").alias("__hash"), F.col("words").alias("__words"), F.col("items").alias("__items"))
     read = df.select(*kept, F.monotonically_increasing_id().alias(row), tokens(F.col(text)).alias(all_words))
     read = read.withColumns({codes: F.transform(all_words, lambda w: F.xxhash64(w)), "n_words": F.size(all_words)})
     places = read.withColumn(at, F.explode(F.sequence(F.lit(0), F.col("n_words"))))
@@ -52,12 +52,18 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     inside = (F.col(at) > 0) & (F.col(at) + F.col(length) - 1 <= F.col("n_words"))
     start = F.greatest(F.col(at), F.lit(1))  # slice refuses 0
     code = F.when(inside, F.xxhash64(F.slice(F.col(codes), start, F.col(length))))
-    probe = places.withColumn("code", code)
+    probe = places.withColumn(probed, code)
     window = F.slice(F.col(all_words), start, F.col(length))
-    on = (F.col("code") == F.col("hash")) & (F.col(length) == F.col("set_length")) & (window == F.col("words"))
-    found = probe.join(windows.withColumnRenamed("length", "set_length"), on, "left").where((F.col(at) == 0) | F.col("hash").isNotNull())
-    hit = F.when(F.col("hash").isNotNull(), F.struct(F.col(at).alias("s"), (F.col(at) + F.col(length)).alias("e")))
-    grouped = found.groupBy(row, *kept, "n_words").agg(F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    if not small:
+        # A shuffled place takes its own window along, never its text's arrays. Unhashed places get codes of their own,
+        # so that they do not meet in one task.
+        code = F.coalesce(F.col(probed), F.xxhash64(row, at))
+        probe = probe.select(*kept, row, "n_words", at, length, code.alias(probed), window.alias(all_words))
+        window = F.col(all_words)
+    on = (F.col(probed) == F.col("__hash")) & (F.col(length) == F.col("__length")) & (window == F.col("__words"))
+    found = probe.join(F.broadcast(windows) if small else windows, on, "left").where((F.col(at) == 0) | F.col("__hash").isNotNull())
+    hit = F.when(F.col("__hash").isNotNull(), F.struct(F.col(at).alias("s"), (F.col(at) + F.col(length)).alias("e")))
+    grouped = found.groupBy(row, *kept, "n_words").agg(F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("items"))
     return grouped.withColumn("spans", merged("all_hits")).withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long")).drop(row, "all_hits")
 
 
