@@ -1,5 +1,6 @@
 """The numbered operators against plain versions on the smallest tables."""
 
+import functools
 import hashlib
 import math
 import re
@@ -23,8 +24,11 @@ def docs(duck):
 
 @pytest.fixture(scope="module")
 def run(spark):
-    held = {}
-    return lambda name: held.setdefault(name, {r[0]: r for r in registry.QUERIES[name](spark, SF).collect()})
+    @functools.cache
+    def rows(name):
+        return {r[0]: r for r in registry.QUERIES[name](spark, SF).collect()}
+
+    return rows
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
