@@ -21,8 +21,8 @@ MAX_TRAIN = 12_000
 THRESHOLD = 0.3
 #: Lengths of the word starts that may become lexemes. A whole word is written with END behind it.
 STARTS, END = range(3, 9), "$"
-#: Standard errors by which a lexeme's log odds must exceed MIN_ODDS.
-SURE, MIN_ODDS = 4.0, math.log(2)
+#: Least likelihood ratio statistic and least log odds of a lexeme.
+SURE, MIN_ODDS = 20.0, 1.2
 
 PIECE = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 CLAUSE_END = frozenset(".!?;:\n")
@@ -131,7 +131,9 @@ def learn_lexicon(train: DataFrame, text: str = "text", label: str = "toxic") ->
         if a / toxic < b / clean:
             continue
         odd = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        if odd - SURE * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) * min(1.0, math.sqrt(1 + b)) > MIN_ODDS:
+        share = (a + b) / (toxic + clean)
+        ratio = 2 * (a * math.log(a / (toxic * share)) + (b * math.log(b / (clean * share)) if b else 0.0))
+        if ratio > SURE and odd > MIN_ODDS:
             odds[start] = odd
     # The closed form of a start: the longest that nearly all its toxic texts hold, so "idi" becomes "idiot" and its end.
     closed: dict[str, float] = {}
