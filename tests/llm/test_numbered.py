@@ -121,11 +121,11 @@ def test_pii_base_is_exact(run, docs):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    at = "/root/testdata/sf0.01"
+    at = "/root/testdata/sf0.1"
     rows = registry.QUERIES["op8_toxicity"](spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = sum(r["predicted"] and r["toxic"] for r in rows)
-    assert hit >= 0.6 * sum(r["toxic"] for r in rows)
-    assert hit >= 0.8 * sum(r["predicted"] for r in rows)
+    assert hit >= 0.85 * sum(r["toxic"] for r in rows)
+    assert hit >= 0.85 * sum(r["predicted"] for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
