@@ -64,8 +64,9 @@ def choose_blocks(n: int) -> int:
 
 
 def star_edges(values: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the values' components under Hamming distance of at most RADIUS: (least of component, member)."""
-    left, edges = np.unique(values), []
+    """Edges that join the values' components under Hamming distance of at most RADIUS: (least of component, member).
+    Bits are counted in unsigned numbers, since those of a negative one would be its absolute value's."""
+    left, edges = np.unique(values).view(np.uint64), []
     while len(left):
         frontier, found, left = [left[0]], [left[0]], left[1:]
         while frontier and len(left):
@@ -73,8 +74,9 @@ def star_edges(values: np.ndarray) -> list[tuple[int, int]]:
             frontier += list(new := left[near])
             found += list(new)
             left = left[~near]
-        root = min(found)
-        edges += [(int(root), int(x)) for x in found if x != root]
+        members = np.array(found, np.uint64).view(np.int64).tolist()
+        root = min(members)
+        edges += [(root, x) for x in members if x != root]
     return edges
 
 

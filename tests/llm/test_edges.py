@@ -161,6 +161,13 @@ def test_simhash(odd_rows, no_rows):
     assert simhash.near_duplicates(no_rows).count() == 0
 
 
+def test_star_edges_count_the_sign_bit():
+    a = 0x0123456789ABCDEF
+    near, far = (a ^ (1 << 63) ^ 1) - (1 << 64), ~a
+    assert simhash.star_edges(np.array([a, near], np.int64)) == [(near, a)]
+    assert simhash.star_edges(np.array([a, far], np.int64)) == []
+
+
 def test_links_of_a_crowded_key_are_whole(spark, monkeypatch):
     """A chain of fingerprints one bit apart and a dense ball, dealt over many tiles, come back as two components."""
     monkeypatch.setattr(simhash, "TILE", 16)
