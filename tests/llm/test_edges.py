@@ -1,5 +1,7 @@
 """Defined cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,15 +159,36 @@ def test_simhash(odd_rows, no_rows):
     assert len(zero) == 4 and {r["component_id"] for r in zero} == {2}
     kept = simhash.one_of_each(odd_rows)
     assert kept.columns == odd_rows.columns
-    assert kept.count() == len({r["component_id"] for r in rows})
+    assert kept.count() == len({r["component_id"] for r in rows})  # the rows hold exact copies only
+    assert simhash.one_of_each(no_rows).count() == 0
     assert simhash.near_duplicates(no_rows).count() == 0
 
 
 def test_star_edges_count_the_sign_bit():
     a = 0x0123456789ABCDEF
     near, far = (a ^ (1 << 63) ^ 1) - (1 << 64), ~a
-    assert simhash.star_edges(np.array([a, near], np.int64)) == [(near, a)]
-    assert simhash.star_edges(np.array([a, far], np.int64)) == []
+    for other, edges in ((near, [(near, a)]), (far, [])):
+        nodes = np.array([a, other], np.int64)
+        assert simhash.star_edges(nodes, nodes.view(np.uint64)[:, None], simhash.RADIUS) == edges
+
+
+def test_wide_fingerprints_measure_similarity():
+    """Pairs of texts by the similarity of their five-word shingles: nearly all above 0.85 share a block and are within
+    the radius, and hardly any below 0.6."""
+    rnd = np.random.default_rng(2)
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    linked = {True: [], False: []}
+    for _ in range(400):
+        words = [b"w%d" % x for x in rnd.integers(0, 5000, 300)]
+        other = [b"x" if rnd.random() < p else w for p in [rnd.choice([0.005, 0.01, 0.15])] for w in words]
+        a, b = shingles(words), shingles(other)
+        j = len(a & b) / len(a | b)
+        prints = np.array([np.frombuffer(simhash.wide_fingerprint(b" ".join(x)), np.uint8) for x in (words, other)])
+        close = np.bitwise_count(prints[0] ^ prints[1]).sum() <= simhash.WIDE_RADIUS
+        if j >= 0.85 or j < 0.6:
+            linked[j >= 0.85].append(close and np.any(np.equal(*simhash.wide_blocks(prints))))
+    assert np.mean(linked[True]) > 0.95 and np.mean(linked[False]) < 0.02
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(b" \n") == bytes(8 * simhash.WIDE_WORDS)
 
 
 def test_links_of_a_crowded_key_are_whole(spark, monkeypatch):
@@ -241,6 +264,35 @@ def test_url_filter(spark):
     assert url_filter.evaluate(df, e.where("false")).where("blocked").count() == 0
 
 
+def check_near_copies(texts, kept):
+    """kept, against all pairs of texts by exact Jaccard similarity of their sets of five-word shingles: of pairs at
+    0.85 or more one goes, and so for nine in ten at 0.8 or more; what goes is joined to what stays by links of at
+    least 0.65; the smallest key of each such group stays."""
+    words = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for i, t in texts.items()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in words.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    group, near = {i: i for i in texts}, []
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.65:
+                group[max(top(a), top(b))] = min(top(a), top(b))
+            if j >= 0.8:
+                near.append((j, a, b))
+    kept_set = set(kept)
+    assert len(kept) == len(kept_set)
+    left = [j for j, a, b in near if {a, b} <= kept_set]
+    assert all(j < 0.85 for j in left) and len(left) <= 0.1 * len(near)
+    assert all(top(i) in kept_set for i in ids)
+
+
 def test_pipeline_stages_agree_with_their_operators(spark):
     """Each stage against a plain reading of its operator's query on the stage's own input."""
     from tests.conftest import SF
@@ -252,8 +304,7 @@ def test_pipeline_stages_agree_with_their_operators(spark):
     toxic = {r["doc_id"] for r in toxicity.score(docs.select("doc_id", "text"), model).where("score >= 0.3").collect()}
     first = corpus_pipeline.toxicity(spark, docs, SF)
     assert {r["doc_id"] for r in first.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
-    roots = {r["component_id"] for r in simhash.near_duplicates(docs.select("doc_id", "text")).collect()}
-    assert sorted(r["doc_id"] for r in dedup(spark, docs, SF).collect()) == sorted(roots)
+    check_near_copies({r["doc_id"]: r["text"] for r in docs.collect()}, [r["doc_id"] for r in dedup(spark, docs, SF).collect()])
     bad = {r["doc_id"] for r in decontamination.hits(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").collect()}
     assert {r["doc_id"] for r in decon(spark, docs, SF).collect()} == {r["doc_id"] for r in docs.collect()} - bad
     mixed = mix(spark, docs, SF)
