@@ -28,8 +28,9 @@ CHUNK = 1 << 16
 #: Jaccard similarity J differ in about acos(2J / (1 + J)) / pi of the bits: 0.152 at 0.8, 0.194 at 0.7. The radius is
 #: 0.172 of the bits, where nine in ten pairs at 0.8 are within it.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 8, 88
-#: Blocks of a wide fingerprint: this many dealings of its bits into blocks of BLOCK_BITS bits.
-DEALINGS, BLOCK_BITS = 4, 22
+#: Blocks of a wide fingerprint: this many dealings of its bits into blocks of BLOCK_BITS bits. Shorter blocks catch
+#: more pairs, but unrelated texts share them by chance, which grows with the square of the input.
+DEALINGS, BLOCK_BITS = 8, 26
 
 
 def shingle_hashes(words: list[bytes], length: int, begin: int, end: int) -> np.ndarray:
@@ -191,8 +192,8 @@ def wide_links(values: DataFrame) -> DataFrame:
     """Edges (a, b) among nodes (columns node, print) whose wide fingerprints share a block and differ in at most
     WIDE_RADIUS bits.
 
-    Pigeonhole: as one dealing has 23 blocks, pairs within 22 bits (similarity of about 0.97 or more) always share one;
-    for others it is likely: of pairs at 0.9, 0.85 and 0.8 about 99.9, 99 and 92 in 100 share one of all the blocks.
+    Pigeonhole: as one dealing has 19 blocks, pairs within 18 bits (similarity of about 0.97 or more) always share one;
+    for others it is likely: of pairs at 0.90-0.95, 0.85-0.90 and 0.80-0.85 about 99.9, 98 and 89 in 100 are found.
     Fingerprints leave for a task only where a key is shared, and meet in tiles as in links."""
 
     def keys(batches):
