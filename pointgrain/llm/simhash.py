@@ -204,7 +204,18 @@ def wide_links(values: DataFrame) -> DataFrame:
 
     keyed = values.select("node", "print").mapInArrow(keys, "key long, node long")
     dealt = tiled(keyed, ["key"], "node").join(values.select("node", "print"), "node")
-    return tile_pairs(dealt, ["key"], "node", "print").mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long").distinct()
+    found = saved(tile_pairs(dealt, ["key"], "node", "print").mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long").distinct())
+    return fewer_edges(fewer_edges(found))
+
+
+def fewer_edges(edges: DataFrame) -> DataFrame:
+    """Edges with the same components. A node has an edge for each block that it shares with another least node; it
+    keeps that to the least of all, and the least nodes are joined with each other, where most edges are repeated. A
+    node's list is bounded by its blocks and their tiles."""
+    nodes = edges.groupBy("b").agg(F.collect_set("a").alias("all"), F.min("a").alias("a"))
+    ends = F.array_union(F.array("b"), F.array_remove("all", F.col("a")))
+    # The larger of two ends is the member, so that the next round has it in b.
+    return nodes.select("a", F.explode(ends).alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

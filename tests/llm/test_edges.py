@@ -216,6 +216,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert {roots[i] for i in range(41)} == {0} and {roots[i] for i in range(100, 160)} == {100}
 
 
+def test_fewer_edges_have_the_same_components(spark):
+    rnd = np.random.default_rng(3)
+    edges = sorted({(int(min(x)), int(max(x))) for x in rnd.integers(0, 300, (260, 2)) if x[0] != x[1]} | {(a, b) for a in range(400, 420) for b in range(420, 440)})
+    df = spark.createDataFrame(edges, "a long, b long")
+    less = simhash.fewer_edges(df)
+    roots = [sorted(map(tuple, components.connected_components(x).collect())) for x in (df, less)]
+    assert roots[0] == roots[1] and less.count() < len(edges)
+
+
 def test_language_model(spark, odd_rows, no_rows):
     model, counts = language_model.train(odd_rows)
     rows = language_model.score(odd_rows, model, counts).collect()
