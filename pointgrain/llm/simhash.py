@@ -192,7 +192,7 @@ def wide_links(values: DataFrame) -> DataFrame:
     """Edges (a, b) among nodes (columns node, print) whose wide fingerprints share a block and differ in at most
     WIDE_RADIUS bits.
 
-    Pigeonhole: as one dealing has 19 blocks, pairs within 18 bits (similarity of about 0.97 or more) always share one;
+    Pigeonhole: as one dealing has 19 blocks, pairs within 18 bits (similarity of about 0.99 or more) always share one;
     for others it is likely: of pairs at 0.90-0.95, 0.85-0.90 and 0.80-0.85 about 99.9, 98 and 89 in 100 are found.
     Fingerprints leave for a task only where a key is shared, and meet in tiles as in links."""
 
