@@ -21,10 +21,9 @@ ANCHORS = 31
 CLASSES, END_CLASS = ANCHORS + 1, ANCHORS
 #: Tokens whose class is learned from their neighbours; the class of rarer ones follows from their last letters.
 LEARNED = 1 << 15
-#: Rows of the hashed weight table.
-TABLE = 1 << 14
-#: Training texts that classes and weights are fitted on, at most; a hash of the key picks them. Counts use all texts.
-MAX_TEXTS = 6000
+#: Least and most rows of the hashed weight table; between them it grows with the square root of the corpus, as
+#: contexts do. A part of the corpus moves each row once an epoch, so parts have PART_TOKENS tokens for each row.
+TABLE, MAX_TABLE, PART_TOKENS = 1 << 14, 1 << 18, 64
 EPOCHS, PARTS, STEP, BATCH = 3, 8, 0.4, 2048
 #: Counts that a task holds before it passes them on, and tokens scored at a time.
 HELD, CHUNK = 300_000, 1 << 16
@@ -36,7 +35,7 @@ STRIP = b".,;:!?\"'()[]#%&*$|-"
 
 @dataclass
 class Model:
-    """All that scoring needs; bounded by HEAD, TABLE and CLASSES."""
+    """All that scoring needs; bounded by HEAD, MAX_TABLE and CLASSES."""
 
     words: bytes  # the head tokens by falling count, joined by blanks
     counts: np.ndarray
@@ -60,8 +59,13 @@ def suffix_class(word: bytes, suffixes: dict[bytes, int]) -> int:
     return suffixes.get(bare[-3:], suffixes.get(bare[-2:], 0))
 
 
-def features(ids: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each place but the first three, from the three places before it."""
+def table_rows(n_tokens: int) -> int:
+    """Rows of the weight table for a corpus of so many tokens, a power of two."""
+    return next((1 << b for b in range(TABLE.bit_length() - 1, MAX_TABLE.bit_length() - 1) if 1 << 2 * b >= 64 * n_tokens), MAX_TABLE)
+
+
+def features(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of the weight table of that size for each place but the first three, from the three places before it."""
     before = [ids[2 - i : len(ids) - 1 - i].astype(np.uint64) + np.uint64(1) for i in range(3)]
     out = []
     for k, use in enumerate(SALTS):
@@ -70,7 +74,7 @@ def features(ids: np.ndarray) -> list[np.ndarray]:
             if on:
                 h = (h ^ x) * np.uint64(salt)
                 h ^= h >> np.uint64(29)
-        out.append(((h * np.uint64(ODD[0])) >> np.uint64(40)).astype(np.int64) & (TABLE - 1))
+        out.append(((h * np.uint64(ODD[0])) >> np.uint64(40)).astype(np.int64) & (size - 1))
     return out
 
 
@@ -82,6 +86,19 @@ def log_softmax(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def pieces_of(texts: list[bytes | None]):
+    """The texts in runs of about 6 * CHUNK bytes, since what is derived from them is many times as large."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or b"")
+        if size >= 6 * CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode(texts: list[bytes | None], index: dict[bytes, int], suffixes: dict[bytes, int], classes: np.ndarray):
     """Ids with three begin marks before each text, their classes (-1 for begin marks), and the rare tokens' places.
 
@@ -146,26 +163,28 @@ def frequent_tokens(counts: DataFrame) -> tuple[bytes, np.ndarray]:
     return b" ".join(head.column("token").to_pylist()), head.column("c").to_numpy()
 
 
-def learn_classes(sample: DataFrame, words: bytes, n_words: int, counts: np.ndarray) -> tuple[np.ndarray, dict[bytes, int]]:
+def learn_classes(texts: DataFrame, words: bytes, n_words: int, counts: np.ndarray) -> tuple[np.ndarray, dict[bytes, int]]:
     """A frequent word's class is the anchor (one of the most frequent words) that it stands near far more often than
     chance; a suffix has the class that most occurrences of frequent words with it have."""
     top = min(n_words, LEARNED)
 
     def pairs(batches):
         index = {w: i for i, w in enumerate(words.split(b" ")[:top])} if words else {}
-        held: Counter = Counter()
+        held = np.zeros(top * ANCHORS, np.int64)
         for batch in batches:
-            array, _, _, _ = encode(batch.column(0).cast(pa.binary()).to_pylist(), index, {}, np.zeros(len(index), np.int64))
-            for gap in (1, 2, 3):
-                for a, b in ((array[:-gap], array[gap:]), (array[gap:], array[:-gap])):
-                    ok = (a < ANCHORS) & (b < top)
-                    keys, n = np.unique(b[ok] * ANCHORS + a[ok], return_counts=True)
-                    held.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
-
-    near = np.zeros((top, ANCHORS))
-    for r in sample.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        near[divmod(r["key"], ANCHORS)] = r["n"]
+            for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist()):
+                array, _, _, _ = encode(some, index, {}, np.zeros(len(index), np.int64))
+                for gap in (1, 2, 3):
+                    for a, b in ((array[:-gap], array[gap:]), (array[gap:], array[:-gap])):
+                        ok = (a < ANCHORS) & (b < top)
+                        np.add.at(held, b[ok] * ANCHORS + a[ok], 1)
+        keys = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(held[keys])], ["key", "n"])
+
+    near = np.zeros(top * ANCHORS)
+    got = texts.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # LEARNED * ANCHORS rows at most
+    near[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    near = near.reshape(top, ANCHORS)
     share = near / np.maximum(near.sum(0, keepdims=True), 1)
     learned = np.where(near.sum(1) >= 3, (share * (near >= 2)).argmax(1), -1)
     votes: dict[bytes, Counter] = {}
@@ -179,59 +198,65 @@ def learn_classes(sample: DataFrame, words: bytes, n_words: int, counts: np.ndar
     return classes, suffixes
 
 
-def learn_weights(sample: DataFrame, words: bytes, classes: np.ndarray, suffixes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the class softmax by distributed gradient updates: in each epoch every part of the sample
-    takes its own steps from the common weights, and a row of the table moves by the mean of its parts' moves."""
-    weights, bias = np.zeros((TABLE, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+def learn_weights(texts: DataFrame, words: bytes, classes: np.ndarray, suffixes: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (size rows) and bias of the class softmax by distributed gradient updates: in each epoch every part of
+    the texts takes its own steps from the common weights, and a row of the table moves by the mean of its parts' moves."""
+    weights, bias = np.zeros((size, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     row_type = f"row int, {', '.join(f'w{i} float' for i in range(CLASSES))}"
     for _ in range(EPOCHS):
 
         def steps(batches, weights=weights, bias=bias):
             index = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
-            new, base, squares = weights.copy(), bias.copy(), np.full(TABLE, 1e-2, np.float32)
-            touched = np.zeros(TABLE, bool)
+            new, base, squares = weights.copy(), bias.copy(), np.full(size, 1e-2, np.float32)
+            touched = np.zeros(size, bool)
             for batch in batches:
-                array, of, _, _ = encode(batch.column(0).cast(pa.binary()).to_pylist(), index, suffixes, classes)
-                if len(array) < 4:
-                    continue
-                rows, want = features(array), of[3:]
-                at = np.flatnonzero(want >= 0)
-                for lo in range(0, len(at), BATCH):
-                    now = at[lo : lo + BATCH]
-                    mine = [r[now] for r in rows]
-                    slope = -np.exp(log_softmax(mine, new, base))
-                    slope[np.arange(len(now)), want[now]] += 1
-                    base += (STEP * slope.mean(0)).astype(np.float32)
-                    size = (slope * slope).mean(1)
-                    for r in mine:
-                        np.add.at(squares, r, size)
-                        np.add.at(new, r, STEP / 4 * slope / np.sqrt(squares[r])[:, None])
-                        touched[r] = True
+                for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist()):
+                    array, of, _, _ = encode(some, index, suffixes, classes)
+                    rows, want = features(array, size), of[3:]
+                    at = np.flatnonzero(want >= 0)
+                    for lo in range(0, len(at), BATCH):
+                        now = at[lo : lo + BATCH]
+                        mine = [r[now] for r in rows]
+                        slope = -np.exp(log_softmax(mine, new, base))
+                        slope[np.arange(len(now)), want[now]] += 1
+                        base += (STEP * slope.mean(0)).astype(np.float32)
+                        square = (slope * slope).mean(1)
+                        for r in mine:
+                            # Sums by row: equal rows stand next to each other in the order.
+                            order = np.argsort(r)
+                            r = r[order]
+                            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                            r = r[first]
+                            squares[r] += np.add.reduceat(square[order], first)
+                            new[r] += STEP / 4 * np.add.reduceat(slope[order], first, axis=0) / np.sqrt(squares[r])[:, None]
+                            touched[r] = True
+            if not touched.any():  # a part without texts has no say in the means
+                return
             moved = np.flatnonzero(touched)
             delta = np.vstack([new[moved] - weights[moved], (base - bias)[None]]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([*moved.tolist(), TABLE], pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in delta.T)], ["row", *(f"w{i}" for i in range(CLASSES))])
+            yield pa.RecordBatch.from_arrays([pa.array([*moved.tolist(), size], pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in delta.T)], ["row", *(f"w{i}" for i in range(CLASSES))])
 
-        means = sample.mapInArrow(steps, row_type).groupBy("row").agg(*(F.avg(f"w{i}").alias(f"w{i}") for i in range(CLASSES)))
-        got = means.toArrow()  # TABLE + 1 rows at most
+        means = texts.mapInArrow(steps, row_type).groupBy("row").agg(*(F.avg(f"w{i}").cast("float").alias(f"w{i}") for i in range(CLASSES)))
+        got = means.toArrow()  # size + 1 rows
         at, move = got.column("row").to_numpy(), np.stack([got.column(f"w{i}").to_numpy() for i in range(CLASSES)], 1).astype(np.float32)
-        weights, bias = weights.copy(), bias + move[at == TABLE].sum(0)
-        weights[at[at < TABLE]] += move[at < TABLE]
+        weights, bias = weights.copy(), bias + move[at == size].sum(0)
+        weights[at[at < size]] += move[at < size]
     return weights, bias
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
-    """The model learned from all rows of df, and the counts (token, c) of all its tokens."""
+    """The model learned from all rows of df, and the counts (token, c) of all its tokens. Classes and weights take
+    every text, in parts whose number grows with the corpus; a part is whole partitions, so no text is shuffled."""
     bounded_batches(df.sparkSession)
     n_texts = df.count()
     counts = saved(count_tokens(df, text))
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     words, of_words = frequent_tokens(counts)
     n, types = stats[0] + n_texts, stats[1] + (n_texts > 0)
-    bound = 1_000_000 * MAX_TEXTS // max(n_texts, MAX_TEXTS)
-    sample = df.where(F.pmod(F.xxhash64(F.lit(3), key, text), F.lit(1_000_000)) < bound).select(text)
-    sample = saved(sample.repartition(PARTS))  # so many parts of a bounded sample, at any size of the cluster
-    classes, suffixes = learn_classes(sample, words, len(of_words), of_words)
-    weights, bias = learn_weights(sample, words, classes, suffixes)
+    size = table_rows(n)
+    texts = df.select(text).coalesce(max(PARTS, -(-n // (PART_TOKENS * size))))
+    classes, suffixes = learn_classes(texts, words, len(of_words), of_words)
+    weights, bias = learn_weights(texts, words, classes, suffixes, size)
 
     def by_class(batches):
         index = dict(zip(words.split(b" "), classes.tolist(), strict=True)) if words else {}
@@ -291,7 +316,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
                     hi += 1
                 array, of, tail, spans = encode(texts[lo:hi], index, m.suffixes, m.classes)
                 own = np.zeros(len(array))
-                rows = features(array)
+                rows = features(array, len(m.weights))
                 for at in range(0, len(array) - 3, CHUNK):
                     want = of[3 + at : 3 + at + CHUNK]
                     logs = log_softmax([r[at : at + CHUNK] for r in rows], m.weights, m.bias)

@@ -243,6 +243,26 @@ def test_language_model_classes_sum_to_one():
     assert np.exp(logs).sum(1) == pytest.approx(1)
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """More texts than the sample of 6,000 that it once learned from: classes and weights see each of them."""
+    seen = {}
+    for name in ("learn_classes", "learn_weights"):
+        real = getattr(language_model, name)
+
+        def spy(texts, *rest, name=name, real=real):
+            seen[name] = texts.count()
+            return real(texts, *rest)
+
+        monkeypatch.setattr(language_model, name, spy)
+    language_model.train(spark.range(6500).selectExpr("id AS doc_id", "concat('the word ', id % 50, ' of it') AS text"))
+    assert seen == {"learn_classes": 6500, "learn_weights": 6500}
+
+
+def test_language_model_table_grows_with_the_corpus():
+    sizes = [language_model.table_rows(n) for n in (0, 10**6, 10**8, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 14 and sizes[2] >= 1 << 16 and sizes[3] == 1 << 18
+
+
 def test_token_counts(odd_rows, no_rows):
     import public_tokenizers
 
