@@ -34,6 +34,7 @@ REPORTS = "said says say told tells wrote quoted quote called according sagte sa
 THREATS = "kill hurt destroy shoot stab burn beat murder töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+THREAT_WORDS = frozenset(THREATS)
 SYMBOLS = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 
 #: What the composed machine can say about a match, and so the sums that a text gets.
@@ -49,17 +50,23 @@ def remembers(symbol: int, reach: int | None) -> list[list[int]]:
 
 def compose(*machines: list[list[int]]) -> list[list[tuple[int, int]]]:
     """Product of the machines. Row: state, column: symbol, value: (next state, channel of a match read here or -1).
-    The memory of a match is the state before it: reported speech outweighs negation, negation outweighs a target."""
-    states = list(product(*(range(len(m)) for m in machines)))
+    The memory of a match is the state before it: reported speech outweighs negation, negation outweighs a target.
+    The last part of a state is whether a threat waits for its target; the next target in the clause is its match."""
+    states = list(product(*(range(len(m)) for m in machines), (0, 1)))
     number = {s: i for i, s in enumerate(states)}
 
     def channel(state: tuple[int, ...], symbol: int) -> int:
-        target, negated, reported = map(bool, state)
+        target, negated, reported, waiting = map(bool, state)
+        if symbol == TARGET and waiting:
+            return 3 if reported else 2 if negated else 4
         if symbol not in (INSULT, THREAT):
             return -1
         return 3 if reported else 2 if negated else (4 if target else -1) if symbol == THREAT else int(target)
 
-    return [[(number[tuple(m[x][s] for m, x in zip(machines, state, strict=True))], channel(state, s)) for s in range(6)] for state in states]
+    def waits(state: tuple[int, ...], symbol: int) -> int:
+        return int(channel(state, symbol) < 0) if symbol == THREAT else state[-1] * (symbol != TARGET)
+
+    return [[(number[(*(m[x][s] for m, x in zip(machines, state[:-1], strict=True)), waits(state, s))], channel(state, s)) for s in range(6)] for state in states]
 
 
 GRAMMAR = compose(remembers(TARGET, None), remembers(NEGATION, 3), remembers(REPORT, None))
@@ -80,7 +87,7 @@ def text_features(text: str | None, lexicon: dict[str, float], heads: frozenset[
     pieces = PIECE.findall((text or "").lower())
     weights = {i: w for i, p in enumerate(pieces) if p[:3] in heads and (w := lexeme(p, lexicon))}
     sums, clauses, best, done = [0.0] * len(CHANNELS), 0, 0.0, -1
-    at = [i for i, p in enumerate(pieces) if i in weights or SYMBOLS.get(p) == THREAT] if weights else []
+    at = [i for i, p in enumerate(pieces) if i in weights or p in THREAT_WORDS] if weights or not THREAT_WORDS.isdisjoint(pieces) else []
     for i in at:
         if i < done:  # its clause is scored
             continue
