@@ -15,8 +15,10 @@ GOLDEN = 0.6180339887498949
 EPOCHS = 3
 #: Slots of one chunk of the schedule are ranked together.
 CHUNK = 4096
-#: Sources whose cumulative targets are held as one array; with more of them the schedule is refused.
+#: Sources whose cumulative targets are held as one array; those of more are a joined table.
 MAX_SOURCES = 100_000
+#: Cells of the unit interval in that join, at most.
+MAX_CELLS = 1 << 20
 
 
 def source_targets(sizes: DataFrame, source: str = "source", epochs: int = EPOCHS) -> DataFrame:
@@ -55,7 +57,27 @@ def schedule(spark: SparkSession, targets: list[float], n_slots: int) -> DataFra
         ends.append(at / total if total else 1.0)
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumns({"chunk": F.floor(F.col("slot") / CHUNK)})
-    slots = slots.withColumn("source_no", F.least(search(ends, point - F.floor(point)), F.lit(len(ends) - 1)))
+    return ranked(slots.withColumn("source_no", F.least(search(ends, point - F.floor(point)), F.lit(len(ends) - 1))))
+
+
+def schedule_by_join(plan: DataFrame, n_slots: int) -> DataFrame:
+    """The schedule for any number of sources (source_no and target of plan). The unit interval is cut into cells; a
+    source is in the cells that its stretch of the cumulative targets touches, and a slot meets the sources of its cell."""
+    order = Window.orderBy("source_no")
+    ends = plan.select("source_no", "target", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"))
+    ends = saved(ends.withColumn("begin", F.coalesce(F.lag("end").over(order), F.lit(0.0))))
+    total = ends.agg(F.max("end")).first()[0] or 1.0
+    cells = max(1, min(MAX_CELLS, n_slots))
+    stretch = ends.where("target > 0").select("source_no", (F.col("begin") / total).alias("lo"), (F.col("end") / total).alias("hi"))
+    stretch = stretch.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))))
+    point = (F.col("slot") + 1) * F.lit(GOLDEN)
+    slots = plan.sparkSession.range(n_slots).withColumnRenamed("id", "slot").withColumns({"chunk": F.floor(F.col("slot") / CHUNK), "point": point - F.floor(point)})
+    met = slots.withColumn("cell", F.floor(F.col("point") * cells)).join(stretch, "cell").where("point >= lo AND point < hi")
+    return ranked(met.select("slot", "chunk", "source_no"))
+
+
+def ranked(slots: DataFrame) -> DataFrame:
+    """slot, source_no and rank of slots that have a chunk and a source."""
     counts = slots.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     # A chunk gives a source one row here, so these windows hold n_slots / CHUNK rows at most.
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -63,6 +85,15 @@ def schedule(spark: SparkSession, targets: list[float], n_slots: int) -> DataFra
     return slots.withColumn("inside", inside).join(offsets, ["source_no", "chunk"]).select("slot", "source_no", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def completed(slots: DataFrame, plan: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """The schedule with slots behind its end for the ranks that a source needs for its target and was not given: a
+    target of few blocks, or of less than one, may meet no golden-ratio point."""
+    given = slots.groupBy(F.col("source_no").alias("of")).agg(F.count("*").alias("given"))
+    needed = F.ceil(F.round("target") / block).cast("long")
+    short = plan.join(given, F.col("source_no") == F.col("of"), "left").select("source_no", F.coalesce("given", F.lit(0)).alias("given"), needed.alias("needed")).where("needed > given")
+    rest = short.select("source_no", F.explode(F.sequence(F.col("given"), F.col("needed") - 1)).alias("rank"))
+    # Rank by rank, so that no source waits for another's last block. The numbers have gaps.
+    return slots.unionByName(rest.select((n_slots + F.col("rank") * plan.count() + F.col("source_no")).cast("long").alias("slot"), "source_no", "rank"))
 
 
 def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | None) -> tuple[DataFrame, DataFrame]:
@@ -74,22 +105,22 @@ def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | N
     sized = sized.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__tie", 40), F.lit(buckets)).cast("int"))
     totals = saved(sized.groupBy(F.col(source).alias("at_source"), F.col("__bucket").alias("at_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
     known = source_targets(totals.groupBy("at_source").agg(F.sum("words").alias("source_size")), "at_source")
-    listed = known.orderBy(F.col("at_source").isNull(), "at_source").limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    words, least = sum(r["source_size"] for r in listed), min((r["target"] for r in listed if r["target"] > 0), default=1)
+    known = saved(known.withColumn("source_no", (F.row_number().over(Window.orderBy(F.col("at_source").isNull(), "at_source")) - 1).cast("int")))
+    n_sources, words, least = known.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(1.0))).first()
     block = block or min(4096, max(16, words >> 16))
     # A few slots more than the words need: a source may wait some turns for its last block, and blocks end at the target.
     n_slots = -(-words // block)
     n_slots += min(n_slots, math.ceil(4 * words / least)) if words else 0
-    slots = schedule(spark, [r["target"] for r in listed], n_slots)
-    plan = spark.createDataFrame([(r["at_source"], i, r["source_size"], r["target"]) for i, r in enumerate(listed)], "name string, source_no int, source_size long, target double")
+    plan = known.select(F.col("at_source").alias("name"), "source_no", "source_size", "target")
+    few = n_sources <= MAX_SOURCES
+    slots = schedule(spark, [r["target"] for r in plan.orderBy("source_no").select("target").collect()], n_slots) if few else schedule_by_join(plan, n_slots)
+    slots = completed(slots, plan, n_slots, block)
     upto = Window.partitionBy("at_source").orderBy("at_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("at_source", "at_bucket", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("words", "rows")))
+    offsets = offsets.join(F.broadcast(plan) if few else plan, F.col("at_source").eqNullSafe(F.col("name")))
     inside = Window.partitionBy(source, "__bucket").orderBy("__tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumns({"starts": F.sum("size").over(inside) - F.col("size"), "ordinal": F.row_number().over(inside)})
     placed = placed.join(offsets, F.col(source).eqNullSafe(F.col("at_source")) & (F.col("__bucket") == F.col("at_bucket")))
-    placed = placed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("name")))  # at most MAX_SOURCES rows
     placed = placed.withColumns({"starts": F.col("words_before") + F.col("starts"), "ordinal": F.col("rows_before") + F.col("ordinal"), "block": F.lit(block).cast("long")})
     return placed.drop("__tie", "__bucket", "at_source", "at_bucket", "words_before", "rows_before", "name"), slots
 
@@ -124,17 +155,15 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1
 
 def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
     """The mix in whole rows: a row comes once for each copy whose middle word lies in a scheduled block, so 0 to
-    EPOCHS times, with the columns of df. A source's ranks have no gaps, so its number of slots tells which blocks
-    the schedule holds; the rows need no join with the slots. Rows without words are left out."""
+    EPOCHS times, with the columns of df. The schedule holds all blocks up to a source's target, so the rows need no
+    join with the slots. Rows without words are left out."""
     source_, body, own = fresh(df, "source_", "body", "own")
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(own), F.col(source).alias(source_), F.col(text).alias(body))
-    placed, slots = placed_rows(packed, source_, body, seed, None)
-    given = slots.groupBy(F.col("source_no").alias("of")).agg(F.count("*").alias("given"))
-    limit = F.least(F.round("target").cast("long"), F.col("given") * F.col("block"))
+    placed, _ = placed_rows(packed, source_, body, seed, None)
+    limit = F.round("target").cast("long")
     copy = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
-    with_given = placed.where(F.col("size") > 0).join(F.broadcast(given), F.col("source_no") == F.col("of"))
     middle = F.col("starts") + F.col("copy") * F.col("source_size") + F.floor(F.col("size") / 2)
-    return with_given.withColumn("copy", copy).where(middle < limit).select(f"{own}.*")
+    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select(f"{own}.*")
 
 
 def op4_mixing(spark, sf_dir):
