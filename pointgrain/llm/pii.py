@@ -1,7 +1,8 @@
 """Personal data and the terms that reveal it, in DataFrame functions only.
 
-Base spans come from fixed patterns. Their values are the protected entities. A term next to an entity discloses it
-when their pointwise mutual information over the corpus reaches DISCLOSURE of the entity's information content."""
+Base spans come from fixed patterns. Their values are the protected entities. A term in an entity's texts discloses it
+when their pointwise mutual information over the corpus reaches DISCLOSURE of the entity's information content; it is
+marked wherever it stands, in texts without the entity too."""
 
 from __future__ import annotations
 
@@ -14,9 +15,9 @@ from pointgrain.llm.common import fresh, row_hash, saved, table
 
 #: Share of an entity's information content that a term may reveal before it is generalised.
 DISCLOSURE = 0.9
-#: Different contexts in which a term must stand by an entity; copies of one text are one context.
+#: Different contexts of an entity in whose texts a term must stand; copies of one text are one context.
 SUPPORT = 3
-#: Characters on either side of an entity that are its context, and the least length of a term.
+#: Characters on either side of an entity that tell its contexts apart, and the least length of a term.
 REACH, TERM_LENGTH = 80, 3
 #: Sets of pairs or terms of at most so many rows are broadcast (under 100 bytes each); larger ones are shuffled.
 MAX_BROADCAST = 200_000
@@ -100,47 +101,66 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """The columns of df other than the text, with base (array of start, kind, end) and terms (the same for disclosing
     terms, kind 4).
 
-    The patterns run once; what they find is checkpointed without the texts. A second scan counts in how many texts
-    each candidate term stands; that is all that the estimate needs from the rest of the corpus.
+    The patterns run once; what they find is checkpointed with the words of the texts that have base spans, which are
+    all that can stand with an entity. A second scan counts in how many texts each candidate term stands, a third marks
+    the terms that tell in the texts that hold one. Equal texts have equal spans, so a text's hash finds them.
 
     Defined cases: null and empty texts have no spans; rows may repeat and each is judged alone; a term that overlaps
     a base span is none; an entity in every text has no information content and no disclosing terms; an empty table
     gives no rows; input columns named base or terms are replaced."""
     kept = [c for c in df.columns if c != text and c.lower() not in ("base", "terms")]
-    row, body = fresh(df, "row", "body")
+    row, body, code, said, named, of, marked = fresh(df, "row", "body", "code", "said", "named", "of", "marked")
     read = df.select(*kept, F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
-    read = read.withColumn("base", base_spans(F.col(body)))
+    read = read.withColumns({"base": base_spans(F.col(body)), code: F.xxhash64(body)})
 
     def mention(at):
         value = F.lower(F.substr(F.col(body), at["start"] + 1, at["end"] - at["start"]))
-        return F.struct(value.alias("value"), context_words(F.col(body), at).alias("words"))
+        return F.struct(value.alias("value"), F.xxhash64(value, context_words(F.col(body), at)).alias("context"))
 
-    rows = saved(read.withColumn("mentions", F.transform("base", mention)).drop(body))
-    single = rows.select(row, "base", F.explode("mentions").alias("m")).select(row, "base", F.xxhash64("m").alias("context"), F.col("m.value").alias("value"), F.explode("m.words").alias("w"))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
-    near = saved(single.where(clear).select(row, "context", "value", "w.term", "w.start", "w.end"))
+    def clear(base):
+        return lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+
+    words = F.filter(spans(F.col(body), WORD_RUN, lambda m: F.length(m) >= TERM_LENGTH), clear(F.col("base")))
+    words = F.array_distinct(F.transform(words, lambda x: F.lower(F.substr(F.col(body), x["start"] + 1, x["end"] - x["start"]))))
+    words = F.when(F.size("base") > 0, words).otherwise(F.array().cast("array<string>"))
+    rows = saved(read.withColumns({named: F.transform("base", mention), said: words}).drop(body))
+    single = rows.where(F.size("base") > 0).select(F.col(row).alias("row"), F.col(said).alias("words"), F.explode(named).alias("m")).select("row", "words", "m.value", "m.context")
 
     n_rows = rows.count()
-    pairs = near.groupBy("value", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(row).alias("n_both")).where(F.col("contexts") >= SUPPORT)
-    entity = rows.select(row, F.explode("mentions.value").alias("value")).groupBy("value").agg(F.count_distinct(row).alias("n_value"))
+    # A term has no more contexts than its entity, so entities of few contexts are out before words are paired.
+    entity = single.groupBy("value").agg(F.count_distinct("row").alias("n_value"), F.count_distinct("context").alias("n_contexts"))
+    entity = saved(entity.where((F.col("n_contexts") >= SUPPORT) & (F.col("n_value") < n_rows)).drop("n_contexts"))
+    some = F.broadcast(entity) if entity.count() <= MAX_BROADCAST else entity
+    beyond = single.join(some, "value").select("row", "value", "context", "n_value", F.explode("words").alias("term"))
+    pairs = beyond.groupBy("value", "term", "n_value").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both")).where(F.col("contexts") >= SUPPORT)
     held = F.log(F.lit(float(n_rows)) / F.col("n_value"))
 
     def tells(n_term: str):
         return (held > 0) & (F.log(F.lit(float(n_rows)) * F.col("n_both") / (F.col("n_value") * F.col(n_term))) >= DISCLOSURE * held)
 
-    # A term stands in at least as many texts as it stands near entities in, which bounds what it tells: common words
+    # A term stands in at least as many texts as it stands with any entity in, which bounds what it tells: common words
     # are out before the corpus is searched for them.
-    beside = near.groupBy("term").agg(F.count_distinct(row).alias("n_beside"))
-    pairs = saved(pairs.join(entity, "value").join(beside, "term").where(tells("n_beside")))
+    beside = rows.select(F.explode(said).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    pairs = saved(pairs.join(beside, "term").where(tells("n_beside")))
     wanted = pairs.select("term").distinct()
     wanted = F.broadcast(wanted) if pairs.count() <= MAX_BROADCAST else wanted
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RUN), F.lit(0)))
     spread = df.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = saved(pairs.join(spread, "term").where(tells("n_term")).select("value", "term"))
-    telling = F.broadcast(telling) if telling.count() <= MAX_BROADCAST else telling
-    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
-    found = near.join(telling, ["value", "term"]).groupBy(row).agg(F.array_sort(F.collect_set(span)).alias("terms"))
-    return rows.drop("mentions").join(found, row, "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN))).drop(row)
+    telling = saved(pairs.join(spread, "term").where(tells("n_term")).select("term").distinct())
+    n_telling, none = telling.count(), F.array().cast(SPAN)
+    bare = rows.drop(row, named, said)
+    if not n_telling:
+        return bare.drop(code).withColumn("terms", none)
+    telling = F.broadcast(telling) if n_telling <= MAX_BROADCAST else telling
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("code", F.xxhash64("body"))
+    held_words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD_RUN), F.lit(0)))
+    holds = saved(texts.select("code", F.explode(held_words).alias("term")).join(telling, "term", "left_semi").groupBy("code").agg(F.collect_set("term").alias("its")))
+    holders = F.broadcast(holds) if holds.count() <= MAX_BROADCAST else holds
+    # Places are sought only in texts that hold a term.
+    places = spans(F.col("body"), WORD_RUN, lambda m: F.array_contains("its", F.lower(m)), len(KINDS))
+    found = texts.join(holders, "code").select(F.col("code").alias(of), places.alias(marked)).groupBy(of).agg(F.first(marked).alias(marked))
+    terms = F.filter(F.coalesce(F.col(marked), none), clear(F.col("base")))
+    return bare.join(found, F.col(code) == F.col(of), "left").withColumn("terms", terms).drop(code, of, marked)
 
 
 def listed(found: Column) -> Column:
