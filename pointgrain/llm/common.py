@@ -56,6 +56,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def packed(df: DataFrame, names: Sequence[str] | None = None) -> Column:
+    """Columns of df (all by default) as one struct: the caller's names cannot clash with an operator's own."""
+    chosen = df.columns if names is None else names
+    return F.struct(*(F.col(f"`{c}`") for c in chosen)) if chosen else F.struct(F.lit(True).alias("none"))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own outputs replace columns of the same name."""
     clash = {n.lower() for n in names}

@@ -1,49 +1,59 @@
-"""Scores of a hashed maximum-entropy language model with a class-factored softmax."""
+"""Scores of a hashed maximum-entropy language model with a class-factored softmax.
+
+P(token | context) = P(class | context) P(leaf | class, context) P(token | leaf). Both softmaxes have hashed n-gram and
+skip features; the most frequent words of a class are leaves of their own, its other words share one by their counts."""
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pointgrain.llm.common import bounded_batches, fresh, saved, table
+from pointgrain.llm.common import bounded_batches, packed, saved, table
 
 #: Most frequent tokens that tasks know by heart; the counts of all others come by a join.
 HEAD = 1 << 18
-#: Classes of words: one for each of the most frequent words, and one more for the end of a text.
-ANCHORS = 31
+#: Classes of words: one for each of the most frequent words, and one more for the end of a text; leaves of a class.
+ANCHORS, LEAVES = 31, 16
 CLASSES, END_CLASS = ANCHORS + 1, ANCHORS
-#: Tokens whose class is learned from their neighbours; the class of rarer ones follows from their last letters.
-LEARNED = 1 << 15
+#: Tokens whose class is learned from their neighbours; the class of others follows from their last letters' bucket.
+LEARNED, SUFFIXES = 1 << 15, 1 << 16
 #: Least and most rows of the hashed weight table; between them it grows with the square root of the corpus, as
-#: contexts do. A part of the corpus moves each row once an epoch, so parts have PART_TOKENS tokens for each row.
-TABLE, MAX_TABLE, PART_TOKENS = 1 << 14, 1 << 18, 64
-EPOCHS, PARTS, STEP, BATCH = 3, 8, 0.4, 2048
-#: Counts that a task holds before it passes them on, and tokens scored at a time.
+#: contexts do. A part of the corpus sends each row once an update, so parts have PART_TOKENS tokens for each row.
+TABLE, MAX_TABLE, PART_TOKENS = 1 << 16, 1 << 18, 96
+#: Least parts that an update is dealt over, how far each update goes, and how many counts the smoothing weighs.
+PARTS, RATES, PRIOR = 8, (0.5, 0.3), 8.0
+#: Counts that a task holds before it passes them on, and tokens handled at a time.
 HELD, CHUNK = 300_000, 1 << 16
-#: Multipliers of the hashed features: previous word, previous two, word before last, word before that.
-SALTS = ((1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1))
+#: Multipliers of the hashed features: previous word, previous two, word before last, word before that. The leaf's
+#: softmax has the first INNER of them, each joined with the class.
+SALTS, INNER = ((1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1)), 2
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 STRIP = b".,;:!?\"'()[]#%&*$|-"
+#: Ids behind the head tokens: begin, end, and one for the rare tokens of each suffix bucket.
+BEGIN, END, RARE = HEAD, HEAD + 1, HEAD + 2
 
 
 @dataclass
 class Model:
-    """All that scoring needs; bounded by HEAD, MAX_TABLE and CLASSES."""
+    """All that scoring needs; bounded by HEAD, SUFFIXES, MAX_TABLE and CLASSES."""
 
     words: bytes  # the head tokens by falling count, joined by blanks
     counts: np.ndarray
-    classes: np.ndarray
-    suffixes: dict[bytes, int]
+    class_of: np.ndarray  # of each id, -1 for the begin mark
+    leaf_of: np.ndarray
     weights: np.ndarray
+    inner: np.ndarray
     bias: np.ndarray
-    class_norm: np.ndarray  # log10 of a class's denominator
+    inner_bias: np.ndarray
+    norm: np.ndarray  # log10 of a leaf's denominator
     end_count: int
     n_tokens: int
     n_types: int
@@ -51,21 +61,26 @@ class Model:
     log_unseen: float  # log10 of the probability of one unseen token
 
     def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.split(b" "))} if self.words else {}
+        return indexed(self.words)
+
 
+def indexed(words: bytes) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(words.split(b" "))} if words else {}
 
-def suffix_class(word: bytes, suffixes: dict[bytes, int]) -> int:
-    bare = word.rstrip(STRIP)
-    return suffixes.get(bare[-3:], suffixes.get(bare[-2:], 0))
+
+def suffix_of(word: bytes) -> int:
+    return zlib.crc32(word.rstrip(STRIP)[-3:]) & (SUFFIXES - 1)
 
 
 def table_rows(n_tokens: int) -> int:
     """Rows of the weight table for a corpus of so many tokens, a power of two."""
-    return next((1 << b for b in range(TABLE.bit_length() - 1, MAX_TABLE.bit_length() - 1) if 1 << 2 * b >= 64 * n_tokens), MAX_TABLE)
+    return next((1 << b for b in range(TABLE.bit_length() - 1, MAX_TABLE.bit_length() - 1) if 1 << 2 * b >= 16 * n_tokens), MAX_TABLE)
 
 
-def features(ids: np.ndarray, size: int) -> list[np.ndarray]:
-    """Rows of the weight table of that size for each place but the first three, from the three places before it."""
+def hashes(ids: np.ndarray, class_of: np.ndarray) -> list[np.ndarray]:
+    """The hashed features of each place but the first three, from the three places before it. A rare token is known
+    to a feature by its class only."""
+    ids = np.where(ids >= RARE, RARE + class_of[ids], ids)
     before = [ids[2 - i : len(ids) - 1 - i].astype(np.uint64) + np.uint64(1) for i in range(3)]
     out = []
     for k, use in enumerate(SALTS):
@@ -74,16 +89,28 @@ def features(ids: np.ndarray, size: int) -> list[np.ndarray]:
             if on:
                 h = (h ^ x) * np.uint64(salt)
                 h ^= h >> np.uint64(29)
-        out.append(((h * np.uint64(ODD[0])) >> np.uint64(40)).astype(np.int64) & (size - 1))
+        out.append(h)
     return out
 
 
+def rows_of(hashed: np.ndarray, size: int) -> np.ndarray:
+    return ((hashed * np.uint64(ODD[0])) >> np.uint64(40)).astype(np.int64) & (size - 1)
+
+
+def rows_at(hashed: list[np.ndarray], at: np.ndarray, of: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of the weight table for the places, of the class softmax and of the softmax inside their classes."""
+    salt = (of.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD[1])
+    return [rows_of(h[at], size) for h in hashed], [rows_of(h[at] ^ salt, size) for h in hashed[:INNER]]
+
+
 def log_softmax(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[0]]
+    z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
+    z += bias
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
 
 def pieces_of(texts: list[bytes | None]):
@@ -99,32 +126,21 @@ def pieces_of(texts: list[bytes | None]):
         yield held
 
 
-def encode(texts: list[bytes | None], index: dict[bytes, int], suffixes: dict[bytes, int], classes: np.ndarray):
-    """Ids with three begin marks before each text, their classes (-1 for begin marks), and the rare tokens' places.
-
-    Ids: head tokens by rank, then begin, end, and one for the rare tokens of each class."""
-    begin, end, rare = HEAD, HEAD + 1, HEAD + 2
-    ids: list[int] = []
-    tail: list[tuple[int, bytes, int]] = []
-    spans = []
+def encode(texts: list[bytes | None], index: dict[bytes, int]):
+    """Ids with three begin marks before each text and an end behind it, the rare tokens by place, and the texts' spans."""
+    parts, tail, spans, at = [], [], [], 0
     for t in texts:
         words = (t or b"").lower().split()  # bytes: A to Z only, and the six ASCII white-space characters
-        ids += (begin, begin, begin)
-        first = len(ids)
-        found = [index.get(w, -1) for w in words]
-        if -1 in found:
-            for i, x in enumerate(found):
-                if x < 0:
-                    c = suffix_class(words[i], suffixes)
-                    tail.append((first + i, words[i], c))
-                    found[i] = rare + c
-        ids += found
-        ids.append(end)
-        spans.append((first, len(ids)))
-    array = np.array(ids, np.int64)
-    known = np.clip(array, 0, max(len(classes) - 1, 0))
-    of = np.where(array < HEAD, classes[known] if len(classes) else 0, np.where(array == begin, -1, np.where(array == end, END_CLASS, array - rare)))
-    return array, of, tail, spans
+        ids = np.empty(len(words) + 4, np.int32)
+        ids[:3], ids[-1] = BEGIN, END
+        ids[3:-1] = list(map(index.get, words, repeat(-1)))
+        for i in np.flatnonzero(ids < 0).tolist():
+            ids[i] = RARE + suffix_of(words[i - 3])
+            tail.append((at + i, words[i - 3]))
+        parts.append(ids)
+        spans.append((at + 3, at + len(ids)))
+        at += len(ids)
+    return np.concatenate(parts), tail, spans
 
 
 def count_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -163,90 +179,122 @@ def frequent_tokens(counts: DataFrame) -> tuple[bytes, np.ndarray]:
     return b" ".join(head.column("token").to_pylist()), head.column("c").to_numpy()
 
 
-def learn_classes(texts: DataFrame, words: bytes, n_words: int, counts: np.ndarray) -> tuple[np.ndarray, dict[bytes, int]]:
-    """A frequent word's class is the anchor (one of the most frequent words) that it stands near far more often than
-    chance; a suffix has the class that most occurrences of frequent words with it have."""
-    top = min(n_words, LEARNED)
+def encoded(texts: DataFrame, words: bytes) -> DataFrame:
+    """Column ids: the texts as runs of ids, 4 bytes a token. They are checkpointed, so that every later pass over the
+    training texts reads these in place of the texts."""
+
+    def runs(batches):
+        index = indexed(words)
+        for batch in batches:
+            made = [encode(some, index)[0].tobytes() for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
+
+    return saved(texts.mapInArrow(runs, "ids binary"))
+
+
+def learn_classes(ids: DataFrame, words: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class_of, leaf_of) for all ids. A frequent word's class is the anchor (one of the most frequent words) that it
+    stands near far more often than chance; a suffix bucket has the class that most occurrences of learned words with it
+    have, and all other words have their bucket's. A class's most frequent words are leaves of their own."""
+    top = min(len(counts), LEARNED)
 
     def pairs(batches):
-        index = {w: i for i, w in enumerate(words.split(b" ")[:top])} if words else {}
         held = np.zeros(top * ANCHORS, np.int64)
         for batch in batches:
-            for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist()):
-                array, _, _, _ = encode(some, index, {}, np.zeros(len(index), np.int64))
+            for run in batch.column(0).to_pylist():
+                array = np.frombuffer(run, np.int32)
                 for gap in (1, 2, 3):
                     for a, b in ((array[:-gap], array[gap:]), (array[gap:], array[:-gap])):
-                        ok = (a < ANCHORS) & (b < top)
-                        np.add.at(held, b[ok] * ANCHORS + a[ok], 1)
+                        at = np.flatnonzero(a < ANCHORS)
+                        at = at[b[at] < top]
+                        np.add.at(held, b[at].astype(np.int64) * ANCHORS + a[at], 1)
         keys = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(held[keys])], ["key", "n"])
 
     near = np.zeros(top * ANCHORS)
-    got = texts.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # LEARNED * ANCHORS rows at most
+    got = ids.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # LEARNED * ANCHORS rows at most
     near[got.column("key").to_numpy()] = got.column("n").to_numpy()
     near = near.reshape(top, ANCHORS)
     share = near / np.maximum(near.sum(0, keepdims=True), 1)
     learned = np.where(near.sum(1) >= 3, (share * (near >= 2)).argmax(1), -1)
-    votes: dict[bytes, Counter] = {}
-    tokens = words.split(b" ") if words else []
-    for i in np.flatnonzero(learned >= 0).tolist():
-        bare = tokens[i].rstrip(STRIP)
-        for s in {bare[-3:], bare[-2:]}:
-            votes.setdefault(s, Counter())[int(learned[i])] += int(counts[i])
-    suffixes = {s: v.most_common(1)[0][0] for s, v in votes.items()}
-    classes = np.array([int(learned[i]) if i < top and learned[i] >= 0 else suffix_class(w, suffixes) for i, w in enumerate(tokens)], np.int64)
-    return classes, suffixes
-
-
-def learn_weights(texts: DataFrame, words: bytes, classes: np.ndarray, suffixes: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (size rows) and bias of the class softmax by distributed gradient updates: in each epoch every part of
-    the texts takes its own steps from the common weights, and a row of the table moves by the mean of its parts' moves."""
-    weights, bias = np.zeros((size, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    row_type = f"row int, {', '.join(f'w{i} float' for i in range(CLASSES))}"
-    for _ in range(EPOCHS):
-
-        def steps(batches, weights=weights, bias=bias):
-            index = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
-            new, base, squares = weights.copy(), bias.copy(), np.full(size, 1e-2, np.float32)
-            touched = np.zeros(size, bool)
+    buckets = np.array([suffix_of(w) for w in indexed(words)], np.int64)
+    votes, sure = np.zeros((SUFFIXES, CLASSES)), np.flatnonzero(learned >= 0)
+    np.add.at(votes, (buckets[sure], learned[sure]), counts[sure])
+    by_suffix = np.where(votes.any(1), votes.argmax(1), votes.sum(0).argmax()).astype(np.int32)
+    class_of, leaf_of = np.full(RARE + SUFFIXES, -1, np.int32), np.full(RARE + SUFFIXES, LEAVES - 1, np.int32)
+    class_of[END], class_of[RARE:] = END_CLASS, by_suffix
+    if len(buckets):
+        class_of[: len(buckets)] = by_suffix[buckets]
+    class_of[sure] = learned[sure]
+    for k in range(CLASSES):
+        own = np.flatnonzero(class_of[: len(buckets)] == k)[: LEAVES - 1]  # head tokens stand by falling count
+        leaf_of[own] = np.arange(len(own))
+    return class_of, leaf_of
+
+
+def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bias: np.ndarray, inner_bias: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both softmaxes (size rows each) by distributed gradient updates over all texts.
+
+    The gradient of a weight is how often its feature and outcome are seen less how often the model expects them. Each
+    task counts both for its texts, the expected outcome of a place drawn from the model as it stands, and a shuffle
+    adds the counts up. An update moves a weight by a share of the log of their ratio (generalised iterative scaling),
+    which needs no step size of its own for rare features. Draws are seeded by the texts, so that reruns agree."""
+    spark, wide = ids.sparkSession, CLASSES + LEAVES
+    seen, weights, inner = np.zeros((size, wide)), np.zeros((size, CLASSES), np.float32), np.zeros((size, LEAVES), np.float32)
+    prior = PRIOR * np.concatenate([np.exp(bias), np.full(LEAVES, 1 / LEAVES)])
+    for turn, rate in enumerate(RATES):
+        held = spark.sparkContext.broadcast((weights, inner))  # MAX_TABLE rows at most
+
+        def drawn(logs, random):
+            cumulated = np.cumsum(np.exp(logs), 1)
+            return np.minimum((cumulated < random[:, None] * cumulated[:, -1:]).sum(1), logs.shape[1] - 1)
+
+        def sums(batches, turn=turn, held=held):
+            found, (outer, within) = np.zeros((2 - min(turn, 1), size * wide), np.int32), held.value
             for batch in batches:
-                for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist()):
-                    array, of, _, _ = encode(some, index, suffixes, classes)
-                    rows, want = features(array, size), of[3:]
-                    at = np.flatnonzero(want >= 0)
-                    for lo in range(0, len(at), BATCH):
-                        now = at[lo : lo + BATCH]
-                        mine = [r[now] for r in rows]
-                        slope = -np.exp(log_softmax(mine, new, base))
-                        slope[np.arange(len(now)), want[now]] += 1
-                        base += (STEP * slope.mean(0)).astype(np.float32)
-                        square = (slope * slope).mean(1)
-                        for r in mine:
-                            # Sums by row: equal rows stand next to each other in the order.
-                            order = np.argsort(r)
-                            r = r[order]
-                            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                            r = r[first]
-                            squares[r] += np.add.reduceat(square[order], first)
-                            new[r] += STEP / 4 * np.add.reduceat(slope[order], first, axis=0) / np.sqrt(squares[r])[:, None]
-                            touched[r] = True
-            if not touched.any():  # a part without texts has no say in the means
-                return
-            moved = np.flatnonzero(touched)
-            delta = np.vstack([new[moved] - weights[moved], (base - bias)[None]]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([*moved.tolist(), size], pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in delta.T)], ["row", *(f"w{i}" for i in range(CLASSES))])
-
-        means = texts.mapInArrow(steps, row_type).groupBy("row").agg(*(F.avg(f"w{i}").cast("float").alias(f"w{i}") for i in range(CLASSES)))
-        got = means.toArrow()  # size + 1 rows
-        at, move = got.column("row").to_numpy(), np.stack([got.column(f"w{i}").to_numpy() for i in range(CLASSES)], 1).astype(np.float32)
-        weights, bias = weights.copy(), bias + move[at == size].sum(0)
-        weights[at[at < size]] += move[at < size]
-    return weights, bias
-
-
-def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
+                for run in batch.column(0).to_pylist():
+                    array, random = np.frombuffer(run, np.int32), np.random.default_rng(zlib.crc32(run))
+                    of, leaf, hashed = class_of[array[3:]], leaf_of[array[3:]], hashes(array, class_of)
+                    places = np.flatnonzero(of >= 0)
+                    for lo in range(0, len(places), CHUNK >> 2):
+                        at = places[lo : lo + (CHUNK >> 2)]
+                        rows, inside = rows_at(hashed, at, of[at], size)
+                        # A first update's model has no weights yet.
+                        logs = log_softmax(rows, outer, bias) if turn else np.broadcast_to(bias, (len(at), CLASSES))
+                        leaf_logs = log_softmax(inside, within, inner_bias[of[at]]) if turn else inner_bias[of[at]]
+                        draws = random.random((2, len(at)), np.float32)
+                        outcomes = [(drawn(logs, draws[0]), drawn(leaf_logs, draws[1])), (of[at], leaf[at])][: len(found)]
+                        several = of[at] != END_CLASS
+                        for counts, (k, j) in zip(found, outcomes, strict=True):
+                            for r in rows:
+                                np.add.at(counts, r * wide + k, np.int32(1))
+                            for r in inside:
+                                np.add.at(counts, (r * wide + CLASSES + j)[several], np.int32(1))
+            by_row = found.reshape(len(found), size, wide)
+            touched = np.flatnonzero(by_row.any((0, 2)))
+            columns = [np.ascontiguousarray(x) for part in by_row for x in part[touched].T]
+            yield pa.RecordBatch.from_arrays([pa.array(touched.astype(np.int32)), *map(pa.array, columns)], ["row", *(f"n{i}" for i in range(len(columns)))])
+
+        names = [f"n{i}" for i in range(wide * (2 - min(turn, 1)))]
+        totals = ids.mapInArrow(sums, "row int, " + ", ".join(f"{n} int" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
+        got = totals.toArrow()  # size rows
+        at, both = got.column("row").to_numpy(), np.zeros((len(names), size))
+        for i, n in enumerate(names):
+            both[i, at] = got.column(n).to_numpy()
+        if not turn:
+            seen = both[wide:].T
+        move = rate * np.log((seen + prior) / (both[:wide].T + prior))
+        weights, inner = (weights + move[:, :CLASSES]).astype(np.float32), (inner + move[:, CLASSES:]).astype(np.float32)
+        held.unpersist()
+    return weights, inner
+
+
+def train(df: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model learned from all rows of df, and the counts (token, c) of all its tokens. Classes and weights take
-    every text, in parts whose number grows with the corpus; a part is whole partitions, so no text is shuffled."""
+    every text, in parts whose number grows with the corpus; a part is whole partitions, so no text is shuffled.
+
+    Defined cases: null and empty texts are one end token, very long ones are taken in runs; an empty table gives a
+    model of no tokens."""
     bounded_batches(df.sparkSession)
     n_texts = df.count()
     counts = saved(count_tokens(df, text))
@@ -254,80 +302,90 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model
     words, of_words = frequent_tokens(counts)
     n, types = stats[0] + n_texts, stats[1] + (n_texts > 0)
     size = table_rows(n)
-    texts = df.select(text).coalesce(max(PARTS, -(-n // (PART_TOKENS * size))))
-    classes, suffixes = learn_classes(texts, words, len(of_words), of_words)
-    weights, bias = learn_weights(texts, words, classes, suffixes, size)
+    ids = encoded(df.select(text), words).coalesce(max(PARTS, -(-n // (PART_TOKENS * size))))
+    class_of, leaf_of = learn_classes(ids, words, of_words)
 
-    def by_class(batches):
-        index = dict(zip(words.split(b" "), classes.tolist(), strict=True)) if words else {}
-        total, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    def by_leaf(batches):
+        index = indexed(words)
+        total, kinds = np.zeros(CLASSES * LEAVES, np.int64), np.zeros(CLASSES * LEAVES, np.int64)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = index[w] if w in index else suffix_class(w, suffixes)
-                total[k] += c
-                kinds[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total), pa.array(kinds)], ["class", "n", "kinds"])
-
-    norm = np.ones(CLASSES)
-    for r in counts.mapInArrow(by_class, "class int, n long, kinds long").groupBy("class").agg(F.sum("n"), F.sum("kinds")).collect():
-        norm[r[0]] = max(1.0, r[1] + 0.5 * r[2])
+            at = np.array([index[w] if w in index else RARE + suffix_of(w) for w in batch.column(0).to_pylist()], np.int64)
+            cell = class_of[at].astype(np.int64) * LEAVES + leaf_of[at]
+            np.add.at(total, cell, batch.column(1).to_numpy())
+            np.add.at(kinds, cell, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(kinds)], ["cell", "n", "kinds"])
+
+    inside, kinds = np.zeros(CLASSES * LEAVES), np.zeros(CLASSES * LEAVES)
+    for r in counts.mapInArrow(by_leaf, "cell int, n long, kinds long").groupBy("cell").agg(F.sum("n"), F.sum("kinds")).collect():
+        inside[r[0]], kinds[r[0]] = r[1], r[2]
+    norm = np.log10(np.maximum(1.0, inside + 0.5 * kinds))
+    inside = inside.reshape(CLASSES, LEAVES) + 1e-4  # a leaf without words is all but impossible
+    of_class = inside.sum(1) + 0.5
+    of_class[END_CLASS] += n_texts
+    bias, inner_bias = np.log(of_class / of_class.sum()).astype(np.float32), np.log(inside / inside.sum(1, keepdims=True)).astype(np.float32)
+    weights, inner = learn_weights(ids, class_of, leaf_of, bias, inner_bias, size)
     # Good-Turing: unseen tokens share the mass of tokens seen once; Chao's estimate says how many of them there are.
     once, twice = stats[2], stats[3]
     missing = min(0.5, max(once, 0.5) / max(n, 1))
     unseen = max(1.0, once * once / (2 * max(twice, 1)))
-    model = Model(words, of_words, classes, suffixes, weights, bias, np.log10(norm), n_texts, n, types, math.log10(1 - missing), math.log10(missing / unseen))
+    model = Model(words, of_words, class_of, leaf_of, weights, inner, bias, inner_bias, norm, n_texts, n, types, math.log10(1 - missing), math.log10(missing / unseen))
     return model, counts
 
 
+def place_logs(ids: np.ndarray, m: Model) -> np.ndarray:
+    """log10 of P(class) P(leaf | class) for each place, less that of its leaf's denominator: what a token's own count
+    is multiplied by. 0 for the first three places."""
+    own, size = np.zeros(len(ids)), len(m.weights)
+    hashed, of, leaf = hashes(ids, m.class_of), m.class_of[ids[3:]], m.leaf_of[ids[3:]]
+    places = np.flatnonzero(of >= 0)
+    for lo in range(0, len(places), CHUNK >> 2):
+        at = places[lo : lo + (CHUNK >> 2)]
+        rows, inside = rows_at(hashed, at, of[at], size)
+        each = np.arange(len(at))
+        logs = log_softmax(rows, m.weights, m.bias)[each, of[at]]
+        within = log_softmax(inside, m.inner, m.inner_bias[of[at]])[each, leaf[at]] - m.norm[of[at] * LEAVES + leaf[at]] * math.log(10)
+        own[3 + at] = (logs + np.where(of[at] == END_CLASS, 0.0, within)) / math.log(10)
+    return own
+
+
 def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """The columns of df other than the text, with n_tokens (words and one end), n_known, train_tokens, base_score
     (add-0.5 unigrams) and score (the model), both in log10.
 
-    P(token | context) = P(seen) P(class | context) P(token | class) for a seen token; an unseen one has its share of
-    the missing mass. Tasks settle frequent tokens themselves; a text's rare tokens leave as one row for each distinct
-    token, meet their counts in a join, and come back to the text in a sum.
+    A seen token has P(seen) times the product of the factors; an unseen one has its share of the missing mass. Tasks
+    settle frequent tokens themselves; a text's rare tokens leave as one row for each distinct token, meet their counts
+    in a join, and come back to the text in a sum.
 
-    Defined cases: null and empty texts are one end token; rows may repeat; a model of no texts gives every token
-    probability 1 in base_score and score; an empty table gives no rows; input columns named as an output are replaced."""
+    Defined cases: null and empty texts are one end token; very long ones are scored whole, in chunks; rows may repeat;
+    a model of no texts gives every token probability 1 in base_score and score; an empty table gives no rows; input
+    columns named as an output are replaced, and all others travel in one struct, so no name of theirs can clash."""
     spark = df.sparkSession
     bounded_batches(spark)
     outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in df.columns if c != text and c.lower() not in outputs]
-    row, token = fresh(df, "row", "token")
-    read = df.select(*kept, F.monotonically_increasing_id().alias(row), text)
+    read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
     held = spark.sparkContext.broadcast(vars(model))
-    sums = ["tokens", "known", "logs", "own", "tf"]
-    frame = df.select(*kept).withColumns({row: F.lit(0).cast("long"), token: F.lit(b"").cast("binary")} | {s: F.lit(0).cast("double" if s in ("logs", "own") else "long") for s in sums})
-    names = frame.columns
-    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema.fields])  # a rare token's row has none of the text's columns
+    kinds = {"tokens": "long", "known": "long", "logs": "double", "settled": "double", "tf": "long"}
+    frame = read.select("own", "row", F.lit(b"").cast("binary").alias("token"), *(F.lit(0).cast(t).alias(k) for k, t in kinds.items()))
+    schema = frame.withColumn("own", F.when(F.col("row") >= 0, F.col("own"))).schema  # a rare token's row has none of the text's columns
 
     def scored(batches):
         m = Model(**held.value)
         index, log_counts = m.index(), np.log10(m.counts + 0.5)
         log_end = math.log10(m.end_count + 0.5)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            ids = batch.column(batch.schema.get_field_index(row)).to_pylist()
+            texts, ids_of = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or b"") < 6 * CHUNK):
-                    size += len(texts[hi] or b"")
-                    hi += 1
-                array, of, tail, spans = encode(texts[lo:hi], index, m.suffixes, m.classes)
-                own = np.zeros(len(array))
-                rows = features(array, len(m.weights))
-                for at in range(0, len(array) - 3, CHUNK):
-                    want = of[3 + at : 3 + at + CHUNK]
-                    logs = log_softmax([r[at : at + CHUNK] for r in rows], m.weights, m.bias)
-                    own[3 + at : 3 + at + CHUNK] = logs[np.arange(len(want)), np.maximum(want, 0)] / math.log(10) - np.where(want == END_CLASS, 0, m.class_norm[np.maximum(want, 0)])
+            for some in pieces_of(texts):
+                array, tail, spans = encode(some, index)
+                own = place_logs(array, m)
                 frequent = array < HEAD
                 logs = np.where(frequent, log_counts[np.where(frequent, array, 0)] if len(log_counts) else 0.0, 0.0)
-                settled = np.where(frequent | (of == END_CLASS), own + m.log_seen, 0.0) + logs
+                settled = np.where(frequent | (array == END), own + m.log_seen, 0.0) + logs
                 out: list[tuple] = []
                 place, t = [], 0
                 for i, (a, b) in enumerate(spans):
-                    rid = ids[lo + i]
+                    rid = ids_of[lo + i]
                     out.append((rid, b" %d" % rid, b - a, int(frequent[a:b].sum()) + (m.end_count > 0), float(logs[a:b].sum()) + log_end, float(settled[a:b].sum()), 0))
                     place.append(lo + i)
                     rare: dict[bytes, list] = {}
@@ -338,26 +396,22 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
                         t += 1
                     for w, (n, g) in rare.items():
                         out.append((rid, w, 0, 0, 0.0, float(g), n))
-                        place.append(-1)
-                take = pa.array([None if p < 0 else p for p in place], pa.int64())
-                columns = [batch.column(batch.schema.get_field_index(c)).take(take) for c in kept]
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names)
-                lo = hi
-
-    pieces = read.mapInArrow(scored, nullable)
-    seen = counts.select(F.col("token").alias("of_token"), "c")
-    joined = pieces.join(seen, F.col(token) == F.col("of_token"), "left")
-    known = F.col("c").isNotNull()
-    tf = F.col("tf")
+                        place.append(None)
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *columns], ["own", "row", "token", *kinds])
+                lo += len(some)
+
+    pieces = read.mapInArrow(scored, schema)
+    joined = pieces.join(counts.select("token", "c"), "token", "left")
+    known, tf = F.col("c").isNotNull(), F.col("tf")
     logs = F.when(tf > 0, tf * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).otherwise(F.col("logs"))
-    own = F.when(tf == 0, F.col("own")).when(known, F.col("own") + tf * F.log10(F.col("c") + 0.5)).otherwise(tf * F.lit(model.log_unseen))
-    # The text's own row is the one that counts tokens; it carries the text's columns.
-    mine: list[Column] = [F.max(F.when(F.col("tokens") > 0, F.struct(*kept))).alias("kept")] if kept else []
-    summed = joined.groupBy(row).agg(*mine, F.sum("tokens").alias("n_tokens"), F.sum(F.when((tf > 0) & known, tf).otherwise(F.col("known"))).alias("n_known"), F.sum(logs).alias("logs"), F.sum(own).alias("own"))
+    settled = F.when(tf == 0, F.col("settled")).when(known, F.col("settled") + tf * F.log10(F.col("c") + 0.5)).otherwise(tf * F.lit(model.log_unseen))
+    # The text's own row alone carries the text's columns.
+    summed = joined.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum("tokens").alias("n_tokens"), F.sum(F.when((tf > 0) & known, tf).otherwise(F.col("known"))).alias("n_known"), F.sum(logs).alias("logs"), F.sum(settled).alias("settled"))
     empty = model.n_tokens == 0
     base = F.lit(0.0) if empty else F.col("logs") - F.col("n_tokens") * F.lit(math.log10(model.n_tokens + 0.5 * (model.n_types + 1)))
-    return summed.select(*(F.col("kept")[c].alias(c) for c in kept), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.lit(0.0) if empty else F.col("own")).alias("score"))
+    return summed.select(*(F.col("own")[c].alias(c) for c in kept), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.lit(0.0) if empty else F.col("settled")).alias("score"))
 
 
 def op3_language_model(spark, sf_dir):

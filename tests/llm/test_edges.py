@@ -244,23 +244,89 @@ def test_language_model_classes_sum_to_one():
 
 
 def test_language_model_learns_from_all_texts(spark, monkeypatch):
-    """More texts than the sample of 6,000 that it once learned from: classes and weights see each of them."""
+    """More texts than the sample of 6,000 that it once learned from: every pass over the ids sees each of them."""
     seen = {}
     for name in ("learn_classes", "learn_weights"):
         real = getattr(language_model, name)
 
-        def spy(texts, *rest, name=name, real=real):
-            seen[name] = texts.count()
-            return real(texts, *rest)
+        def spy(ids, *rest, name=name, real=real):
+            seen[name] = sum((np.frombuffer(r["ids"], np.int32) == language_model.END).sum() for r in ids.collect())
+            return real(ids, *rest)
 
         monkeypatch.setattr(language_model, name, spy)
-    language_model.train(spark.range(6500).selectExpr("id AS doc_id", "concat('the word ', id % 50, ' of it') AS text"))
+    language_model.train(spark.range(6500).selectExpr("concat('the word ', id % 50, ' of it') AS text"))
     assert seen == {"learn_classes": 6500, "learn_weights": 6500}
 
 
 def test_language_model_table_grows_with_the_corpus():
-    sizes = [language_model.table_rows(n) for n in (0, 10**6, 10**8, 10**12)]
-    assert sizes == sorted(sizes) and sizes[0] == 1 << 14 and sizes[2] >= 1 << 16 and sizes[3] == 1 << 18
+    sizes = [language_model.table_rows(n) for n in (0, 10**6, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 16 and sizes[2] > 1 << 16 and sizes[3] == 1 << 18
+
+
+def test_language_model_score_against_a_plain_version(spark, monkeypatch):
+    """Ten texts, place by place: weights of the hashed features, two softmaxes, and a token's share of its leaf. The
+    probabilities of all seen tokens in a context sum up to one before that mass."""
+    import math
+
+    monkeypatch.setattr(language_model, "HEAD", 40)
+    for name, value in (("BEGIN", 40), ("END", 41), ("RARE", 42)):
+        monkeypatch.setattr(language_model, name, value)
+    rnd = np.random.default_rng(5)
+    vocabulary = [f"w{i}{'ab' if i % 2 else 'cd'}" for i in range(90)]
+    texts = [" ".join(vocabulary[min(89, int(x))] for x in rnd.exponential(15, 60)) for _ in range(10)]
+    model, counts = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    c = {bytes(r["token"]).decode(): r["c"] for r in counts.collect()}
+    head = model.words.decode().split(" ")
+    assert 0 < len(head) <= 40 < len(c)
+    mask, size = (1 << 64) - 1, len(model.weights)
+
+    def number(w):
+        return head.index(w) if w in head else 42 + language_model.suffix_of(w.encode())
+
+    def context(ids):
+        """Features by plain integers, from the ids of the three places before."""
+        shown = [42 + int(model.class_of[i]) if i >= 42 else i for i in ids]
+        hashed = []
+        for k, use in enumerate(language_model.SALTS):
+            h = k + 1
+            for x, salt, on in zip(reversed(shown), language_model.ODD, use, strict=True):
+                if on:
+                    h = ((h ^ (x + 1)) * salt) & mask
+                    h ^= h >> 29
+            hashed.append(h)
+        return hashed
+
+    def row(h):
+        return ((h * language_model.ODD[0]) & mask) >> 40 & (size - 1)
+
+    def softmax(z):
+        e = np.exp(np.array(z, float) - max(z))
+        return e / e.sum()
+
+    def probabilities(hashed):
+        of_class = softmax(model.bias + sum(model.weights[row(h)].astype(float) for h in hashed))
+
+        def of(word):
+            i = number(word)
+            k, j = int(model.class_of[i]), int(model.leaf_of[i])
+            salt = ((k + 1) * language_model.ODD[1]) & mask
+            leaves = softmax(model.inner_bias[k] + sum(model.inner[row(h ^ salt)].astype(float) for h in hashed[: language_model.INNER]))
+            return of_class[k] * leaves[j] * (c[word] + 0.5) / 10 ** model.norm[k * language_model.LEAVES + j]
+
+        return of, of_class[language_model.END_CLASS]
+
+    asked = [*texts[:9], texts[9] + " never seen"]
+    got = language_model.score(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), model, counts).collect()
+    for r in got:
+        before, total = [40, 40, 40], 0.0
+        for w in asked[r["id"]].split():
+            of, _ = probabilities(context(before))
+            total += model.log_seen + math.log10(of(w)) if w in c else model.log_unseen
+            before = [*before[1:], number(w)]
+        total += model.log_seen + math.log10(probabilities(context(before))[1])
+        assert r["score"] == pytest.approx(total, rel=1e-4)
+    of, end = probabilities(context([40, 3, 44]))
+    assert sum(map(of, c)) + end == pytest.approx(1, rel=1e-3)
 
 
 def test_token_counts(odd_rows, no_rows):
