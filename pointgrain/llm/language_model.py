@@ -103,16 +103,29 @@ def rows_at(hashed: list[np.ndarray], at: np.ndarray, of: np.ndarray, size: int)
     return [rows_of(h[at], size) for h in hashed], [rows_of(h[at] ^ salt, size) for h in hashed[:INNER]]
 
 
-def log_softmax(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def exponents(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What the softmax takes the exponential of, less the largest of each place."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += bias
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def log_probability(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax's probability of each place's outcome."""
+    z = exponents(rows, weights, bias)
+    own = z[np.arange(len(of)), of]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def drawn(shares: np.ndarray, random: np.ndarray) -> np.ndarray:
+    """An outcome for each row of shares, with probability in proportion to them."""
+    cumulated = np.cumsum(shares, 1)
+    return np.minimum((cumulated < random[:, None] * cumulated[:, -1:]).sum(1), shares.shape[1] - 1)
+
+
 def pieces_of(texts: list[bytes | None]):
     """The texts in runs of about 6 * CHUNK bytes, since what is derived from them is many times as large."""
     held, size = [], 0
@@ -236,21 +249,22 @@ def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bia
     """Weights of both softmaxes (size rows each) by distributed gradient updates over all texts.
 
     The gradient of a weight is how often its feature and outcome are seen less how often the model expects them. Each
-    task counts both for its texts, the expected outcome of a place drawn from the model as it stands, and a shuffle
-    adds the counts up. An update moves a weight by a share of the log of their ratio (generalised iterative scaling),
-    which needs no step size of its own for rare features. Draws are seeded by the texts, so that reruns agree."""
+    task counts both for its texts, the expected outcome of a place drawn from the model as it stands (a first model
+    has classes by their shares, which needs no draw), and a shuffle adds the counts up. An update moves a weight by a
+    share of the log of their ratio (generalised iterative scaling), which needs no step size of its own for rare
+    features. Draws are seeded by the texts, so that reruns agree."""
     spark, wide = ids.sparkSession, CLASSES + LEAVES
-    seen, weights, inner = np.zeros((size, wide)), np.zeros((size, CLASSES), np.float32), np.zeros((size, LEAVES), np.float32)
-    prior = PRIOR * np.concatenate([np.exp(bias), np.full(LEAVES, 1 / LEAVES)])
+    seen, weights, inner = np.zeros((size, wide), np.float32), np.zeros((size, CLASSES), np.float32), np.zeros((size, LEAVES), np.float32)
+    leaf_shares = np.exp(inner_bias)
+    prior = (PRIOR * np.concatenate([np.exp(bias), np.full(LEAVES, 1 / LEAVES)])).astype(np.float32)
+    # The columns that an update sends: (1 for what is seen and 0 for what is drawn, outcome).
+    drawn_leaves, every = [(0, CLASSES + j) for j in range(LEAVES)], range(wide)
+    cells = [drawn_leaves + [(1, i) for i in every]] + [[(0, i) for i in every]] * (len(RATES) - 1)
     for turn, rate in enumerate(RATES):
         held = spark.sparkContext.broadcast((weights, inner))  # MAX_TABLE rows at most
 
-        def drawn(logs, random):
-            cumulated = np.cumsum(np.exp(logs), 1)
-            return np.minimum((cumulated < random[:, None] * cumulated[:, -1:]).sum(1), logs.shape[1] - 1)
-
         def sums(batches, turn=turn, held=held):
-            found, (outer, within) = np.zeros((2 - min(turn, 1), size * wide), np.int32), held.value
+            counts, (outer, within) = np.zeros((2 - min(turn, 1), size * wide), np.int32), held.value
             for batch in batches:
                 for run in batch.column(0).to_pylist():
                     array, random = np.frombuffer(run, np.int32), np.random.default_rng(zlib.crc32(run))
@@ -258,34 +272,37 @@ def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bia
                     places = np.flatnonzero(of >= 0)
                     for lo in range(0, len(places), CHUNK >> 2):
                         at = places[lo : lo + (CHUNK >> 2)]
-                        rows, inside = rows_at(hashed, at, of[at], size)
-                        # A first update's model has no weights yet.
-                        logs = log_softmax(rows, outer, bias) if turn else np.broadcast_to(bias, (len(at), CLASSES))
-                        leaf_logs = log_softmax(inside, within, inner_bias[of[at]]) if turn else inner_bias[of[at]]
-                        draws = random.random((2, len(at)), np.float32)
-                        outcomes = [(drawn(logs, draws[0]), drawn(leaf_logs, draws[1])), (of[at], leaf[at])][: len(found)]
-                        several = of[at] != END_CLASS
-                        for counts, (k, j) in zip(found, outcomes, strict=True):
-                            for r in rows:
-                                np.add.at(counts, r * wide + k, np.int32(1))
+                        k, several = of[at], of[at] != END_CLASS
+                        rows, inside = rows_at(hashed, at, k, size)
+                        if turn:
+                            outcome = drawn(np.exp(exponents(rows, outer, bias)), random.random(len(at), np.float32))
+                            leaves = drawn(np.exp(exponents(inside, within, inner_bias[k])), random.random(len(at), np.float32))
+                        else:  # there are no weights yet: leaves are drawn by their bias, and classes need no draw
+                            outcome, leaves = k, drawn(leaf_shares[k], random.random(len(at), np.float32))
                             for r in inside:
-                                np.add.at(counts, (r * wide + CLASSES + j)[several], np.int32(1))
-            by_row = found.reshape(len(found), size, wide)
+                                np.add.at(counts[1], (r * wide + CLASSES + leaf[at])[several], np.int32(1))
+                        for r in rows:
+                            np.add.at(counts[int(turn == 0)], r * wide + outcome, np.int32(1))
+                        for r in inside:
+                            np.add.at(counts[0], (r * wide + CLASSES + leaves)[several], np.int32(1))
+            by_row = counts.reshape(len(counts), size, wide)
             touched = np.flatnonzero(by_row.any((0, 2)))
-            columns = [np.ascontiguousarray(x) for part in by_row for x in part[touched].T]
+            columns = [np.ascontiguousarray(by_row[part, touched, i]) for part, i in cells[turn]]
             yield pa.RecordBatch.from_arrays([pa.array(touched.astype(np.int32)), *map(pa.array, columns)], ["row", *(f"n{i}" for i in range(len(columns)))])
 
-        names = [f"n{i}" for i in range(wide * (2 - min(turn, 1)))]
-        totals = ids.mapInArrow(sums, "row int, " + ", ".join(f"{n} int" for n in names)).groupBy("row").agg(*(F.sum(n).alias(n) for n in names))
+        names = [f"n{i}" for i in range(len(cells[turn]))]
+        totals = ids.mapInArrow(sums, "row int, " + ", ".join(f"{n} int" for n in names)).groupBy("row").agg(*(F.sum(n).cast("float").alias(n) for n in names))
         got = totals.toArrow()  # size rows
-        at, both = got.column("row").to_numpy(), np.zeros((len(names), size))
-        for i, n in enumerate(names):
-            both[i, at] = got.column(n).to_numpy()
+        expected, at = np.zeros((size, wide), np.float32), got.column("row").to_numpy()
+        for n, (part, i) in zip(names, cells[turn], strict=True):
+            (seen if part else expected)[at, i] = got.column(n).to_numpy()
         if not turn:
-            seen = both[wide:].T
-        move = rate * np.log((seen + prior) / (both[:wide].T + prior))
-        weights, inner = (weights + move[:, :CLASSES]).astype(np.float32), (inner + move[:, CLASSES:]).astype(np.float32)
-        held.unpersist()
+            expected[:, :CLASSES] = np.exp(bias) * seen[:, :CLASSES].sum(1, keepdims=True)
+        expected += prior
+        move = np.log((seen + prior) / expected) * np.float32(rate)
+        weights, inner = weights + move[:, :CLASSES], inner + move[:, CLASSES:]
+        held.destroy()
+        del got, expected, move
     return weights, inner
 
 
@@ -320,7 +337,7 @@ def train(df: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
         inside[r[0]], kinds[r[0]] = r[1], r[2]
     norm = np.log10(np.maximum(1.0, inside + 0.5 * kinds))
     inside = inside.reshape(CLASSES, LEAVES) + 1e-4  # a leaf without words is all but impossible
-    of_class = inside.sum(1) + 0.5
+    of_class = inside.sum(1)
     of_class[END_CLASS] += n_texts
     bias, inner_bias = np.log(of_class / of_class.sum()).astype(np.float32), np.log(inside / inside.sum(1, keepdims=True)).astype(np.float32)
     weights, inner = learn_weights(ids, class_of, leaf_of, bias, inner_bias, size)
@@ -341,9 +358,8 @@ def place_logs(ids: np.ndarray, m: Model) -> np.ndarray:
     for lo in range(0, len(places), CHUNK >> 2):
         at = places[lo : lo + (CHUNK >> 2)]
         rows, inside = rows_at(hashed, at, of[at], size)
-        each = np.arange(len(at))
-        logs = log_softmax(rows, m.weights, m.bias)[each, of[at]]
-        within = log_softmax(inside, m.inner, m.inner_bias[of[at]])[each, leaf[at]] - m.norm[of[at] * LEAVES + leaf[at]] * math.log(10)
+        logs = log_probability(rows, m.weights, m.bias, of[at])
+        within = log_probability(inside, m.inner, m.inner_bias[of[at]], leaf[at]) - m.norm[of[at] * LEAVES + leaf[at]] * math.log(10)
         own[3 + at] = (logs + np.where(of[at] == END_CLASS, 0.0, within)) / math.log(10)
     return own
 

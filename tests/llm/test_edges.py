@@ -239,8 +239,9 @@ def test_language_model(spark, odd_rows, no_rows):
 def test_language_model_classes_sum_to_one():
     rnd = np.random.default_rng(0)
     rows = [rnd.integers(0, 50, 7) for _ in language_model.SALTS]
-    logs = language_model.log_softmax(rows, rnd.normal(size=(50, language_model.CLASSES)), np.zeros(language_model.CLASSES))
-    assert np.exp(logs).sum(1) == pytest.approx(1)
+    weights, bias = rnd.normal(size=(50, language_model.CLASSES)), np.zeros(language_model.CLASSES)
+    each = [np.exp(language_model.log_probability(rows, weights, bias, np.full(7, k))) for k in range(language_model.CLASSES)]
+    assert sum(each) == pytest.approx(1)
 
 
 def test_language_model_learns_from_all_texts(spark, monkeypatch):
