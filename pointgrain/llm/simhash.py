@@ -4,15 +4,17 @@ near_duplicates follows the law of 64-bit fingerprints; one_of_each, which clean
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bounded_batches, fresh, row_hash, saved, table, without
+from pointgrain.llm.common import bounded_batches, packed, row_hash, saved, table, without
 from pointgrain.llm.components import connected_components
 
 #: Fingerprints link when at most so many of their 64 bits differ.
@@ -24,13 +26,20 @@ TILE = 1024
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 1 << 16
 
-#: Whole documents are held against each other by wide fingerprints of five-word shingles. Sets of shingles with
-#: Jaccard similarity J differ in about acos(2J / (1 + J)) / pi of the bits: 0.152 at 0.8, 0.194 at 0.7. The radius is
-#: 0.172 of the bits, where nine in ten pairs at 0.8 are within it.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 8, 88
-#: Blocks of a wide fingerprint: this many dealings of its bits into blocks of BLOCK_BITS bits. Shorter blocks catch
-#: more pairs, but unrelated texts share them by chance, which grows with the square of the input.
-DEALINGS, BLOCK_BITS = 8, 26
+#: Blocks of the finest split of a narrow fingerprint, for keys that a coarser one leaves crowded.
+FINEST = 10
+
+#: Whole documents are held against each other by their sets of five-word shingles, from this Jaccard similarity on.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Words of 64 bits of a wide fingerprint. Sets of Jaccard similarity J differ in about acos(2J / (1 + J)) / pi of its
+#: bits, at 0.8 in 156 of 1024, give or take 11. Up to SURE bits a pair is similar, beyond WIDE_RADIUS it is not, and
+#: between them the sets decide: one pair in 1,000 at exactly 0.8 falls outside the two.
+WIDE_WORDS, SURE, WIDE_RADIUS = 16, 118, 192
+#: Owners of sets that are looked up by a broadcast, at most (some 60 bytes each); more are joined.
+MAX_BROADCAST = 200_000
+#: Texts that tell which shingles are common: at most so many, and at most this share of all. A shingle in COMMON of
+#: them is common; at most MAX_COMMON are known. Which ones are known moves work, never results.
+SAMPLE, SAMPLE_SHARE, COMMON, MAX_COMMON = 50_000, 16, 4, 200_000
 
 
 def shingle_hashes(words: list[bytes], length: int, begin: int, end: int) -> np.ndarray:
@@ -52,36 +61,59 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def wide_fingerprint(text: bytes | None) -> bytes:
-    """SimHash of WIDE_WORDS 64-bit words of a text's distinct five-word shingles; zeros for no words."""
-    words, size = (text or b"").lower().split(), 8 * WIDE_WORDS
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's distinct five-word shingles; fewer words are one shingle, and no words are none."""
+    words = (text or b"").lower().split()
     if not words:
-        return bytes(size)
-    n = max(1, len(words) - WIDE_SHINGLE + 1)
-    hashes = np.unique(np.concatenate([shingle_hashes(words, WIDE_SHINGLE, at, at + CHUNK) for at in range(0, n, CHUNK)]))
+        return np.zeros(0, np.uint64)
+    codes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+    n = max(1, len(codes) - WIDE_SHINGLE + 1)
+    h = np.full(n, min(len(codes), WIDE_SHINGLE), np.uint64)
+    for j in range(min(len(codes), WIDE_SHINGLE)):
+        h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of WIDE_WORDS 64-bit words of a set of shingles; zeros for none."""
+    size = 8 * WIDE_WORDS
     odd = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, 2 * WIDE_WORDS, 2, dtype=np.uint64)
     counts = np.zeros(256 * size, np.int64)
-    for at in range(0, len(hashes), CHUNK >> 4):
-        mixed = hashes[at : at + (CHUNK >> 4), None] * odd
+    for at in range(0, len(shingles), CHUNK >> 5):
+        mixed = shingles[at : at + (CHUNK >> 5), None] * odd
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(29)
         counts += np.bincount((mixed.view(np.uint8) + 256 * np.arange(size)).ravel(), minlength=256 * size)
     # How often each byte value occurs at each place tells how often each bit is set.
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
-    return np.packbits(2 * (counts.reshape(size, 256) @ bits) > len(hashes), bitorder="little").tobytes()
+    return np.packbits(2 * (counts.reshape(size, 256) @ bits) > len(shingles), bitorder="little").tobytes()
+
+
+def block_shingles(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The blocks that a text is found by: its first shingles in one order that all texts share, common ones last.
+
+    Pigeonhole: a text of n shingles and one of similarity SIMILARITY or more have at least SIMILARITY * n shingles
+    in common. Of any n - ceil(SIMILARITY * n) + 1 shingles of the one at least one is the other's too, and as both
+    take theirs from the front of one order, the first shingle that they share is a block of both."""
+    if not len(shingles):
+        return np.zeros(1, np.int64)
+    known = np.zeros(len(shingles), bool) if not len(common) else common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    place = (shingles >> np.uint64(1)) | (known.astype(np.uint64) << np.uint64(63))
+    n = len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1
+    return np.partition(place, n - 1)[:n].view(np.int64)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, wide: bool = False) -> DataFrame:
-    """Adds the fingerprint column, a long or, if wide, binary, and drops the text."""
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the fingerprint column, a long, and drops the text."""
     kept = [c for c in df.columns if c != text]
-    schema = df.select(*kept).withColumn(out, F.lit(None).cast("binary" if wide else "long")).schema
-    make, kind = (wide_fingerprint, pa.binary()) if wide else (fingerprint, pa.int64())
+    schema = df.select(*kept).withColumn(out, F.lit(None).cast("long")).schema
 
     def hashed(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(map(make, texts), kind)], [*kept, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(map(fingerprint, texts), pa.int64())], [*kept, out])
 
     return df.mapInArrow(hashed, schema)
 
@@ -99,41 +131,53 @@ def choose_blocks(n: int) -> int:
     return next((m for m in range(5, 10) if n <= 1 << (64 * (m - RADIUS) // m)), 10)
 
 
-def star_edges(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least SIMILARITY."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def star_edges(nodes: np.ndarray, prints: np.ndarray, radius: int, sets: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that join the nodes' components under Hamming distance of at most radius: (least of component, member).
-    prints has a row of unsigned 64-bit words for each node."""
-    left, first = np.unique(nodes, return_index=True)
-    prints, edges = prints[first], []
-    while len(left):
-        frontier, members, left, prints = [prints[0]], [int(left[0])], left[1:], prints[1:]
-        while frontier and len(left):
-            near = np.bitwise_count(prints ^ frontier.pop()).sum(1) <= radius
-            if near.any():
-                frontier += list(prints[near])
-                members += left[near].tolist()
-                left, prints = left[~near], prints[~near]
+    prints has a row of unsigned 64-bit words for each node. With sets, these decide beyond SURE bits."""
+    names, first = np.unique(nodes, return_index=True)
+    prints, edges, rest = prints[first], [], np.arange(len(names))
+    while len(rest):
+        frontier, members, rest = [rest[0]], [int(names[rest[0]])], rest[1:]
+        while frontier and len(rest):
+            at = frontier.pop()
+            bits = np.bitwise_count(prints[rest] ^ prints[at]).sum(1)
+            near = bits <= radius
+            for i in np.flatnonzero(near & (bits > SURE)) if sets is not None else ():
+                near[i] = similar(sets[first[at]], sets[first[rest[i]]])
+            frontier += rest[near].tolist()
+            members += names[rest[near]].tolist()
+            rest = rest[~near]
         edges += [(min(members), x) for x in members if x != min(members)] if len(members) > 1 else []
     return edges
 
 
 def tile_edges(n_keys: int, radius: int):
     """Task over rows sorted by their first n_keys columns: the edges of each run of equal keys, which has at most two
-    tiles. The next column is the node, itself the fingerprint unless one more column has it."""
+    tiles. The next column is the node, itself the fingerprint unless two more columns have that and the set."""
 
     def edges(batches):
         group, held, found = None, [], set()
 
         def close():
-            nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            found.update(star_edges(nodes, prints, radius))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            found.update(star_edges(columns[0], columns[1], radius, columns[2] if len(columns) > 2 else None))
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             keys, nodes = [batch.column(i).to_numpy() for i in range(n_keys)], batch.column(n_keys).to_numpy()
-            own = batch.num_columns == n_keys + 1
-            prints = nodes.view(np.uint64)[:, None] if own else np.frombuffer(b"".join(batch.column(n_keys + 1).to_pylist()), np.uint64).reshape(len(nodes), -1)
+            if batch.num_columns == n_keys + 1:
+                columns = [nodes, nodes.view(np.uint64)[:, None]]
+            else:
+                prints = np.frombuffer(b"".join(batch.column(n_keys + 1).to_pylist()), np.uint64).reshape(len(nodes), -1)
+                columns = [nodes, prints, batch.column(n_keys + 2).to_numpy(zero_copy_only=False)]
             cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1), len(nodes)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
@@ -142,7 +186,7 @@ def tile_edges(n_keys: int, radius: int):
                         close()
                         held = []
                     group = now
-                    held.append((nodes[lo:hi], prints[lo:hi]))
+                    held.append([c[lo:hi] for c in columns])
             if len(found) > CHUNK:
                 yield rows()
                 found.clear()
@@ -153,69 +197,137 @@ def tile_edges(n_keys: int, radius: int):
     return edges
 
 
-def tiled(keyed: DataFrame, keys: list[str], node: str) -> DataFrame:
-    """The rows of keyed whose key is shared, with how many tiles their key's nodes are dealt into, and their own."""
-    shared = keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    return keyed.join(shared, keys).withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64(node), tiles).cast("int")})
+def shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of keyed whose key several have, with their number n and the least of their nodes (leader). Keys are
+    counted in partial sums, so a very common one is no group of its own."""
+    groups = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    return keyed.join(groups, keys)
+
 
+def groups_of(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """The rows in runs of equal keys, a run in one task: for keys of at most TILE rows."""
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
 
-def tile_pairs(dealt: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """Each row once for every pair of tiles that its own is in, all rows of a pair in one task and next to each other."""
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+
+def tile_pairs(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """For crowded keys: a key's rows are dealt into tiles, and each row comes once for every pair of tiles that its
+    own is in, all rows of a pair in one task and next to each other."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    spread = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     pairs = spread.select(*keys, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *columns)
     return pairs.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 
-def links(values: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints (column value) whose closure is that of all links within RADIUS bits.
+def links(values: DataFrame, blocks: int) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints (column node) whose closure is that of all links within RADIUS bits.
 
-    Fingerprints meet where they share a block key. A key's fingerprints are dealt into tiles, and each pair of tiles
-    is one group of at most about 2 * TILE rows: a very common key spreads over many tasks, and none is capped. In a
-    group a search from each component's first fingerprint gives a star of edges in place of all pairs."""
-    keyed = values.select("value", F.posexplode(block_keys(F.col("value"), choose_blocks(n))).alias("choice", "key"))
-    groups = tile_pairs(tiled(keyed, ["choice", "key"], "value"), ["choice", "key"], "value")
-    return groups.mapInArrow(tile_edges(4, RADIUS), "a long, b long").distinct()
+    Fingerprints meet where they share a block key. In a key's group a search from each component's first fingerprint
+    gives a star of edges in place of all pairs. The fingerprints of a crowded key are split by further bits: they get
+    the longer keys of the finest split, under which close pairs share one as well. What is crowded even then differs
+    in 19 bits at most, and is dealt over pairs of tiles; no key is capped."""
+    keyed = values.select("node", F.posexplode(block_keys(F.col("node"), blocks)).alias("choice", "key"))
+    met = saved(shared(keyed, ["choice", "key"]).select("choice", "key", "node", "n"))
+    small, crowded = met.where(F.col("n") <= TILE), met.where(F.col("n") > TILE)
+    edges = groups_of(small, ["choice", "key"], "node").mapInArrow(tile_edges(2, RADIUS), "a long, b long")
+    if crowded.isEmpty():
+        return edges.distinct()
+    if blocks < FINEST:
+        return edges.unionByName(links(saved(crowded.select("node").distinct()), FINEST)).distinct()
+    return edges.unionByName(tile_pairs(crowded, ["choice", "key"], "node").mapInArrow(tile_edges(4, RADIUS), "a long, b long")).distinct()
 
 
-def wide_blocks(prints: np.ndarray) -> np.ndarray:
-    """Keys of wide fingerprints, a row of bytes each: the blocks of DEALINGS fixed shuffles of the bits, with the
-    block's number above its bits."""
-    bits = np.unpackbits(prints, axis=1)
-    per = bits.shape[1] // BLOCK_BITS
-    powers = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-    keys = [bits[:, np.random.default_rng(d).permutation(bits.shape[1])[: per * BLOCK_BITS]].reshape(-1, per, BLOCK_BITS) @ powers for d in range(DEALINGS)]
-    return np.concatenate(keys, 1) + (np.arange(DEALINGS * per, dtype=np.int64) << BLOCK_BITS)
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes of common shingles, sorted, from a bounded sample of the distinct texts (column body)."""
+    code = F.xxhash64("body")
+    share = min(1_000_000 // SAMPLE_SHARE, 1_000_000 * SAMPLE // max(1, texts.count()))
+    some = texts.where(F.pmod(code, F.lit(1_000_000)) < share).groupBy(code).agg(F.first("body").alias("body")).select("body")
+
+    def shingles(batches):
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], ["h"])
 
+    counted = some.mapInArrow(shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counted.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()  # MAX_COMMON rows at most
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
 
-def wide_links(values: DataFrame) -> DataFrame:
-    """Edges (a, b) among nodes (columns node, print) whose wide fingerprints share a block and differ in at most
-    WIDE_RADIUS bits.
 
-    Pigeonhole: as one dealing has 19 blocks, pairs within 18 bits (similarity of about 0.99 or more) always share one;
-    for others it is likely: of pairs at 0.90-0.95, 0.85-0.90 and 0.80-0.85 about 99.9, 98 and 89 in 100 are found.
-    Fingerprints leave for a task only where a key is shared, and meet in tiles as in links."""
+def sketched(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """texts (columns its_key, its_mark, body) with node (a hash of the set of shingles), print and blocks in place of
+    the body."""
+    schema = texts.select("its_key", "its_mark").withColumns({"node": F.lit(0).cast("long"), "print": F.lit(b"").cast("binary"), "blocks": F.array(F.lit(0).cast("long"))}).schema
+    held = texts.sparkSession.sparkContext.broadcast(common)
 
-    def keys(batches):
+    def sketch(batches):
         for batch in batches:
-            if batch.num_rows:
-                found = wide_blocks(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), found.shape[1]))], ["key", "node"])
+            sets = [shingle_set(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) - (1 << 63) for x in sets], pa.int64())
+            blocks = pa.array([block_shingles(x, held.value) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(map(wide_fingerprint, sets), pa.binary()), blocks], schema.names)
 
-    keyed = values.select("node", "print").mapInArrow(keys, "key long, node long")
-    dealt = tiled(keyed, ["key"], "node").join(values.select("node", "print"), "node")
-    found = saved(tile_pairs(dealt, ["key"], "node", "print").mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long").distinct())
-    return fewer_edges(fewer_edges(found))
+    return texts.mapInArrow(sketch, schema)
 
 
-def fewer_edges(edges: DataFrame) -> DataFrame:
-    """Edges with the same components. A node has an edge for each block that it shares with another least node; it
-    keeps that to the least of all, and the least nodes are joined with each other, where most edges are repeated. A
-    node's list is bounded by its blocks and their tiles."""
-    nodes = edges.groupBy("b").agg(F.collect_set("a").alias("all"), F.min("a").alias("a"))
-    ends = F.array_union(F.array("b"), F.array_remove("all", F.col("a")))
-    # The larger of two ends is the member, so that the next round has it in b.
-    return nodes.select("a", F.explode(ends).alias("b")).distinct()
+def sets_of(texts: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of owners (columns node, own_key, own_mark: the row that has a node's text)."""
+    owners = F.broadcast(owners) if owners.count() <= MAX_BROADCAST else owners
+    theirs = F.col("its_key").eqNullSafe(F.col("own_key")) & (F.col("its_mark") == F.col("own_mark"))
+
+    def made(batches):
+        for batch in batches:
+            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    found = texts.join(owners, theirs).select("node", "body").mapInArrow(made, "node long, shingles array<long>")
+    return saved(found.groupBy("node").agg(F.first("shingles").alias("shingles")))  # equal rows have one
+
+
+def verified(pairs: DataFrame, values: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The similar ones among the pairs (a, b): by their wide fingerprints where these are sure, else by their sets."""
+
+    def longs(code: str):
+        return F.transform(F.sequence(F.lit(1), F.lit(16 * WIDE_WORDS), F.lit(16)), lambda i: F.conv(F.substr(F.hex(code), i, F.lit(16)), 16, -10).cast("long"))
+
+    def ends(of: DataFrame, column: str) -> list[DataFrame]:
+        return [of.select(F.col("node").alias(n), F.col(column).alias(f"of_{n}")) for n in "ab"]
+
+    left, right = ends(values, "print")
+    bits = F.aggregate(F.zip_with(longs("of_a"), longs("of_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    close = saved(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= WIDE_RADIUS))
+    unsure = close.where(F.col("bits") > SURE)
+    if unsure.isEmpty():
+        return close.select("a", "b")
+    left, right = ends(sets(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    exact = unsure.join(left, "a").join(right, "b").where(both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both) - 1e-9)
+    return close.where(F.col("bits") <= SURE).select("a", "b").unionByName(exact.select("a", "b"))
+
+
+def wide_links(values: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) among nodes (columns node, print, blocks) whose closure is that of all similar pairs. sets gives
+    the sets (node, shingles) of some nodes.
+
+    First each node meets its blocks' least nodes, which joins most of a group of copies by a few pairs a node. Blocks
+    whose nodes are then in one component are settled. In the others each node outside meets one more node, picked by
+    a hash, which joins the stragglers of large groups. What is left, mostly texts that share a passage and no more,
+    is searched whole: groups of one block in a task, crowded blocks over pairs of tiles. So no pair is left out, and
+    none is met for nothing but where a block's nodes are of several components."""
+    met = saved(shared(values.select(F.explode("blocks").alias("block"), "node"), ["block"]))
+    edges = saved(verified(met.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")), values, sets))
+    for last in (False, True):
+        root = connected_components(edges).withColumnRenamed("node", "of")
+        now = met.select("block", "node", "n").join(root, F.col("node") == F.col("of"), "left").select("block", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = now.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by(F.struct("node", "root"), F.xxhash64("node", "block")).alias("pick")).where("low < high")
+        met = saved(now.join(several, "block").select("block", "node", "n", "root", "pick"))
+        if met.isEmpty():
+            return edges
+        if not last:
+            apart = met.where("pick.root <> root").select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b"))
+            edges = saved(edges.unionByName(verified(apart, values, sets)))
+    rows = met.select("block", "node", "n").join(values.select("node", "print"), "node").join(sets(met.select("node").distinct()), "node")
+    small = groups_of(rows.where(F.col("n") <= TILE), ["block"], "node", "print", "shingles").mapInArrow(tile_edges(1, WIDE_RADIUS), "a long, b long")
+    crowded = tile_pairs(rows.where(F.col("n") > TILE), ["block"], "node", "print", "shingles").mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long")
+    return edges.unionByName(small).unionByName(crowded).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,41 +336,48 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Rows with equal fingerprints collapse first, so copies cost one row, however many there are.
 
-    Defined cases: null, empty and wordless texts have fingerprint 0 and are linked like any other; keys may repeat;
-    null keys are passed over when the smallest is taken, and a component of null keys only has a null id; an empty
-    table gives no rows; input columns named as an output are replaced."""
+    Defined cases: null, empty and wordless texts have fingerprint 0 and are linked like any other; very long texts are
+    hashed whole, in chunks; keys may repeat; null keys are passed over when the smallest is taken, and a component of
+    null keys only has a null id; an empty table gives no rows; input columns named as an output are replaced, and all
+    others travel in one struct, so no name of theirs can clash."""
     bounded_batches(df.sparkSession)
-    df = without(df, "fingerprint", "component_id")
-    rows = saved(with_fingerprint(df, text, "fingerprint"))
-    values = saved(rows.groupBy(F.col("fingerprint").alias("value")).agg(F.min(key).alias("least")))
-    roots = connected_components(links(values.select("value"), values.count()))
-    rooted = values.join(roots, F.col("value") == F.col("node"), "left").select("value", "least", F.coalesce("root", "value").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    named = saved(rooted.join(least, F.col("root") == F.col("of")).select("value", "component_id"))
-    return rows.join(named, F.col("fingerprint") == F.col("value")).drop("value")
+    kept = [c for c in without(df, "fingerprint", "component_id").columns if c != text]
+    read = df.select(packed(df, kept).alias("own"), F.col(f"`{key}`").alias("its_key"), F.col(f"`{text}`").alias("body"))
+    rows = saved(with_fingerprint(read, "body", "fingerprint"))
+    values = saved(rows.groupBy(F.col("fingerprint").alias("node")).agg(F.min("its_key").alias("least")))
+    roots = connected_components(links(values.select("node"), choose_blocks(values.count()))).withColumnRenamed("node", "of")
+    rooted = values.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("group")).agg(F.min("least").alias("component_id"))
+    named = saved(rooted.join(least, F.col("root") == F.col("group")).select("node", "component_id"))
+    joined = rows.join(named, F.col("fingerprint") == F.col("node"))
+    return joined.select(*(F.col("own")[c].alias(c) for c in kept), "fingerprint", "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of near copies, that with the smallest key: texts whose sets of five-word shingles
-    are about 0.8 alike or more by wide fingerprints, and all that such links join.
-
-    Defined cases: texts without words are copies of each other; null keys come last; rows with equal keys are told
-    apart by a hash of the row; of equal rows one stays; an empty table gives no rows; all columns are kept."""
+    """df with one row of each group of near copies, that with the smallest key. Texts are linked if their sets of
+    five-word shingles have a Jaccard similarity of SIMILARITY or more; a group is all that links join. All such pairs
+    share a block, and a pair that shares one is held against each other by wide fingerprints and, near the border,
+    by the sets themselves.
+
+    Defined cases: texts without words are copies of each other; very long texts are taken whole; null keys come last;
+    rows with equal keys are told apart by a hash of the row; of equal rows one stays; an empty table gives no rows; all
+    columns are kept, and travel in one struct, so no name of theirs can clash."""
     bounded_batches(df.sparkSession)
-    mark, rank = fresh(df, "mark", "rank")
-    marked = df.withColumn(mark, row_hash(df))
-    made = with_fingerprint(marked.select(F.col(key).alias("its_key"), F.col(mark).alias("its_mark"), F.col(text).alias("body")), "body", "print", wide=True)
-    rows = saved(made.withColumn("node", F.xxhash64("print")))
+    packs = df.select(packed(df).alias("own"), F.col(f"`{key}`").alias("its_key"), row_hash(df).alias("its_mark"), F.col(f"`{text}`").alias("body"))
+    texts = packs.select("its_key", "its_mark", "body")
+    rows = saved(sketched(texts, common_shingles(texts.select("body"))))
     # Copies collapse here: from now on a text costs one row, however many have it.
     first = F.min(F.struct(F.col("its_key").isNull().alias("no_key"), "its_key", "its_mark")).alias("first")
-    values = saved(rows.groupBy("node").agg(F.first("print").alias("print"), first))
-    roots = connected_components(wide_links(values)).withColumnRenamed("node", "of")
+    values = saved(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("blocks").alias("blocks"), first))
+    owners = values.select("node", F.col("first.its_key").alias("own_key"), F.col("first.its_mark").alias("own_mark"))
+    found = wide_links(values, lambda nodes: sets_of(texts, owners.join(nodes, "node")))
+    roots = connected_components(found).withColumnRenamed("node", "of")
     rooted = values.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     keys = rooted.select(F.col("first.its_key").alias("kept_key"), F.col("first.its_mark").alias("kept_mark"))
-    kept = marked.join(keys, F.col(key).eqNullSafe(F.col("kept_key")) & (F.col(mark) == F.col("kept_mark")), "left_semi")
+    kept = packs.join(keys, F.col("its_key").eqNullSafe(F.col("kept_key")) & (F.col("its_mark") == F.col("kept_mark")), "left_semi")
     if not rows.groupBy("its_key", "its_mark").count().where("count > 1").isEmpty():
-        kept = kept.withColumn(rank, F.row_number().over(Window.partitionBy(key, mark).orderBy(F.lit(0)))).where(F.col(rank) == 1).drop(rank)
-    return kept.drop(mark)
+        kept = kept.dropDuplicates(["its_key", "its_mark"])
+    return kept.select("own.*")
 
 
 def op10_simhash(spark, sf_dir):
