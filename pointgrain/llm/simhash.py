@@ -62,7 +62,9 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of a text's distinct five-word shingles; fewer words are one shingle, and no words are none."""
+    """Codes of a text's distinct five-word shingles, sorted: 56 bits of a hash, and above them what the shingle's bytes
+    lack of 255, so that long shingles, which texts seldom share by chance, come first. Fewer words are one shingle, and
+    no words are none."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -72,7 +74,9 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     for j in range(min(len(codes), WIDE_SHINGLE)):
         h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    ends = np.cumsum([0, *map(len, words)])
+    short = 255 - np.minimum(255, ends[-n:] - ends[:n]).astype(np.uint64)
+    return np.unique((short << np.uint64(56)) | (h >> np.uint64(8)))
 
 
 def wide_fingerprint(shingles: np.ndarray) -> bytes:
@@ -92,7 +96,8 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def block_shingles(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The blocks that a text is found by: its first shingles in one order that all texts share, common ones last.
+    """The blocks that a text is found by: its first shingles in one order that all texts share, which is that of their
+    codes with common ones last.
 
     Pigeonhole: a text of n shingles and one of similarity SIMILARITY or more have at least SIMILARITY * n shingles
     in common. Of any n - ceil(SIMILARITY * n) + 1 shingles of the one at least one is the other's too, and as both
@@ -157,41 +162,45 @@ def star_edges(nodes: np.ndarray, prints: np.ndarray, radius: int, sets: np.ndar
     return edges
 
 
+def runs_of(batches, n_keys: int):
+    """The rest of the columns of rows that stand sorted by their first n_keys ones, a run of equal keys at a time:
+    nodes, prints (a node is its own if there is no more) and what comes behind them."""
+    group, held = None, []
+    for batch in batches:
+        keys, nodes = [batch.column(i).to_numpy() for i in range(n_keys)], batch.column(n_keys).to_numpy()
+        columns = [nodes]
+        if batch.num_columns == n_keys + 1:
+            columns.append(nodes.view(np.uint64)[:, None])
+        else:
+            columns.append(np.frombuffer(b"".join(batch.column(n_keys + 1).to_pylist()), np.uint64).reshape(len(nodes), -1))
+        columns += [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys + 2, batch.num_columns)]
+        cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1), len(nodes)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                now = tuple(k[lo] for k in keys)
+                if held and group != now:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                group = now
+                held.append([c[lo:hi] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def tile_edges(n_keys: int, radius: int):
-    """Task over rows sorted by their first n_keys columns: the edges of each run of equal keys, which has at most two
-    tiles. The next column is the node, itself the fingerprint unless two more columns have that and the set."""
+    """Task over rows sorted by their first n_keys columns: the edges of each run of equal keys, of two tiles at most."""
 
     def edges(batches):
-        group, held, found = None, [], set()
-
-        def close():
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            found.update(star_edges(columns[0], columns[1], radius, columns[2] if len(columns) > 2 else None))
+        found = set()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for batch in batches:
-            keys, nodes = [batch.column(i).to_numpy() for i in range(n_keys)], batch.column(n_keys).to_numpy()
-            if batch.num_columns == n_keys + 1:
-                columns = [nodes, nodes.view(np.uint64)[:, None]]
-            else:
-                prints = np.frombuffer(b"".join(batch.column(n_keys + 1).to_pylist()), np.uint64).reshape(len(nodes), -1)
-                columns = [nodes, prints, batch.column(n_keys + 2).to_numpy(zero_copy_only=False)]
-            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1), len(nodes)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    now = tuple(k[lo] for k in keys)
-                    if held and group != now:
-                        close()
-                        held = []
-                    group = now
-                    held.append([c[lo:hi] for c in columns])
+        for nodes, prints, *sets in runs_of(batches, n_keys):
+            found.update(star_edges(nodes, prints, radius, *sets))
             if len(found) > CHUNK:
                 yield rows()
                 found.clear()
-        if held:
-            close()
         yield rows()
 
     return edges
@@ -303,20 +312,37 @@ def verified(pairs: DataFrame, values: DataFrame, sets: Callable[[DataFrame], Da
     return close.where(F.col("bits") <= SURE).select("a", "b").unionByName(exact.select("a", "b"))
 
 
+def searched(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Edges inside the keys of the rows (n of a key): whole keys in a task, crowded ones over pairs of tiles."""
+    small = groups_of(rows.where(F.col("n") <= TILE), [key], *columns).mapInArrow(tile_edges(1, WIDE_RADIUS), "a long, b long")
+    crowded = tile_pairs(rows.where(F.col("n") > TILE), [key], *columns).mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long")
+    return small.unionByName(crowded).distinct()
+
+
+def near_roots(edges: DataFrame) -> DataFrame:
+    """(of, root): for the nodes of the edges a node of their component, mostly its least: three steps to ever smaller
+    neighbours. It tells that two nodes are joined, not that they are not."""
+    low = edges.select(F.greatest("a", "b").alias("of"), F.least("a", "b").alias("root")).groupBy("of").agg(F.min("root").alias("root"))
+    low = saved(low)
+    up = low.select(F.col("of").alias("at"), F.col("root").alias("above"))
+    for _ in range(2):
+        low = low.join(up, F.col("root") == F.col("at"), "left").select("of", F.coalesce("above", "root").alias("root"))
+    return low
+
+
 def wide_links(values: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) among nodes (columns node, print, blocks) whose closure is that of all similar pairs. sets gives
     the sets (node, shingles) of some nodes.
 
     First each node meets its blocks' least nodes, which joins most of a group of copies by a few pairs a node. Blocks
-    whose nodes are then in one component are settled. In the others each node outside meets one more node, picked by
+    whose nodes are then seen to be joined are settled. In the others each node outside meets one more node, picked by
     a hash, which joins the stragglers of large groups. What is left, mostly texts that share a passage and no more,
     is searched whole: groups of one block in a task, crowded blocks over pairs of tiles. So no pair is left out, and
-    none is met for nothing but where a block's nodes are of several components."""
+    none is met for nothing but where a block's nodes are not seen to be joined."""
     met = saved(shared(values.select(F.explode("blocks").alias("block"), "node"), ["block"]))
     edges = saved(verified(met.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")), values, sets))
     for last in (False, True):
-        root = connected_components(edges).withColumnRenamed("node", "of")
-        now = met.select("block", "node", "n").join(root, F.col("node") == F.col("of"), "left").select("block", "node", "n", F.coalesce("root", "node").alias("root"))
+        now = met.select("block", "node", "n").join(near_roots(edges), F.col("node") == F.col("of"), "left").select("block", "node", "n", F.coalesce("root", "node").alias("root"))
         several = now.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by(F.struct("node", "root"), F.xxhash64("node", "block")).alias("pick")).where("low < high")
         met = saved(now.join(several, "block").select("block", "node", "n", "root", "pick"))
         if met.isEmpty():
@@ -324,10 +350,18 @@ def wide_links(values: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Dat
         if not last:
             apart = met.where("pick.root <> root").select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b"))
             edges = saved(edges.unionByName(verified(apart, values, sets)))
-    rows = met.select("block", "node", "n").join(values.select("node", "print"), "node").join(sets(met.select("node").distinct()), "node")
-    small = groups_of(rows.where(F.col("n") <= TILE), ["block"], "node", "print", "shingles").mapInArrow(tile_edges(1, WIDE_RADIUS), "a long, b long")
-    crowded = tile_pairs(rows.where(F.col("n") > TILE), ["block"], "node", "print", "shingles").mapInArrow(tile_edges(3, WIDE_RADIUS), "a long, b long")
-    return edges.unionByName(small).unionByName(crowded).distinct()
+    prints = values.select("node", "print")
+    near = saved(searched(met.join(prints, "node"), "block", "node", "print"))
+    if near.isEmpty():
+        return edges
+    # Most of these texts are close to none by their prints. Those that are meet once more, with their sets, in groups of
+    # all that close prints join.
+    group = connected_components(near).select("node", F.col("root").alias("group"))
+    members = group.join(met.select("node", "root").distinct(), "node")
+    apart = members.groupBy("group").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    chosen = saved(members.join(apart, "group").select("group", "node", "n"))
+    held = chosen.join(prints, "node").join(sets(chosen.select("node")), "node")
+    return edges.unionByName(searched(held, "group", "node", "print", "shingles")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,7 +399,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     bounded_batches(df.sparkSession)
     packs = df.select(packed(df).alias("own"), F.col(f"`{key}`").alias("its_key"), row_hash(df).alias("its_mark"), F.col(f"`{text}`").alias("body"))
     texts = packs.select("its_key", "its_mark", "body")
-    rows = saved(sketched(texts, common_shingles(texts.select("body"))))
+    rows = sketched(texts, common_shingles(texts.select("body")))
     # Copies collapse here: from now on a text costs one row, however many have it.
     first = F.min(F.struct(F.col("its_key").isNull().alias("no_key"), "its_key", "its_mark")).alias("first")
     values = saved(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("blocks").alias("blocks"), first))
@@ -375,8 +409,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rooted = values.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     keys = rooted.select(F.col("first.its_key").alias("kept_key"), F.col("first.its_mark").alias("kept_mark"))
     kept = packs.join(keys, F.col("its_key").eqNullSafe(F.col("kept_key")) & (F.col("its_mark") == F.col("kept_mark")), "left_semi")
-    if not rows.groupBy("its_key", "its_mark").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["its_key", "its_mark"])
+    if not packs.groupBy("its_key", "its_mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["its_key", "its_mark"])  # of equal rows a partial aggregate keeps one
     return kept.select("own.*")
 
 
