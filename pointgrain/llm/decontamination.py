@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import ascii_lower, fresh, row_hash, table, without
+from pointgrain.llm.common import ascii_lower, fresh, packed, row_hash, table, without
 
 #: Words of a window; an item of fewer words is one window of all its words.
 WINDOW = 10
@@ -36,35 +36,39 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
 
     Each word position of a text, and position 0 that every row has, is a row inside one stage: its window's hash
     probes the set, a hash match is verified word by word, and a partial aggregate gathers a row's matches before the
-    one shuffle."""
-    df = without(df, "n_words", "n_hit", "spans", "items")
+    one shuffle. A set too large to broadcast is joined by a shuffle of the windows' hashes and words.
+
+    Defined cases: null, empty and wordless texts have no words and no hits; very long texts are read whole; repeated
+    rows and items are judged alike; items without words or an empty item table hit nothing; an empty table gives no
+    rows; input columns named as an output are replaced, and all others travel in one struct, so no name can clash."""
+    kept = [c for c in without(df, "n_words", "n_hit", "spans", "items").columns if c != text]
     windows = item_windows(items, item_id, text)
     size = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
     lengths = sorted(r["length"] for r in size)
     small = sum(r["n"] for r in size) <= MAX_BROADCAST
-    kept = [c for c in df.columns if c != text]
-    row, all_words, codes, at, length, probed = fresh(df, "row", "all_words", "codes", "at", "length", "probed")
-    windows = windows.select(F.col("length").alias("__length"), F.col("hash").alias("__hash"), F.col("words").alias("__words"), F.col("items").alias("__items"))
-    read = df.select(*kept, F.monotonically_increasing_id().alias(row), tokens(F.col(text)).alias(all_words))
-    read = read.withColumns({codes: F.transform(all_words, lambda w: F.xxhash64(w)), "n_words": F.size(all_words)})
-    places = read.withColumn(at, F.explode(F.sequence(F.lit(0), F.col("n_words"))))
-    places = places.withColumn(length, F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths or [WINDOW]))))
-    inside = (F.col(at) > 0) & (F.col(at) + F.col(length) - 1 <= F.col("n_words"))
-    start = F.greatest(F.col(at), F.lit(1))  # slice refuses 0
-    code = F.when(inside, F.xxhash64(F.slice(F.col(codes), start, F.col(length))))
-    probe = places.withColumn(probed, code)
-    window = F.slice(F.col(all_words), start, F.col(length))
+    windows = windows.select(F.col("length").alias("of_length"), F.col("hash").alias("of_hash"), F.col("words").alias("of_words"), F.col("items").alias("of_items"))
+    read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias("row"), tokens(F.col(f"`{text}`")).alias("all_words"))
+    read = read.withColumns({"codes": F.transform("all_words", lambda w: F.xxhash64(w)), "n_words": F.size("all_words")})
+    places = read.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_words"))))
+    places = places.withColumn("length", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths or [WINDOW]))))
+    inside = (F.col("at") > 0) & (F.col("at") + F.col("length") - 1 <= F.col("n_words"))
+    start = F.greatest(F.col("at"), F.lit(1))  # slice refuses 0
+    code = F.when(inside, F.xxhash64(F.slice(F.col("codes"), start, F.col("length"))))
+    probe = places.withColumn("probed", code)
+    window = F.slice(F.col("all_words"), start, F.col("length"))
     if not small:
-        # A shuffled place takes its own window along, never its text's arrays. Unhashed places get codes of their own,
-        # so that they do not meet in one task.
-        code = F.coalesce(F.col(probed), F.xxhash64(row, at))
-        probe = probe.select(*kept, row, "n_words", at, length, code.alias(probed), window.alias(all_words))
-        window = F.col(all_words)
-    on = (F.col(probed) == F.col("__hash")) & (F.col(length) == F.col("__length")) & (window == F.col("__words"))
-    found = probe.join(F.broadcast(windows) if small else windows, on, "left").where((F.col(at) == 0) | F.col("__hash").isNotNull())
-    hit = F.when(F.col("__hash").isNotNull(), F.struct(F.col(at).alias("s"), (F.col(at) + F.col(length)).alias("e")))
-    grouped = found.groupBy(row, *kept, "n_words").agg(F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("__items"))).alias("items"))
-    return grouped.withColumn("spans", merged("all_hits")).withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long")).drop(row, "all_hits")
+        # A shuffled place takes its own window along, never its text's arrays. Places without a window get codes of their
+        # own, so that they do not meet in one task.
+        code = F.coalesce(F.col("probed"), F.xxhash64("row", "at"))
+        probe = probe.select("own", "row", "n_words", "at", "length", code.alias("probed"), window.alias("all_words"))
+        window = F.col("all_words")
+    on = (F.col("probed") == F.col("of_hash")) & (F.col("length") == F.col("of_length")) & (window == F.col("of_words"))
+    found = probe.join(F.broadcast(windows) if small else windows, on, "left").where((F.col("at") == 0) | F.col("of_hash").isNotNull())
+    hit = F.when(F.col("of_hash").isNotNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("length")).alias("e")))
+    grouped = found.groupBy("row", "n_words").agg(F.first("own").alias("own"), F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("of_items"))).alias("items"))
+    grouped = grouped.withColumn("spans", merged("all_hits"))
+    n_hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long").alias("n_hit")
+    return grouped.select(*(F.col("own")[c].alias(c) for c in kept), "n_words", n_hit, "spans", "items")
 
 
 def merged(sorted_hits: str) -> Column:
@@ -80,7 +84,10 @@ def merged(sorted_hits: str) -> Column:
 
 
 def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that hold a window of an item."""
+    """df without the rows that hold a window of an item.
+
+    Defined cases: as hits; rows with equal keys, null ones too, are told apart by a hash of the row; all columns are
+    kept."""
     mark, bad_key, bad_mark = fresh(df, "mark", "bad_key", "bad_mark")
     bad = hits(df.withColumn(mark, row_hash(df)).select(key, text, mark), items, text).where("n_hit > 0")
     bad = bad.select(F.col(key).alias(bad_key), F.col(mark).alias(bad_mark))
@@ -90,7 +97,7 @@ def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", t
 
 def without_spans(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """df with the hit words, and the characters right before each of them, cut out of the texts; other texts stay as
-    they are. Rows are gathered with their texts, since the cut needs both."""
+    they are. Rows are gathered with their texts, since the cut needs both. Defined cases: as hits; a null text stays."""
     whole, pieces = fresh(df, "whole", "pieces")
     found = hits(df.withColumn(whole, F.col(text)), items, text)
     # A piece is a word with what stands before it; what follows the last word is kept.

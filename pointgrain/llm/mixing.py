@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import WORD, bucket_count, fresh, row_hash, saved, search, table, without
+from pointgrain.llm.common import WORD, bucket_count, packed, row_hash, saved, search, table, without
 
 #: Fractional part of the golden ratio: multiples of it spread evenly over the unit interval.
 GOLDEN = 0.6180339887498949
@@ -96,12 +96,14 @@ def completed(slots: DataFrame, plan: DataFrame, n_slots: int, block: int) -> Da
     return slots.unionByName(rest.select((n_slots + F.col("rank") * plan.count() + F.col("source_no")).cast("long").alias("slot"), "source_no", "rank"))
 
 
-def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | None) -> tuple[DataFrame, DataFrame]:
-    """The rows with their source's plan and their place in its stream of words, and the schedule's slots."""
-    spark = df.sparkSession
-    df = without(df, "size", "source_no", "source_size", "target", "starts", "ordinal", "block", "__tie", "__bucket")
+def placed_rows(df: DataFrame, kept: list[str], source: str, text: str, seed: int, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of df with their source's plan and their place in its stream of words, and the schedule's slots. Their
+    kept columns are one struct (own), so no name of theirs can clash."""
+    spark, source, text = df.sparkSession, f"`{source}`", f"`{text}`"
+    df = df.select(packed(df, kept).alias("own"), F.col(source).alias("source_"), F.col(text).alias("body"), row_hash(df, kept).alias("code"))
+    source, text = "source_", "body"
     buckets = bucket_count(spark)
-    sized = df.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__tie": F.xxhash64(F.lit(seed), row_hash(df))})
+    sized = df.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__tie": F.xxhash64(F.lit(seed), "code")}).drop("body", "code")
     sized = sized.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__tie", 40), F.lit(buckets)).cast("int"))
     totals = saved(sized.groupBy(F.col(source).alias("at_source"), F.col("__bucket").alias("at_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
     known = source_targets(totals.groupBy("at_source").agg(F.sum("words").alias("source_size")), "at_source")
@@ -122,7 +124,7 @@ def placed_rows(df: DataFrame, source: str, text: str, seed: int, block: int | N
     placed = sized.withColumns({"starts": F.sum("size").over(inside) - F.col("size"), "ordinal": F.row_number().over(inside)})
     placed = placed.join(offsets, F.col(source).eqNullSafe(F.col("at_source")) & (F.col("__bucket") == F.col("at_bucket")))
     placed = placed.withColumns({"starts": F.col("words_before") + F.col("starts"), "ordinal": F.col("rows_before") + F.col("ordinal"), "block": F.lit(block).cast("long")})
-    return placed.drop("__tie", "__bucket", "at_source", "at_bucket", "words_before", "rows_before", "name"), slots
+    return placed.drop("__tie", "__bucket", "at_source", "at_bucket", "words_before", "rows_before", "name", "source_"), slots
 
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1, block: int | None = None) -> DataFrame:
@@ -138,9 +140,11 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1
     in its source's stream), ordinal (its place there), block, and slot, rank, from_word, words. A row of which the
     mix takes nothing comes once, with words 0 and a null slot.
 
-    Defined cases: a null or wordless text has size 0 and is not taken; null is a source of its own; equal rows are
-    interchangeable; an empty table gives no rows; input columns named as an output are replaced."""
-    placed, slots = placed_rows(without(df, "slot", "rank", "from_word", "words", "copy"), source, text, seed, block)
+    Defined cases: a null or wordless text has size 0 and is not taken; a very long one is dealt over many blocks; null
+    is a source of its own; equal rows are interchangeable; an empty table gives no rows; input columns named as an
+    output are replaced, and no other name can clash."""
+    kept = without(df, "size", "source_no", "source_size", "target", "starts", "ordinal", "block", "slot", "rank", "from_word", "words", "copy").columns
+    placed, slots = placed_rows(df, kept, source, text, seed, block)
     begin = F.col("starts") + F.col("copy") * F.col("source_size")
     end = F.least(begin + F.col("size"), F.round("target").cast("long"))
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))).withColumns({"begin": begin, "end": end})
@@ -150,20 +154,23 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1
     pieces = pieces.withColumn("from_word", F.greatest(F.col("begin"), F.col("rank") * F.col("block")) - F.col("begin"))
     pieces = pieces.withColumn("words", F.least(F.col("end"), (F.col("rank") + 1) * F.col("block")) - F.col("begin") - F.col("from_word"))
     joined = pieces.join(slots, ["source_no", "rank"], "left")
-    return joined.withColumn("words", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(F.lit(0)).cast("long")).drop("copy", "begin", "end")
+    given = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(F.lit(0)).cast("long").alias("words")
+    plan = ("size", "source_no", "source_size", "target", "starts", "ordinal", "block", "slot", "rank", "from_word")
+    return joined.select(*(F.col("own")[c].alias(c) for c in kept), *plan, given)
 
 
 def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
     """The mix in whole rows: a row comes once for each copy whose middle word lies in a scheduled block, so 0 to
     EPOCHS times, with the columns of df. The schedule holds all blocks up to a source's target, so the rows need no
-    join with the slots. Rows without words are left out."""
-    source_, body, own = fresh(df, "source_", "body", "own")
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(own), F.col(source).alias(source_), F.col(text).alias(body))
-    placed, _ = placed_rows(packed, source_, body, seed, None)
+    join with the slots.
+
+    Defined cases: rows without words are left out; a very long row counts by its middle word; equal rows are
+    interchangeable; an empty table gives no rows; no name of a column can clash."""
+    placed, _ = placed_rows(df, df.columns, source, text, seed, None)
     limit = F.round("target").cast("long")
     copy = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     middle = F.col("starts") + F.col("copy") * F.col("source_size") + F.floor(F.col("size") / 2)
-    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select(f"{own}.*")
+    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select("own.*")
 
 
 def op4_mixing(spark, sf_dir):

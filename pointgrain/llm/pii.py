@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import fresh, row_hash, saved, table
+from pointgrain.llm.common import fresh, packed, row_hash, saved, table
 
 #: Share of an entity's information content that a term may reveal before it is generalised.
 DISCLOSURE = 0.9
@@ -106,11 +106,12 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     the terms that tell in the texts that hold one. Equal texts have equal spans, so a text's hash finds them.
 
     Defined cases: null and empty texts have no spans; rows may repeat and each is judged alone; a term that overlaps
-    a base span is none; an entity in every text has no information content and no disclosing terms; an empty table
-    gives no rows; input columns named base or terms are replaced."""
+    a base span is none; an entity in every text has no information content and no disclosing terms; very long texts are
+    read whole; an empty table gives no rows; input columns named base or terms are replaced, and all others travel in
+    one struct, so no name of theirs can clash."""
     kept = [c for c in df.columns if c != text and c.lower() not in ("base", "terms")]
-    row, body, code, said, named, of, marked = fresh(df, "row", "body", "code", "said", "named", "of", "marked")
-    read = df.select(*kept, F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
+    row, body, code, said, named, of, marked = "row", "body", "code", "said", "named", "of", "marked"
+    read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
     read = read.withColumns({"base": base_spans(F.col(body)), code: F.xxhash64(body)})
 
     def mention(at):
@@ -150,7 +151,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     n_telling, none = telling.count(), F.array().cast(SPAN)
     bare = rows.drop(row, named, said)
     if not n_telling:
-        return bare.drop(code).withColumn("terms", none)
+        return bare.select(*(F.col("own")[c].alias(c) for c in kept), "base", none.alias("terms"))
     telling = F.broadcast(telling) if n_telling <= MAX_BROADCAST else telling
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("code", F.xxhash64("body"))
     held_words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD_RUN), F.lit(0)))
@@ -160,7 +161,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     places = spans(F.col("body"), WORD_RUN, lambda m: F.array_contains("its", F.lower(m)), len(KINDS))
     found = texts.join(holders, "code").select(F.col("code").alias(of), places.alias(marked)).groupBy(of).agg(F.first(marked).alias(marked))
     terms = F.filter(F.coalesce(F.col(marked), none), clear(F.col("base")))
-    return bare.join(found, F.col(code) == F.col(of), "left").withColumn("terms", terms).drop(code, of, marked)
+    return bare.join(found, F.col(code) == F.col(of), "left").select(*(F.col("own")[c].alias(c) for c in kept), "base", terms.alias("terms"))
 
 
 def listed(found: Column) -> Column:

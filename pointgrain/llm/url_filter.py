@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import fresh, table, without
+from pointgrain.llm.common import packed, table, without
 
 #: A list of at most so many intervals is broadcast (about 100 bytes each); a longer one is joined by a shuffle.
 MAX_BROADCAST = 500_000
@@ -37,23 +37,25 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """captures with host, n_active (entries active at fetch time that name its host or a parent domain), matched (the
     most specific of them) and blocked.
 
-    Each capture meets the intervals on its host keys; a capture's matches are gathered by its row, so a host with a
-    third of all captures is no group. Defined cases: a null or odd URL has host '' and, like a capture without fetch
-    time, is never blocked; equal captures are judged alike; an empty list blocks nothing; input columns named as an
-    output are replaced."""
-    df = without(captures, "host", "n_active", "matched", "blocked")
-    row, key = fresh(df, "row", "key")
-    spans = intervals(entries, **names)
+    Each capture meets the intervals on its host keys, by a broadcast of the list or, if that is long, by a join whose
+    skewed keys Spark splits; a capture's matches are gathered by its row, so a host with a third of all captures is no
+    group. Defined cases: a null or odd URL has host '' and, like a capture without fetch time, is never blocked; a very
+    long URL is judged whole; equal captures are judged alike; of two lists' entries that name a host as long the later
+    in code-point order is named; an empty list blocks nothing and an empty table gives no rows; input columns named as
+    an output are replaced, and all others travel in one struct, so no name of theirs can clash."""
+    outputs = ("host", "n_active", "matched", "blocked")
+    kept = without(captures, *outputs).columns
     pattern = names.get("pattern", "pattern")
-    spans = spans.select(F.col(pattern).alias("__pattern"), F.col("since").alias("__since"), F.col("until").alias("__until"))
+    spans = intervals(entries, **names).select(F.col(pattern).alias("listed"), "since", "until")
     spans = F.broadcast(spans) if spans.count() <= MAX_BROADCAST else spans
-    keyed = df.withColumn("host", F.coalesce(host_of(F.col(url)), F.lit(""))).withColumn(row, F.monotonically_increasing_id())
-    spread = keyed.withColumn(key, F.explode_outer(host_keys(F.col("host"))))
-    active = (F.col(key) == F.col("__pattern")) & (F.col(fetched) >= F.col("__since")) & (F.col("__until").isNull() | (F.col(fetched) < F.col("__until")))
+    host = F.coalesce(host_of(F.col(f"`{url}`")), F.lit("")).alias("host")
+    keyed = captures.select(packed(captures, kept).alias("own"), F.col(f"`{fetched}`").alias("at"), host, F.monotonically_increasing_id().alias("row"))
+    spread = keyed.withColumn("key", F.explode_outer(host_keys(F.col("host"))))
+    active = (F.col("key") == F.col("listed")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     met = spread.join(spans, active, "left")
-    longest = F.max(F.when(F.col("__pattern").isNotNull(), F.struct(F.length("__pattern").alias("n"), F.col("__pattern").alias("p"))))
-    judged = met.groupBy(row, *keyed.drop(row).columns).agg(F.count("__pattern").alias("n_active"), longest["p"].alias("matched"))
-    return judged.withColumn("blocked", F.col("n_active") > 0).drop(row)
+    longest = F.max(F.when(F.col("listed").isNotNull(), F.struct(F.length("listed").alias("n"), F.col("listed").alias("p"))))
+    judged = met.groupBy("row", "host").agg(F.first("own").alias("own"), F.count("listed").alias("n_active"), longest["p"].alias("matched"))
+    return judged.select(*(F.col("own")[c].alias(c) for c in kept), "host", "n_active", "matched", (F.col("n_active") > 0).alias("blocked"))
 
 
 #: Dates of captures and list entries, made from the pages: days of one year, by id and by MD5 of the host key.
