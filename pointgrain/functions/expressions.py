@@ -115,16 +115,13 @@ def diag_gauss_logpdf(x: Sequence[Column], mean: Sequence[float], var: Sequence[
 
 
 def full_gauss_logpdf(x: Sequence[Column], mean: Sequence[float], cov: Sequence[Sequence[float]]) -> Column:
-    """By forward substitution through the Cholesky factor."""
-    low = np.linalg.cholesky(np.asarray(cov, float))
-    const = -0.5 * len(mean) * LOG_2PI - float(np.log(np.diag(low)).sum())
-    return F.lit(const) - 0.5 * mahalanobis_sq(x, mean, cov)
+    _, logdet = np.linalg.slogdet(np.asarray(cov, float))
+    return F.lit(-0.5 * (len(mean) * LOG_2PI + float(logdet))) - 0.5 * mahalanobis_sq(x, mean, cov)
 
 
 def mahalanobis_sq(x: Sequence[Column], mean: Sequence[float], cov: Sequence[Sequence[float]]) -> Column:
-    low = np.linalg.cholesky(np.asarray(cov, float))
-    white: list[Column] = []
-    for i, (c, m) in enumerate(zip(x, mean, strict=True)):
-        rest = total([float(low[i, j]) * white[j] for j in range(i) if low[i, j] != 0] or [F.lit(0.0)])
-        white.append((c - m - rest) / float(low[i, i]))
-    return total([z * z for z in white])
+    """The quadratic form of the inverse matrix: a term for each pair of coordinates, and none inside another."""
+    precision = np.linalg.inv(np.asarray(cov, float))
+    d = [c - m for c, m in zip(x, mean, strict=True)]
+    pairs = [(i, j, float(precision[i, j]) * (1 if i == j else 2)) for i in range(len(d)) for j in range(i, len(d))]
+    return total([d[i] * d[j] * p for i, j, p in pairs if abs(p) > 1e-15])

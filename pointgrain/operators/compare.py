@@ -41,8 +41,9 @@ def importance_ess(df: DataFrame, log_w: str, threshold: float = 0.01, drop: boo
         raise ValueError(f"{first['bad']} log weights are not finite")
     if not first["n"]:
         raise ValueError("no finite log weight")
-    w = F.exp(F.col(log_w) - F.lit(first["top"]))
-    one = df.where(ok).agg(F.sum(w).alias("s"), F.sum(w * w).alias("s2"))
+    # No filter: Spark would push it below the projections that make log_w, and write their expressions out again.
+    w = F.when(ok, F.exp(F.col(log_w) - F.lit(first["top"])))
+    one = df.agg(F.sum(w).alias("s"), F.sum(w * w).alias("s2"))
     ess = F.col("s") * F.col("s") / (first["n"] * F.col("s2"))
     return one.select(ess.alias("ess_over_n"), (1 / F.col("s")).alias("max_weight"), F.lit(first["low"]).alias("log_min"), F.lit(first["top"]).alias("log_max"), F.lit(first["top"] - first["low"]).alias("log_range"), F.lit(first["bad"]).alias("n_nonfinite"), (ess < threshold).alias("catastrophic"))
 

@@ -21,6 +21,29 @@ def log_prob(t: T.Target, pdg_id: int) -> Column:
     return X.logsumexp(t.component_terms(pdg_id, base)) + jac
 
 
+def with_log_prob(df: DataFrame, t: T.Target, out: str, pdg_id: int | None = None, key: str = "id") -> DataFrame:
+    """df with the log density of a target at each row, under the row's id (null for others) or under one id for all.
+
+    Base coordinates, component terms and their maximum are columns of projections on top of each other, so each is
+    worked out once a row and the generated code stays small."""
+    names = iter(f"_{out}_{i}" for i in range(1000))
+    fresh = lambda: next(n for n in names if n.lower() not in {c.lower() for c in df.columns})
+    base, jac = t.inverse(T.state())
+    at, jacobian = {c: fresh() for c in T.COLUMNS}, fresh()
+    staged = df.withColumns({at[c]: base[c] for c in T.COLUMNS} | {jacobian: jac})
+    here = {c: F.col(at[c]) for c in T.COLUMNS}
+    by = {i: t.component_terms(i, here) for i in (T.IDS if pdg_id is None else (pdg_id,))}
+    most = max(map(len, by.values()))
+    terms = [fresh() for _ in range(most)]
+    padded = {i: [*x, *[F.lit(None).cast("double")] * (most - len(x))] for i, x in by.items()}
+    staged = staged.withColumns({n: padded[pdg_id][k] if pdg_id is not None else T.by_id(key, lambda i, k=k: padded[i][k]) for k, n in enumerate(terms)})
+    top = fresh()
+    staged = staged.withColumn(top, F.greatest(*terms) if most > 1 else F.col(terms[0]))
+    spread = X.total([F.coalesce(F.exp(F.col(n) - F.col(top)), F.lit(0.0)) for n in terms])
+    value = F.when(F.col(top) == F.lit(-X.INFINITY), F.lit(-X.INFINITY)).otherwise(F.col(top) + F.log(spread)) + F.col(jacobian)
+    return staged.withColumn(out, value).drop(*at.values(), jacobian, *terms, top)
+
+
 def component_log_probs(t: T.Target, pdg_id: int) -> Column:
     base, _ = t.inverse(T.state())
     return F.array(*t.component_terms(pdg_id, base))

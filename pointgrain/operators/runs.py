@@ -54,11 +54,13 @@ def number_class(c: Column, raw: Column | None = None) -> Column:
 
 
 def count_class(c: Column) -> Column:
-    return F.when(c.isNull(), "missing").when(c < 0, "impossible").when(c == 0, "zero").otherwise("positive")
+    """missing, impossible (negative, fractional or not finite), zero or positive."""
+    return F.when(c.isNull(), "missing").when(~finite(c) | (c < 0) | (c != F.floor(c)), "impossible").when(c == 0, "zero").otherwise("positive")
 
 
 def rate_class(c: Column) -> Column:
-    return F.when(c.isNull(), "missing").when(~finite(c), "nonfinite").when((c < 0) | (c > 1), "impossible").when(c > 0, "positive").otherwise("zero")
+    """missing, impossible (outside [0, 1] or not finite), zero or positive."""
+    return F.when(c.isNull(), "missing").when(~finite(c) | (c < 0) | (c > 1), "impossible").when(c > 0, "positive").otherwise("zero")
 
 
 def gate_finiteness(scalars: Sequence[Column], counters: Sequence[Column], rates: Sequence[Column]) -> Column:
@@ -66,7 +68,7 @@ def gate_finiteness(scalars: Sequence[Column], counters: Sequence[Column], rates
     numbers, counts, shares = map(number_class, scalars), list(map(count_class, counters)), list(map(rate_class, rates))
     numbers = list(numbers)
     any_of = lambda cs, *kinds: reduce(lambda a, b: a | b, [c.isin(*kinds) for c in cs], F.lit(False))
-    bad = any_of(numbers, "nonfinite") | any_of(counts, "positive") | any_of(shares, "positive", "nonfinite")
+    bad = any_of(numbers, "nonfinite") | any_of(counts, "positive") | any_of(shares, "positive")
     open_ = any_of(numbers, "missing", "malformed") | any_of([*counts, *shares], "missing", "impossible")
     return F.when(bad, "catastrophic").when(open_, "inconclusive").otherwise("pass")
 
@@ -84,10 +86,16 @@ def gate_rare(applies: Column, present: Column, count: Column, absent: str = "in
 
 
 def gate_threshold(gate: Column, evaluation: Column) -> Column:
-    """The gate's own threshold or else the evaluation's; null marks a contradiction."""
+    """The gate's own threshold or else the evaluation's; null marks a contradiction, which require_threshold refuses."""
     return F.when(gate.isNotNull() & evaluation.isNotNull() & (gate != evaluation), F.lit(None)).otherwise(F.coalesce(gate, evaluation))
 
 
+def require_threshold(gate: Column, evaluation: Column) -> Column:
+    """gate_threshold, with a contradiction as an error of the row."""
+    clash = gate.isNotNull() & evaluation.isNotNull() & (gate != evaluation)
+    return F.when(clash, F.raise_error(F.lit("the gate's threshold contradicts the evaluation's")).cast("double")).otherwise(F.coalesce(gate, evaluation))
+
+
 def rollup(gates: DataFrame, key: str = "run_id") -> DataFrame:
     """Of long rows (key, gate, outcome): the most severe outcome of each run and the gates above pass, in name order."""
     severity = reduce(lambda w, kv: w.when(F.col("outcome") == kv[0], kv[1]), SEVERITY.items(), F.when(F.lit(False), 0))
@@ -143,7 +151,8 @@ def run_key(labels: Sequence[Column], config: Column) -> Column:
 
 
 def series_label(target: Column, variant: Column) -> Column:
-    return F.when(variant.isNull() | (variant == "default"), target).otherwise(F.concat_ws("-", target, F.regexp_replace(variant, "^rare_", "")))
+    """The target's name; D5, the only one with variants of its own, has its variant behind it."""
+    return F.when((target != "D5") | variant.isNull() | (variant == "default"), target).otherwise(F.concat_ws("-", target, F.regexp_replace(variant, "^rare_", "")))
 
 
 def series_order(target: Column) -> Column:

@@ -24,10 +24,9 @@ def scored(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("*")
     from pointgrain.sources.tables import STATE_SELECT, _items
 
-    lp = density.log_prob(D1, 13)
-    lq = T.by_id("id", lambda i: density.log_prob(D2, i))
     rows = lines.selectExpr("l_orderkey", *_items(STATE_SELECT))
-    return rows.withColumns({"log_p": lp, "log_q": F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(lq)})
+    both = density.with_log_prob(density.with_log_prob(rows, D1, "log_p", 13), D2, "log_q")
+    return both.withColumn("log_q", F.when(F.col("l_orderkey") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("log_q")))
 
 
 def _sides(spark, sf_dir):

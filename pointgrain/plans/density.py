@@ -19,9 +19,9 @@ P5 = sql.COLUMNS
 D1, D2, D4, D5 = T.target("D1"), T.target("D2"), T.target("D4"), T.target("D5")
 
 
-def _scores(make):
+def _scores(t):
     def query(spark, sf_dir):
-        return state_view(spark, sf_dir).select("id", F.round(T.by_id("id", make), 5).alias("log_prob"))
+        return density.with_log_prob(state_view(spark, sf_dir), t, "log_prob").select("id", F.round("log_prob", 5).alias("log_prob"))
 
     return query
 
@@ -107,8 +107,8 @@ _D5B = f"(SELECT id, {', '.join(f'{e} AS {c}' for c, e in _base(D5)[0].items())}
 _IN = {i: f"{sql.quadratic(P5, T.D5_RARE_MEAN[i], np.diag(1 / np.square(T.D5_RARE_STD)))} <= {T.D5_RADIUS_SQ!r}" for i in T.IDS}
 
 QUERIES = {
-    "full_gauss_logpdf": _scores(lambda i: density.log_prob(D1, i)), "mixture_logpdf": _scores(lambda i: density.log_prob(D2, i)),
-    "transformed_logpdf": _scores(lambda i: density.log_prob(D4, i)), "base_stage_logpdf": _scores(lambda i: density.log_prob(T.target("D5", base=True), i)),
+    "full_gauss_logpdf": _scores(D1), "mixture_logpdf": _scores(D2),
+    "transformed_logpdf": _scores(D4), "base_stage_logpdf": _scores(T.target("D5", base=True)),
 } | {f.__name__: f for f in (diag_gauss_logpdf, component_logpdf, component_posterior, posterior_mass, mahalanobis_filter, region_mask, weighted_moments, weighted_cov, component_counts)}
 ORACLE_SQL = {
     "full_gauss_logpdf": _logpdf_sql(D1, False),

@@ -25,7 +25,7 @@ RUN_SELECT = f"""
   CASE WHEN o_orderkey % 29 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_totalprice % 1000e0 / 1000e0 END AS ess,
   CASE WHEN o_orderkey % 23 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE o_totalprice / 1e6 END AS kl,
   CASE WHEN o_orderkey % 37 = 0 THEN 1 WHEN o_orderkey % 41 = 0 THEN -1 WHEN o_orderkey % 43 = 0 THEN NULL ELSE 0 END AS kl_bad,
-  CASE WHEN o_orderkey % 47 = 0 THEN 0.5e0 WHEN o_orderkey % 53 = 0 THEN 1.5e0 ELSE 0e0 END AS rate,
+  CASE WHEN o_orderkey % 47 = 0 THEN 0.5e0 WHEN o_orderkey % 53 = 0 THEN 1.5e0 WHEN o_orderkey % 59 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 0e0 END AS rate,
   {_D5} AND o_orderkey % 13 <> 0 AS rare_present,
   CASE WHEN {_D5} THEN (CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 59 = 0 THEN -3 WHEN o_orderkey % 61 = 0 THEN NULL ELSE o_custkey % 50 END) END AS rare_count
 """
@@ -204,7 +204,7 @@ def min_sufficient(spark, sf_dir, least: int = 4):
 
 _SEV = "CASE {g} WHEN 'catastrophic' THEN 3 WHEN 'fail' THEN 2 WHEN 'inconclusive' THEN 1 ELSE 0 END"
 _OK = sql.ok
-_FIN = f"CASE WHEN (kl IS NOT NULL AND NOT {_OK('kl')}) OR coalesce(kl_bad > 0, false) OR (rate > 0 AND rate <= 1) THEN 'catastrophic' WHEN kl IS NULL OR kl_bad IS NULL OR kl_bad < 0 OR rate > 1 THEN 'inconclusive' ELSE 'pass' END"
+_FIN = f"CASE WHEN (kl IS NOT NULL AND NOT {_OK('kl')}) OR coalesce(kl_bad > 0, false) OR (rate > 0 AND rate <= 1) THEN 'catastrophic' WHEN kl IS NULL OR kl_bad IS NULL OR kl_bad < 0 OR NOT isfinite(rate) OR rate > 1 THEN 'inconclusive' ELSE 'pass' END"
 _ESS = f"CASE WHEN ess IS NULL THEN 'inconclusive' WHEN NOT {_OK('ess')} OR ess < 0.01 THEN 'catastrophic' ELSE 'pass' END"
 _RARE = "CASE WHEN target <> 'D5' THEN NULL WHEN NOT rare_present OR rare_count IS NULL OR rare_count <= 0 THEN 'inconclusive' ELSE 'pass' END"
 _GATED = f"(SELECT *, {_FIN} AS finiteness, {_ESS} AS ess_floor, {_RARE} AS zero_rare FROM {RUN_SQL})"
@@ -249,7 +249,7 @@ ORACLE_SQL = {
     "metrics_unpivot": " UNION ALL ".join(f"SELECT run_id, '{n}' AS name, round({e}::DOUBLE, 6) AS value FROM {RUN_SQL} WHERE {_OK(f'({e})::DOUBLE')}" for n, e in _LONG.items()),
     "params_unpivot": " UNION ALL ".join(f"SELECT run_id, '{c}' AS name, {c}::VARCHAR AS value FROM {RUN_SQL} WHERE {c} IS NOT NULL" for c in ("target", "variant", "pdg_id", "view", "seed")),
     "run_key": f"""SELECT run_id, concat_ws('__', target, view || '-' || model, seed, substr(sha256('{{"model":"' || model || '","seed":' || seed || '}}'), 1, 12)) AS run_key FROM {RUN_SQL}""",
-    "series_label": f"SELECT CASE WHEN variant IS NULL THEN target ELSE target || '-' || substr(variant, 6) END AS series, CASE target WHEN 'D0' THEN 0 WHEN 'D3' THEN 3 WHEN 'D4' THEN 4 WHEN 'D5' THEN 5 END AS \"order\", count(*) AS n FROM {RUN_SQL} GROUP BY ALL",
+    "series_label": f"SELECT CASE WHEN variant IS NULL OR target <> 'D5' THEN target ELSE target || '-' || substr(variant, 6) END AS series, CASE target WHEN 'D0' THEN 0 WHEN 'D3' THEN 3 WHEN 'D4' THEN 4 WHEN 'D5' THEN 5 END AS \"order\", count(*) AS n FROM {RUN_SQL} GROUP BY ALL",
     "best_epoch": """WITH h AS (SELECT user_id, event_id, value, row_number() OVER w AS i, min(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 m AS (SELECT *, low IS NULL OR value < low - 1e-9 AS better FROM h), l AS (SELECT *, max(CASE WHEN better THEN i END) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM m),
 s AS (SELECT user_id, min(CASE WHEN i - last >= 10 THEN event_id END) AS stop_epoch FROM l GROUP BY user_id)

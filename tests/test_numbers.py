@@ -227,3 +227,42 @@ def test_leaky_fit_is_noticed(spark):
     a = fit_normalization(rows.where("NOT v"), ["px"]).first()
     b = fit_normalization(rows.withColumn("px", F.when(F.col("v"), F.col("px") * 9).otherwise(F.col("px"))).where("NOT v"), ["px"]).first()
     assert a == b
+
+
+def test_impossible_rates_and_counts_leave_a_gate_open(spark):
+    from pointgrain.operators import runs
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0.0, 0.0, "pass"), (0.0, 0.5, "catastrophic"), (2.0, 0.0, "catastrophic"), (1.5, 0.0, "inconclusive"), (-1.0, 0.0, "inconclusive"), (nan, 0.0, "inconclusive"), (0.0, nan, "inconclusive"), (0.0, inf, "inconclusive"), (0.0, 1.5, "inconclusive")]
+    df = spark.createDataFrame(rows, "n double, rate double, want string")
+    got = df.select("want", runs.gate_finiteness([F.lit(1.0)], [F.col("n")], [F.col("rate")]).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_series_have_variants_for_d5_only(spark):
+    from pointgrain.operators import runs
+
+    df = spark.createDataFrame([("D5", "rare_1e-2", "D5-1e-2"), ("D4", "rare_1e-2", "D4"), ("D5", None, "D5"), ("D5", "default", "D5")], "target string, variant string, want string")
+    assert df.where(runs.series_label(F.col("target"), F.col("variant")) != F.col("want")).count() == 0
+
+
+def test_a_threshold_may_not_contradict(spark):
+    from pointgrain.operators import runs
+
+    df = spark.createDataFrame([(0.1, None), (None, 0.2), (0.3, 0.3)], "a double, b double")
+    assert [r[0] for r in df.select(runs.require_threshold(F.col("a"), F.col("b"))).collect()] == [0.1, 0.2, 0.3]
+    with pytest.raises(Exception, match="contradicts"):
+        df.select(runs.require_threshold(F.col("a"), F.lit(0.4))).collect()
+
+
+def test_staged_density_equals_the_expression(spark):
+    t = T.target("D1")
+    df = sampling.generate(spark.range(50).withColumnRenamed("id", "row_id"), t, -13, 5)
+    both = density.with_log_prob(df, t, "lp").withColumn("plain", density.log_prob(t, -13))
+    assert both.where(F.abs(F.col("lp") - F.col("plain")) > 1e-9).count() == 0
+
+
+def test_staged_density_has_generated_code(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 50.0, 0.1, 0.2, 13)], "px double, py double, pz double, x double, y double, id int")
+    plan = density.with_log_prob(df, T.target("D4"), "lp").select("lp")._jdf.queryExecution().executedPlan().toString()
+    assert "*(1) Project" in plan and len(plan) < 20_000
