@@ -150,10 +150,14 @@ def support_class(spark, sf_dir):
 
 
 def nn_spread(spark, sf_dir):
-    """Nearest other embedding of each embedding of a hashed set of 1 in 200, over all embeddings, in 4 coordinates."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)))
-    queries = e.where(hash_uniform(F.col("vec_id"), F.lit(9)) < 0.005)
-    return _round(dedup.nn_spread(e, [f"e{i}" for i in range(4)], queries, "vec_id"))
+    """Nearest other embedding of each embedding whose id is divisible by 20, over all embeddings and coordinates."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return _round(dedup.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id"))
+
+
+def nn_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return _round(dedup.nn_summary(dedup.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id")), 4)
 
 
 def evaluate_bundle(spark, sf_dir):
@@ -176,8 +180,9 @@ _ESS = f"""WITH l AS {_LW}, f AS (SELECT lw FROM l WHERE {sql.ok('lw')}), m AS (
 a AS (SELECT sum(exp(lw - top)) AS s, sum(exp(2 * (lw - top))) AS s2, count(*) AS n, any_value(top) AS top, any_value(low) AS low FROM f, m)"""
 _H = f"(SELECT least(floor((px + 25) / 2.5), 19)::INT AS bin, count_if(side = 'F') AS n_p, count_if(side = 'O') AS n_q FROM {STATE_SQL} WHERE px BETWEEN -25 AND 25 GROUP BY 1)"
 _U5 = sql.uniform("event_id", 5)
+_NEAREST = "(SELECT q.vec_id, min(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)"
 
-QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, evaluate_bundle)}
+QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle)}
 ORACLE_SQL = {
     "held_out_nll": f"SELECT round(avg(CASE WHEN {sql.ok('log_q')} THEN -log_q END), 5) AS held_out_nll, count_if(NOT {sql.ok('log_q')})::BIGINT AS n_nonfinite, count(*) AS n FROM {_SCORED}",
     "forward_kl": f"SELECT round(avg(d), 5) AS forward_kl, round(stddev_pop(d) / sqrt(count(d)), 5) AS std_error, count(d) AS n_finite, count_if(d IS NULL)::BIGINT AS n_nonfinite FROM (SELECT CASE WHEN {sql.ok('log_p - log_q')} THEN log_p - log_q END AS d FROM {_SCORED})",
@@ -203,7 +208,8 @@ SELECT (SELECT count(*) FROM e) AS n_rows, (SELECT count(DISTINCT a.event_id) FR
     "out_of_support": f"WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE {_U5} < 0.1) SELECT count(*) AS n, count_if(value < lo OR value > hi)::BIGINT AS n_out, round(count_if(value < lo OR value > hi) / count(*), 9) AS rate FROM events, r WHERE {_U5} >= 0.1",
     "support_class": f"""WITH t AS (SELECT value FROM events WHERE {_U5} < 0.1), r AS (SELECT min(value) AS lo, max(value) AS hi FROM t), c AS (SELECT floor(value / 5)::BIGINT AS k, count(*) AS n FROM t GROUP BY 1)
 SELECT CASE WHEN value < lo OR value > hi THEN 'extrapolation' WHEN coalesce(c.n, 0) < 20 THEN 'sparse' ELSE 'interpolation' END AS support, count(*) AS n FROM events CROSS JOIN r LEFT JOIN c ON c.k = floor(value / 5)::BIGINT WHERE {_U5} >= 0.1 GROUP BY 1""",
-    "nn_spread": f"WITH e AS (SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS e{i}' for i in range(4))} FROM embeddings) SELECT q.vec_id, round(sqrt(min({' + '.join(f'(q.e{i} - e.e{i}) ** 2' for i in range(4))})), 5) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE {sql.uniform('q.vec_id', 9)} < 0.005 GROUP BY q.vec_id",
+    "nn_spread": f"SELECT vec_id, round(distance, 5) AS distance FROM {_NEAREST}",
+    "nn_summary": f"SELECT count(*) AS n, round(avg((distance = 0)::INT), 4) AS duplicate_rate, round(avg(distance), 4) AS mean_distance, round(min(distance), 4) AS min_distance FROM {_NEAREST}",
 }
 _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 ORACLE_SQL["bootstrap_metric"] = f"WITH u AS (SELECT value, range::INT AS b, {sql.uniform('event_id', 1, 'range')} AS u FROM events, range(20)), c AS (SELECT b, value, {' + '.join(f'(u >= {c!r})::INT' for c in _CUTS)} AS c FROM u) SELECT b, round(sum(value * c) / sum(c), 5) AS mean FROM c GROUP BY b"
