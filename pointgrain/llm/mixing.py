@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import WORD, bucket_count, packed, row_hash, saved, search, table, without
+from pointgrain.llm.common import WORD, bucket_count, row_hash, saved, search, table, without
 
 #: Fractional part of the golden ratio: multiples of it spread evenly over the unit interval.
 GOLDEN = 0.6180339887498949
@@ -98,9 +98,10 @@ def completed(slots: DataFrame, plan: DataFrame, n_slots: int, block: int) -> Da
 
 def placed_rows(df: DataFrame, kept: list[str], source: str, text: str, seed: int, block: int | None) -> tuple[DataFrame, DataFrame]:
     """The rows of df with their source's plan and their place in its stream of words, and the schedule's slots. Their
-    kept columns are one struct (own), so no name of theirs can clash."""
+    kept columns are numbered (own_0 and so on), so no name of theirs can clash, and a column that the caller does not
+    ask for is never read; given_back restores them."""
     spark, source, text = df.sparkSession, f"`{source}`", f"`{text}`"
-    df = df.select(packed(df, kept).alias("own"), F.col(source).alias("source_"), F.col(text).alias("body"), row_hash(df, kept).alias("code"))
+    df = df.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(kept)), F.col(source).alias("source_"), F.col(text).alias("body"), row_hash(df, kept).alias("code"))
     source, text = "source_", "body"
     buckets = bucket_count(spark)
     sized = df.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__tie": F.xxhash64(F.lit(seed), "code")}).drop("body", "code")
@@ -127,6 +128,10 @@ def placed_rows(df: DataFrame, kept: list[str], source: str, text: str, seed: in
     return placed.drop("__tie", "__bucket", "at_source", "at_bucket", "words_before", "rows_before", "name", "source_"), slots
 
 
+def given_back(kept: list[str]) -> list[Column]:
+    return [F.col(f"own_{i}").alias(c) for i, c in enumerate(kept)]
+
+
 def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1, block: int | None = None) -> DataFrame:
     """Mixes the rows of df so that each source's share of the words follows its target (see source_targets).
 
@@ -156,7 +161,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1
     joined = pieces.join(slots, ["source_no", "rank"], "left")
     given = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(F.lit(0)).cast("long").alias("words")
     plan = ("size", "source_no", "source_size", "target", "starts", "ordinal", "block", "slot", "rank", "from_word")
-    return joined.select(*(F.col("own")[c].alias(c) for c in kept), *plan, given)
+    return joined.select(*given_back(kept), *plan, given)
 
 
 def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
@@ -170,7 +175,7 @@ def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed:
     limit = F.round("target").cast("long")
     copy = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     middle = F.col("starts") + F.col("copy") * F.col("source_size") + F.floor(F.col("size") / 2)
-    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select("own.*")
+    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select(*given_back(df.columns))
 
 
 def op4_mixing(spark, sf_dir):
