@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of most contracts is a run of anything but these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Elements that a fold appends to one list before it begins another.
+CHUNK = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,3 +88,26 @@ def search(bounds: Sequence, key: Column) -> Column:
 def bucket_count(spark: SparkSession) -> int:
     """Key ranges for prefix sums: a few for each shuffle partition, so that a range stays small as the cluster grows."""
     return min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walk(items: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Folds an array from its left: step(at, x) gives a struct of the next at (an int, 0 at first) and out (an array of
+    this kind of elements). Returns the last at and all out in one array. Lists of CHUNK elements are gathered in a list
+    of lists, since appending to one long list would copy it each time."""
+
+    def append(acc, x):
+        return bound(step(acc["at"], x), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def gather(acc, chunk):
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return bound(F.aggregate(chunk, begin, append), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    last = lambda a: F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / CHUNK).cast("int")
+    chunks = bound(items, lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda i: F.slice(a, i * CHUNK + 1, F.lit(CHUNK))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(chunks, start, gather, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))

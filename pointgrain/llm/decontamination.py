@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import ascii_lower, fresh, packed, row_hash, table, without
+from pointgrain.llm.common import ascii_lower, bound, fresh, packed, row_hash, saved, table, walk, without
 
 #: Words of a window; an item of fewer words is one window of all its words.
 WINDOW = 10
@@ -14,6 +14,8 @@ MAX_BROADCAST = 500_000
 #: Fixed value: a word is a run of digits, a to z and characters outside ASCII, after lower-casing A to Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+STRETCHES = "array<struct<s:int,e:int>>"
+
 
 def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
@@ -72,15 +74,19 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
 
 
 def merged(sorted_hits: str) -> Column:
-    """Overlapping and touching stretches of a sorted array become one."""
-    empty = F.array().cast("array<struct<s:int,e:int>>")
+    """Overlapping and touching stretches of a sorted array become one, in time linear in its length but for a small
+    power: each stretch gives what lies past all before it, and those that touch their neighbour are joined."""
+
+    def past(at, x):
+        rest = F.struct(F.greatest(x["s"], at).alias("s"), x["e"].alias("e"))
+        return F.struct(F.greatest(at, x["e"]).alias("at"), F.when(x["e"] > at, F.array(rest)).otherwise(F.array().cast(STRETCHES)).alias("out"))
 
-    def add(spans, x):
-        last = F.get(spans, F.size(spans) - 1)
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when(last["e"] >= x["s"], F.concat(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(spans, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    def joined(pieces):
+        starts = F.filter(pieces, lambda x, i: F.coalesce(F.get(pieces, i - 1)["e"] < x["s"], F.lit(True)))
+        ends = F.filter(pieces, lambda x, i: F.coalesce(F.get(pieces, i + 1)["s"] > x["e"], F.lit(True)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a["s"].alias("s"), b["e"].alias("e")))
 
-    return F.aggregate(sorted_hits, empty, add)
+    return bound(walk(F.col(sorted_hits), past, "struct<s:int,e:int>")["out"], joined)
 
 
 def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +110,8 @@ def without_spans(df: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     split = F.regexp_extract_all(whole, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     starts = F.concat(F.array(F.lit(1)), F.transform("spans", lambda x: x["e"]))
     ends = F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.col("n_words").cast("int") + 1))
-    runs = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.slice(F.col(pieces), x["s"], x["e"] - x["s"]))
+    ranges = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+    runs = bound(F.col(pieces), lambda p: F.transform(ranges, lambda x: F.slice(p, x["s"], x["e"] - x["s"])))
     tail = F.regexp_extract(whole, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     cut = F.when(F.col("n_hit") == 0, F.col(whole)).otherwise(F.concat(F.array_join(F.flatten(runs), ""), tail))
     return found.withColumn(pieces, split).withColumn(text, cut).select(*df.columns)
