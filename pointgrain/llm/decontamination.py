@@ -9,8 +9,11 @@ from pointgrain.llm.common import ascii_lower, bound, fresh, packed, row_hash, s
 
 #: Words of a window; an item of fewer words is one window of all its words.
 WINDOW = 10
-#: A window set of at most so many rows is broadcast (some 200 bytes each); a larger one is joined by a shuffle.
+#: A window set of at most so many rows is broadcast (some 200 bytes each); a larger one is joined by a shuffle. The same
+#: bound holds for the keys of contaminated rows.
 MAX_BROADCAST = 500_000
+#: Words of 64 bits in the bit table through which places are sifted before they are shuffled.
+SIFT = 1 << 20
 #: Fixed value: a word is a run of digits, a to z and characters outside ASCII, after lower-casing A to Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,7 +41,7 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
 
     Each word position of a text, and position 0 that every row has, is a row inside one stage: its window's hash
     probes the set, a hash match is verified word by word, and a partial aggregate gathers a row's matches before the
-    one shuffle. A set too large to broadcast is joined by a shuffle of the windows' hashes and words.
+    one shuffle. A set too large to broadcast is joined by a shuffle of the places that a bit table of hashes lets pass.
 
     Defined cases: null, empty and wordless texts have no words and no hits; very long texts are read whole; repeated
     rows and items are judged alike; items without words or an empty item table hit nothing; an empty table gives no
@@ -59,8 +62,11 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     probe = places.withColumn("probed", code)
     window = F.slice(F.col("all_words"), start, F.col("length"))
     if not small:
-        # A shuffled place takes its own window along, never its text's arrays. Places without a window get codes of their
-        # own, so that they do not meet in one task.
+        # A bit table of the windows' hashes, of at most SIFT rows however many windows there are, is broadcast first: only
+        # places whose bit is set are shuffled. One of them takes its own window along, never its text's arrays, and places
+        # without a window get codes of their own, so that they do not meet in one task.
+        probe = probe.join(F.broadcast(sift(windows)), (sift_word("probed") == F.col("sift_word")) & (F.bit_get("sift_bits", sift_bit("probed")) == 1), "left")
+        probe = probe.where((F.col("at") == 0) | F.col("sift_word").isNotNull())
         code = F.coalesce(F.col("probed"), F.xxhash64("row", "at"))
         probe = probe.select("own", "row", "n_words", "at", "length", code.alias("probed"), window.alias("all_words"))
         window = F.col("all_words")
@@ -73,6 +79,20 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     return grouped.select(*(F.col("own")[c].alias(c) for c in kept), "n_words", n_hit, "spans", "items")
 
 
+def sift_word(code: str) -> Column:
+    return F.pmod(code, F.lit(SIFT))
+
+
+def sift_bit(code: str) -> Column:
+    return F.pmod(F.shiftrightunsigned(code, 20), F.lit(64)).cast("int")
+
+
+def sift(windows: DataFrame) -> DataFrame:
+    """(sift_word, sift_bits): a bit set for each window's hash, in at most SIFT rows."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), sift_bit("of_hash"))
+    return windows.groupBy(sift_word("of_hash").alias("sift_word")).agg(F.bit_or(one).alias("sift_bits"))
+
+
 def merged(sorted_hits: str) -> Column:
     """Overlapping and touching stretches of a sorted array become one, in time linear in its length but for a small
     power: each stretch gives what lies past all before it, and those that touch their neighbour are joined."""
@@ -97,6 +117,8 @@ def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", t
     mark, bad_key, bad_mark = fresh(df, "mark", "bad_key", "bad_mark")
     bad = hits(df.withColumn(mark, row_hash(df)).select(key, text, mark), items, text).where("n_hit > 0")
     bad = bad.select(F.col(key).alias(bad_key), F.col(mark).alias(bad_mark))
+    bad = saved(bad)
+    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
     same = F.col(key).eqNullSafe(F.col(bad_key)) & (F.col(mark) == F.col(bad_mark))
     return df.withColumn(mark, row_hash(df)).join(bad, same, "left_anti").drop(mark)
 
