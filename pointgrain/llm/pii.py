@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import fresh, packed, row_hash, saved, table
+from pointgrain.llm.common import bound, fresh, packed, row_hash, saved, table, walk
 
 #: Share of an entity's information content that a term may reveal before it is generalised.
 DISCLOSURE = 0.9
@@ -21,6 +21,8 @@ SUPPORT = 3
 REACH, TERM_LENGTH = 80, 3
 #: Sets of pairs or terms of at most so many rows are broadcast (under 100 bytes each); larger ones are shuffled.
 MAX_BROADCAST = 200_000
+#: Code points of the blocks in which pieces of a text are sought.
+BLOCK = 256
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -36,8 +38,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD_RUN = r"[\p{L}\p{N}]++"
+#: A character of no meaning that stands for a span while words around it are taken.
+MARK = "\ue000"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+MATCH = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def digits(value: Column) -> Column:
@@ -62,39 +67,74 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def spans(text: Column, pattern: str, check: Callable[[Column], Column], kind: int = 0) -> Column:
-    """Leftmost non-overlapping matches that pass the check, as (start, kind, end) in code points. What stands between
-    the matches gives their places: both lists are walked together once."""
+def matches(text: Column, pattern: str, check: Callable[[Column], Column], kind: int = 0) -> Column:
+    """Leftmost non-overlapping matches that pass the check, as (start, kind, end, value), places in code points. What
+    stands between the matches gives their places: both lists are walked together once."""
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        found = F.when(check(x["m"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
         # The last gap has no match behind it.
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), found.alias("found")))
+        found = F.when(x["m"].isNotNull() & check(x["m"]), F.array(span)).otherwise(F.array().cast(f"array<{MATCH}>"))
+        return F.struct(F.coalesce(end, at).alias("at"), found.alias("out"))
+
+    return walk(both, step, MATCH)["out"]
+
+
+def spans(text: Column, pattern: str, check: Callable[[Column], Column], kind: int = 0) -> Column:
+    """matches without their values."""
+    return F.transform(matches(text, pattern, check, kind), lambda x: x.dropFields("value"))
+
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-    return F.aggregate(both, begin, step, lambda acc: acc["found"])
+def base_matches(text: Column) -> Column:
+    """All base spans of a text with their values, by start, then kind."""
+    none = F.array().cast(f"array<{MATCH}>")
+    each = [F.when(F.contains(text, F.lit(NEEDS[k])) & text.rlike("@" if k == "email" else "[0-9]"), matches(text, PATTERNS[k], CHECKS[k], i)).otherwise(none) for i, k in enumerate(KINDS)]
+    return F.array_sort(F.concat(*each))
 
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text by start, then kind."""
-    none = F.array().cast(SPAN)
-    each = [F.when(F.contains(text, F.lit(NEEDS[k])) & text.rlike("@" if k == "email" else "[0-9]"), spans(text, PATTERNS[k], CHECKS[k], i)).otherwise(none) for i, k in enumerate(KINDS)]
-    return F.array_sort(F.concat(*each))
+    return F.transform(base_matches(text), lambda x: x.dropFields("value"))
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that blocks_of has cut, found without a walk from the text's beginning."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substr(held, start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
 
 
-def context_words(text: Column, at: Column) -> Column:
-    """Words of the context of a span, in lower case, with their places in the text."""
-    left = F.greatest(at["start"] - REACH, F.lit(0))
+def long_words(text: Column, pattern: str = WORD_RUN) -> Column:
+    """Runs of letters and digits of TERM_LENGTH or more, in lower case."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: F.length(w) >= TERM_LENGTH)
 
-    def words(begin: Column, length: Column) -> Column:
-        part = F.substr(text, begin + 1, length)
-        return F.transform(spans(part, WORD_RUN, lambda m: F.length(m) >= TERM_LENGTH), lambda x: F.struct(F.lower(F.substr(part, x["start"] + 1, x["end"] - x["start"])).alias("term"), (begin + x["start"]).alias("start"), (begin + x["end"]).alias("end")))
 
-    return F.concat(words(left, at["start"] - left), words(at["end"], F.lit(REACH)))
+def mentions(text: Column, found: Column) -> Column:
+    """(value, context) of each base span: its value in lower case, and a hash of it with the words up to REACH characters
+    before and behind it."""
+
+    def mention(blocks, x):
+        value, left = F.lower(x["value"]), between(blocks, F.greatest(x["start"] - REACH, F.lit(0)), x["start"])
+        context = F.xxhash64(value, long_words(left), long_words(between(blocks, x["end"], x["end"] + REACH)))
+        return F.struct(value.alias("value"), context.alias("context"))
+
+    return bound(blocks_of(text), lambda blocks: F.transform(found, lambda x: mention(blocks, x)))
+
+
+def words_outside(text: Column, found: Column) -> Column:
+    """Distinct long words that overlap none of the spans. Each span gives way to two marks, that join a word which goes on
+    across its edge, and words with a mark are left out."""
+    edge = lambda x, at: F.when(F.rlike(x["value"], F.lit(at)), MARK).otherwise(" ")
+    mark = lambda x: F.concat(edge(x, r"^[\p{L}\p{N}]"), edge(x, r"[\p{L}\p{N}]$"))
+    words = long_words(replaced(F.translate(text, MARK, " "), found, mark), rf"[\p{{L}}\p{{N}}{MARK}]++")
+    return F.array_distinct(F.filter(words, lambda w: ~F.contains(w, F.lit(MARK))))
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
@@ -112,19 +152,15 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c != text and c.lower() not in ("base", "terms")]
     row, body, code, said, named, of, marked = "row", "body", "code", "said", "named", "of", "marked"
     read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
-    read = read.withColumns({"base": base_spans(F.col(body)), code: F.xxhash64(body)})
-
-    def mention(at):
-        value = F.lower(F.substr(F.col(body), at["start"] + 1, at["end"] - at["start"]))
-        return F.struct(value.alias("value"), F.xxhash64(value, context_words(F.col(body), at)).alias("context"))
+    read = read.withColumns({"full": base_matches(F.col(body)), code: F.xxhash64(body)})
+    some, spots = F.size("full") > 0, F.transform("full", lambda x: x.dropFields("value"))
+    said_here = F.when(some, words_outside(F.col(body), F.col("full"))).otherwise(F.array().cast("array<string>"))
+    read = read.withColumns({"base": spots, named: F.when(some, mentions(F.col(body), F.col("full"))), said: said_here})
+    rows = saved(read.drop(body, "full"))
 
     def clear(base):
         return lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
 
-    words = F.filter(spans(F.col(body), WORD_RUN, lambda m: F.length(m) >= TERM_LENGTH), clear(F.col("base")))
-    words = F.array_distinct(F.transform(words, lambda x: F.lower(F.substr(F.col(body), x["start"] + 1, x["end"] - x["start"]))))
-    words = F.when(F.size("base") > 0, words).otherwise(F.array().cast("array<string>"))
-    rows = saved(read.withColumns({named: F.transform("base", mention), said: words}).drop(body))
     single = rows.where(F.size("base") > 0).select(F.col(row).alias("row"), F.col(said).alias("words"), F.explode(named).alias("m")).select("row", "words", "m.value", "m.context")
 
     n_rows = rows.count()
@@ -170,16 +206,25 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", name[x["kind"]], x["start"], x["end"])), ",")
 
 
+def replaced(text: Column, found: Column, name: Callable[[Column], Column]) -> Column:
+    """The text with each span replaced by name(span); overlapping spans share the first one's. The text is cut once into
+    the pieces of BLOCK code points, so that a piece between two spans is not sought from the text's beginning."""
+
+    def written(blocks: Column) -> Column:
+        def step(at, x):
+            piece = F.concat(between(blocks, at, x["start"]), name(x))
+            out = F.when(x["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece))
+            return F.struct(F.greatest(at, x["end"]).alias("at"), out.alias("out"))
+
+        return bound(walk(F.array_sort(found), step, "string"), lambda r: F.concat(F.array_join(r["out"], ""), between(blocks, r["at"], F.length(text))))
+
+    return bound(blocks_of(text), written)
+
+
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans share the first one's."""
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)))
-
-    def step(acc, x):
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), name[x["kind"]])
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), piece.alias("out")))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(found), begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return replaced(text, found, lambda x: name[x["kind"]])
 
 
 def sanitised(df: DataFrame, text: str = "text") -> DataFrame:
