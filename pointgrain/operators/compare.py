@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -140,24 +141,35 @@ def binomial_rates(df: DataFrame, group: Sequence[str], success: Column, level:
     return counts.withColumn("ci", interval("k", "n")).select(*group, "k", "n", (F.col("k") / F.col("n")).alias("rate"), "ci.low", "ci.high")
 
 
-def clopper_pearson(k: int, n: int, level: float = 0.95, steps: int = 64) -> tuple[float, float]:
-    """Exact binomial interval by bisection of the tail probabilities."""
-    lf = np.cumsum([0.0, *np.log(np.arange(1, n + 1))])
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularized incomplete beta function, by its continued fraction (Lentz's way): constant memory for any a and b."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value, m = d, 0
+    while m == 0 or abs(c * d - 1) > 1e-14:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d)
+            c = 1 + term / c
+            value *= c * d
+    return value * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
 
-    def tail(p: float, upper: bool) -> float:
-        i = np.arange(k, n + 1) if upper else np.arange(k + 1)
-        return float(np.exp(lf[n] - lf[i] - lf[n - i] + i * np.log(p) + (n - i) * np.log1p(-p)).sum())
+def clopper_pearson(k: int, n: int, level: float = 0.95, steps: int = 64) -> tuple[float, float]:
+    """Exact binomial interval: bisection of the tail probabilities, which are incomplete beta functions."""
 
-    def solve(upper: bool) -> float:
+    def solve(a: int, b: int, share: float) -> float:
         lo, hi = 0.0, 1.0
         for _ in range(steps):
             mid = (lo + hi) / 2
-            # The upper tail grows with p, the lower one falls.
-            above = tail(mid, upper) > (1 - level) / 2
-            lo, hi = (lo, mid) if above == upper else (mid, hi)
+            lo, hi = (lo, mid) if beta_share(mid, a, b) > share else (mid, hi)
         return (lo + hi) / 2
 
-    return (0.0 if k == 0 else solve(True)), (1.0 if k == n else solve(False))
+    rest = (1 - level) / 2
+    return (0.0 if k == 0 else solve(k, n - k + 1, rest)), (1.0 if k == n else solve(k + 1, n - k, 1 - rest))
 
 
 def c2st(p: DataFrame, q: DataFrame, columns: Sequence[str], key: str, seed: int = 1) -> dict[str, float]:

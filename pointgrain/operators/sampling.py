@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,37 +25,75 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int) -> DataFr
     return hash_split(df, group, fraction, seed)
 
 
-def ordered_rank(df: DataFrame, code: Column, key: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Adds the row's place from 0 in the order of (code, key), code being 48 bits of a hash: ranges of equal width hold
-    about as many rows each, their counts give offsets, and a window ranks inside the range. No task sorts the table."""
-    coded = df.withColumns({"__code": code, "__range": F.shiftright(code, 38)})
-    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = coded.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__code", key)) - 1
-    ranked = coded.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")  # 1024 rows
-    return ranked.withColumn(out, F.col("__before") + F.col("__inside")).drop("__code", "__range", "__inside", "__before")
+#: Rows that a hash range should hold, since one task orders the range in which a cut falls; and the most ranges.
+RANGE_ROWS, MAX_RANGES = 100_000, 1 << 20
+
+
+def hash_range(code: Column, n: int) -> Column:
+    """Range of a 48-bit hash among a number of equal ranges, a power of 2, that grows with the n rows."""
+    bits = max(min(n // RANGE_ROWS, MAX_RANGES) - 1, 0).bit_length()
+    return F.shiftright(code, 48 - bits)
+
+
+def split_at(coded: DataFrame, by: Sequence[str], key: str, cut: Column) -> DataFrame:
+    """coded (columns __code, __range, __at, the range of the cut, and __before, the rows in the ranges before it) with
+    part: rows before the cut, in the order of (code, key), are validation. Only rows of the cut's own range are ordered."""
+    whole = coded.where("__range <> __at").withColumn("part", F.when(F.col("__range") < F.col("__at"), "validation").otherwise("train"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__range").orderBy("__code", key)) - 1
+    ranked = coded.where("__range = __at").withColumn("__place", place)
+    return whole.unionByName(ranked.withColumn("part", F.when(F.col("__place") < cut, "validation").otherwise("train")).drop("__place"))
 
 
 def exact_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Adds part with exactly round(n * fraction) validation rows, at least 1 and at most n - 1."""
+    """Adds part with exactly round(n * fraction) validation rows, at least 1 and at most n - 1: those of least hash.
+    Counts of hash ranges tell in which range the cut falls; all other rows are told by their range, without a shuffle."""
     n = df.count()
     n_val = min(max(int(round(n * fraction)), 1), max(n - 1, 1))
-    ranked = ordered_rank(df, X.hash_code(F.col(key), F.lit(seed)), key, "__rank")
-    return ranked.withColumn("part", F.when(F.col("__rank") < n_val, "validation").otherwise("train")).drop("__rank")
+    code = X.hash_code(F.col(key), F.lit(seed))
+    coded = df.withColumns({"__code": code, "__range": hash_range(code, n)})
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_RANGES rows
+    counts = coded.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    at = counts.where(F.col("__before") < n_val).orderBy(F.desc("__range")).first()
+    found = coded.withColumns({"__at": F.lit(at["__range"] if at else 0), "__before": F.lit(at["__before"] if at else 0)})
+    return split_at(found, [], key, F.lit(n_val)).select(*df.columns, "part")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float, seed: int) -> DataFrame:
-    """Adds part so that each stratum gives round(n * fraction) rows, at least 1, to validation. A stratum's threshold
-    comes from counts of its hash ranges, so a stratum with a third of all rows is no single task."""
+    """Adds part so that each stratum gives round(n * fraction) rows, at least 1, to validation. A stratum's cut comes from
+    counts of its hash ranges, and only the range in which it falls is ordered, so a stratum with a third of all rows is no
+    single task."""
     code = X.hash_code(F.col(key), F.lit(seed))
-    coded = df.withColumns({"__code": code, "__range": F.shiftright(code, 38)})
+    coded = df.withColumns({"__code": code, "__range": hash_range(code, df.count())})
     upto = Window.partitionBy(stratum).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(stratum)
-    counts = coded.groupBy(stratum, "__range").agg(F.count("*").alias("__n")).select(F.col(stratum).alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__all"))
-    inside = F.row_number().over(Window.partitionBy(stratum, "__range").orderBy("__code", key)) - 1
-    ranked = coded.withColumn("__inside", inside).join(counts, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    cut = F.greatest(F.round(F.col("__all") * fraction), F.lit(1))
-    return ranked.withColumn("part", F.when(F.col("__before") + F.col("__inside") < cut, "validation").otherwise("train")).select(*df.columns, "part")
+    counts = coded.groupBy(stratum, "__range").agg(F.count("*").alias("__n")).withColumns({"__upto": F.coalesce(F.sum("__n").over(upto), F.lit(0)), "__all": F.sum("__n").over(whole)})
+    counts = counts.withColumn("__cut", F.greatest(F.round(F.col("__all") * fraction), F.lit(1)))
+    cuts = counts.where("__upto < __cut").groupBy(F.col(stratum).alias("__s")).agg(F.max("__range").alias("__at"), F.max("__upto").alias("__before"), F.first("__cut").alias("__cut"))
+    found = coded.join(cuts, F.col(stratum).eqNullSafe(F.col("__s")))
+    return split_at(found, [stratum], key, F.col("__cut")).select(*df.columns, "part")
+
+
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, before): each distinct value, its rows, and the rows of lesser values. Distinct values are summed in
+    ranges between approximate quantiles, so that no task holds them all, whatever the values' unit. Null values are left
+    out; NaN is greater than any number."""
+    n_ranges = min(8192, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    levels = [i / n_ranges for i in range(1, n_ranges)]
+    bounds = counts.where(~F.isnan(F.col(column).cast("double"))).agg(F.percentile_approx(F.col(column).cast("double"), levels, 8 * n_ranges)).first()[0] or [0.0]
+    splits = [-X.INFINITY, *sorted(set(bounds) - {X.INFINITY, -X.INFINITY}), X.INFINITY]
+    cut = Bucketizer(splits=splits, inputCol="__value", outputCol="__range", handleInvalid="keep").transform(counts.withColumn("__value", F.col(column).cast("double")))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = cut.groupBy("__range").agg(F.sum("n").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("__inside", inside).join(F.broadcast(before), "__range").select(column, "n", (F.col("__before") + F.col("__inside")).alias("before"))  # at most 8192 rows
+
+
+def rank_transform(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, rank, score) of each distinct value: its rank in [0, 1] and the normal score of the rank."""
+    total = df.where(F.col(column).isNotNull()).count()
+    ranked = value_ranks(df, column).withColumn("rank", F.col("before") / max(total - 1, 1))
+    return ranked.select(column, "n", "rank", normal_scores((F.col("before") / max(total - 1, 1) * total + 0.5) / (total + 1)).alias("score"))
 
 
 def range_anchors(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:

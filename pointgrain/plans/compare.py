@@ -104,6 +104,11 @@ def binomial_rates(spark, sf_dir):
     return _round(compare.binomial_rates(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error"), 6)
 
 
+def binomial_counts(spark, sf_dir):
+    """The counts and rates of binomial_rates, which SQL can tell."""
+    return binomial_rates(spark, sf_dir).drop("low", "high")
+
+
 def c2st(spark, sf_dir):
     """Two-sample test of large against small events on their hour and weekday."""
     e = table(spark, sf_dir, "events").select("event_id", F.hour("ts").cast("double").alias("hour"), F.dayofweek("ts").cast("double").alias("day"), "event_type")
@@ -182,7 +187,7 @@ _H = f"(SELECT least(floor((px + 25) / 2.5), 19)::INT AS bin, count_if(side = 'F
 _U5 = sql.uniform("event_id", 5)
 _NEAREST = "(SELECT q.vec_id, min(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)"
 
-QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle)}
+QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, binomial_counts, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle)}
 ORACLE_SQL = {
     "held_out_nll": f"SELECT round(avg(CASE WHEN {sql.ok('log_q')} THEN -log_q END), 5) AS held_out_nll, count_if(NOT {sql.ok('log_q')})::BIGINT AS n_nonfinite, count(*) AS n FROM {_SCORED}",
     "forward_kl": f"SELECT round(avg(d), 5) AS forward_kl, round(stddev_pop(d) / sqrt(count(d)), 5) AS std_error, count(d) AS n_finite, count_if(d IS NULL)::BIGINT AS n_nonfinite FROM (SELECT CASE WHEN {sql.ok('log_p - log_q')} THEN log_p - log_q END AS d FROM {_SCORED})",
@@ -201,6 +206,7 @@ t AS (SELECT *, sum(n_p) OVER () * 2.5e0 AS tp, sum(n_q) OVER () * 2.5e0 AS tq F
 SELECT bin, n_p, n_q, round(n_p / tp, 5) AS d_p, round(n_q / tq, 5) AS d_q, CASE WHEN e = 0 THEN 0 ELSE round((n_p - n_q) / e, 5) END AS pull, CASE WHEN e = 0 THEN 0 ELSE round((n_p / tp - n_q / tq) / e, 5) END AS pull_consistent FROM e""",
     "labelled_union": f"SELECT (side = 'F')::INT AS label, count(*) AS n, round(sum(px), 3) AS sum_px FROM {STATE_SQL} GROUP BY 1",
     "stratum_nll": f"SELECT round(sum(-w * log_p) / sum(w), 4) AS all, round(sum(-w * log_p) FILTER (id = 13) / sum(w) FILTER (id = 13), 4) AS rare, round(sum(-w * log_p) FILTER (id <> 13) / sum(w) FILTER (id <> 13), 4) AS main FROM {_SCORED}".replace("AS all", 'AS "all"'),
+    "binomial_counts": "SELECT user_id, count_if(event_type = 'error')::BIGINT AS k, count(*) AS n, round(count_if(event_type = 'error') / count(*), 6) AS rate FROM events GROUP BY user_id",
     "exact_duplicates": f"SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_distinct, (sum(n) - count(*))::BIGINT AS n_duplicates FROM (SELECT count(*) AS n FROM (SELECT round(px, 6) AS px, round(py, 6) AS py, side FROM {STATE_SQL}) GROUP BY px, py, side)",
     "near_duplicates": f"""WITH e AS (SELECT event_id, value, event_id * 7919 % 5000 / 100 AS v, floor(value / {ATOL!r})::BIGINT AS c FROM events),
 b AS (SELECT *, unnest([c - 1, c, c + 1]) AS k FROM e)

@@ -78,16 +78,7 @@ def weight_normalize(spark, sf_dir):
 
 def rank_transform(spark, sf_dir):
     """Ranks of the values by rows of equal value, and their normal scores."""
-    events = _events(spark, sf_dir)
-    counts = events.groupBy("value").agg(F.count("*").alias("n"))
-    # Distinct values are ranked by ranges of the value, so that no task holds them all.
-    cut = counts.withColumn("range", F.floor(F.col("value")).cast("long"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy("range").agg(F.sum("n").alias("n_range")).withColumn("before", F.coalesce(F.sum("n_range").over(upto), F.lit(0))).select("range", "before")
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = events.count()
-    ranked = cut.withColumn("inside", inside).join(before, "range").withColumn("rank", (F.col("before") + F.col("inside")) / max(total - 1, 1))
-    return ranked.select("value", "n", F.round("rank", 9).alias("rank"), F.round(sampling.normal_scores((F.col("rank") * total + 0.5) / (total + 1)), 4).alias("score"))
+    return sampling.rank_transform(_events(spark, sf_dir), "value").select("value", "n", F.round("rank", 9).alias("rank"), F.round("score", 4).alias("score"))
 
 
 LEVELS = (10.0, 20.0, 50.0, 100.0, 200.0)

@@ -266,3 +266,39 @@ def test_staged_density_has_generated_code(spark):
     df = spark.createDataFrame([(1.0, 2.0, 50.0, 0.1, 0.2, 13)], "px double, py double, pz double, x double, y double, id int")
     plan = density.with_log_prob(df, T.target("D4"), "lp").select("lp")._jdf.queryExecution().executedPlan().toString()
     assert "*(1) Project" in plan and len(plan) < 20_000
+
+
+def test_interval_of_very_many_rows():
+    low, high = compare.clopper_pearson(300_000_000, 1_000_000_000)
+    width = 1.959963985 * math.sqrt(0.3 * 0.7 / 1e9)
+    assert low == pytest.approx(0.3 - width, abs=1e-8) and high == pytest.approx(0.3 + width, abs=1e-8)
+    tails = lambda p, ks: sum(math.comb(50, i) * p**i * (1 - p) ** (50 - i) for i in ks)
+    for k in (1, 7, 25, 49):
+        low, high = compare.clopper_pearson(k, 50)
+        assert tails(low, range(k, 51)) == pytest.approx(0.025, abs=1e-10) and tails(high, range(k + 1)) == pytest.approx(0.025, abs=1e-10)
+
+
+def test_splits_over_many_ranges(spark, monkeypatch):
+    """With narrow ranges the split is that of one order over all rows; a group with most rows is no exception."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("g"))
+    code = {r[0]: (r[1], r[0]) for r in df.select("k", X.hash_code(F.col("k"), F.lit(5))).collect()}
+    group = {r["k"]: r["g"] for r in df.collect()}
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 10)
+    exact = {r["k"] for r in sampling.exact_split(df, "k", 0.2, 5).where("part = 'validation'").collect()}
+    assert exact == set(sorted(code, key=code.get)[:600])
+    want = set()
+    for g in set(group.values()):
+        own = sorted((k for k in group if group[k] == g), key=code.get)
+        want |= set(own[: max(round(len(own) * 0.25), 1)])
+    parts = sampling.stratified_split(df, "k", "g", 0.25, 5)
+    assert parts.count() == 3000 and {r["k"] for r in parts.where("part = 'validation'").collect()} == want
+    empty = df.where("k < 0")
+    assert sampling.exact_split(empty, "k", 0.2, 5).count() == 0 and sampling.stratified_split(empty, "k", "g", 0.2, 5).count() == 0
+
+
+def test_ranks_whatever_the_unit(spark):
+    values = [(i * 37 % 211) * 1e-9 for i in range(1000)] + [float("inf"), float("-inf"), float("nan"), None]
+    got = {repr(r["v"]): (r["n"], r["before"]) for r in sampling.value_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()}
+    there = sorted((v for v in values if v is not None), key=lambda v: (math.isnan(v), v))
+    assert got == {repr(v): (sum(repr(w) == repr(v) for w in there), min(i for i, w in enumerate(there) if repr(w) == repr(v))) for v in there}
+    assert sampling.rank_transform(spark.createDataFrame([], "v double"), "v").count() == 0
