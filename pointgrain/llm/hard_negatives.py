@@ -102,10 +102,12 @@ def packed_blocks(rows: DataFrame, size: int) -> DataFrame:
 def cells(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every group of anchors (columns group, keys, labels, cells, bounds) with every slice of blocks: one run of rows
     (group, slice, role, ...) for each cell, the anchors first, in one task. A cell holds GROUP anchors and SLICE blocks at
-    most, and there are as many cells as pairs of groups and slices."""
+    most, and there are as many cells as pairs of groups and
+    slices; few blocks are dealt out to as many slices as tasks can be."""
     n_groups = anchors.agg(F.max("group")).first()[0]
     n_groups = 0 if n_groups is None else n_groups + 1
-    n_slices = max(1, -(-blocks.count() // SLICE))
+    n_blocks = blocks.count()
+    n_slices = max(1, -(-n_blocks // SLICE), min(n_blocks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(n_groups, 1)))
     code = F.xxhash64(F.monotonically_increasing_id())  # blocks are saved, so a row keeps its number
     right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group") if n_groups else F.lit(0).alias("group"), F.pmod(code, F.lit(n_slices)).cast("int").alias("slice"), F.lit(1).alias("role"), "keys", "labels", "cells", F.lit(b"").alias("bounds"))
     left = anchors.select("group", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), F.lit(0).alias("role"), "keys", "labels", "cells", "bounds")
