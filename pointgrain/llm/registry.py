@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii", "language_model", "url_filter", "token_counts", "vector_codes", "hard_negatives")
+MODULES = ("sharding", "mixing", "decontamination", "simhash", "toxicity", "quality", "pii", "language_model", "url_filter", "token_counts", "vector_codes", "hard_negatives", "hyperminhash")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
