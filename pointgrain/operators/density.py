@@ -6,19 +6,12 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointgrain.functions import expressions as X
 from pointgrain.functions import targets as T
-
-
-def log_prob(t: T.Target, pdg_id: int) -> Column:
-    """Log density of a target at a physical point."""
-    base, jac = t.inverse(T.state())
-    return X.logsumexp(t.component_terms(pdg_id, base)) + jac
+from pointgrain.operators.mixture import FitResult, GaussianMixture, checked, mean_nll
 
 
 def with_log_prob(df: DataFrame, t: T.Target, out: str, pdg_id: int | None = None, key: str = "id") -> DataFrame:
@@ -80,13 +73,27 @@ class DiagonalGaussian:
 
     def __init__(self, columns: Sequence[str], floor: float = 1e-6):
         self.columns, self.floor, self.mean, self.var = tuple(columns), floor, [], []
-
-    def fit(self, df: DataFrame, weight: str | None = None) -> DiagonalGaussian:
-        found = weighted_moments(df if weight else df.withColumn("__w", F.lit(1.0)), self.columns, weight or "__w", self.floor)
-        by = {r["column"]: r for r in found.collect()}
-        self.mean, self.var = [by[c]["mean"] for c in self.columns], [by[c]["var"] for c in self.columns]
+        self.result: FitResult | None = None
+
+    def fit(self, df: DataFrame, weight: str | None = None, validation: DataFrame | None = None, seed: int = 0) -> DiagonalGaussian:
+        """Fits to df with its weights, if a column of them is named; bad cells and weights are errors. The fit is in closed
+        form: the seed is only noted."""
+        self._fit(df, weight)
+        train = mean_nll(self.with_log_prob(df, "_lp"), "_lp", weight)
+        held = None if validation is None else mean_nll(self.with_log_prob(validation, "_lp"), "_lp")
+        self.result = FitResult(seed, 1, True, train, held, self.parameter_count())
         return self
 
+    def _fit(self, df: DataFrame, weight: str | None) -> None:
+        found = checked(df, self.columns, weight)
+        self.mean, self.var = [found[f"mean|{c}"] for c in self.columns], [max(found[f"var|{c}"], self.floor) for c in self.columns]
+
+    def parameter_count(self) -> int:
+        return 2 * len(self.columns)
+
+    def with_log_prob(self, df: DataFrame, out: str = "log_prob") -> DataFrame:
+        return df.withColumn(out, self.log_prob())
+
     def log_prob(self) -> Column:
         return X.diag_gauss_logpdf([F.col(c) for c in self.columns], self.mean, self.var)
 
@@ -109,16 +116,18 @@ class DiagonalGaussian:
 class FullGaussian(DiagonalGaussian):
     """The same with a full covariance."""
 
-    def fit(self, df: DataFrame, weight: str | None = None) -> FullGaussian:
-        w = F.col(weight) if weight else F.lit(1.0)
-        means = df.agg(F.sum(w).alias("w"), *(F.sum(F.col(c) * w).alias(c) for c in self.columns)).first()
-        self.mean = [means[c] / means["w"] for c in self.columns]
+    def _fit(self, df: DataFrame, weight: str | None) -> None:
+        found = checked(df, self.columns, weight)
+        self.mean = [found[f"mean|{c}"] for c in self.columns]
         at = {c: i for i, c in enumerate(self.columns)}
         cov = np.zeros((len(at), len(at)))
-        for r in weighted_cov(df, self.columns, weight).collect():
+        for r in weighted_cov(df, self.columns, weight, self.floor).collect():
             cov[at[r["a"]], at[r["b"]]] = cov[at[r["b"]], at[r["a"]]] = r["cov"]
         self.var = cov.tolist()
-        return self
+
+    def parameter_count(self) -> int:
+        d = len(self.columns)
+        return d + d * (d + 1) // 2
 
     def log_prob(self) -> Column:
         return X.full_gauss_logpdf([F.col(c) for c in self.columns], self.mean, self.var)
@@ -129,10 +138,6 @@ class FullGaussian(DiagonalGaussian):
         return normals.select("id", *((F.lit(m) + X.total([F.col(f"e{j}") * float(low[i, j]) for j in range(i + 1)])).alias(c) for i, (c, m) in enumerate(zip(self.columns, self.mean, strict=True))))
 
 
-def mixture_fit(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (1, 2, 3), max_iter: int = 50):
-    """Gaussian mixture by EM, the best of several seeds by log-likelihood. Weights are not supported, so none are taken."""
-    vectors = df.select(array_to_vector(F.array(*columns)).alias("features")).cache()
-    models = [GaussianMixture(k=k, seed=s, maxIter=max_iter).fit(vectors) for s in seeds]
-    best = max(models, key=lambda m: m.summary.logLikelihood)
-    vectors.unpersist()
-    return best
+def mixture_fit(df: DataFrame, columns: Sequence[str], k: int, seed: int = 1, n_init: int = 2, max_iter: int = 200) -> GaussianMixture:
+    """A mixture of k Gaussians, the best of n_init starts."""
+    return GaussianMixture(columns, k, n_init=n_init, max_iter=max_iter).fit(df, seed=seed)

@@ -118,7 +118,7 @@ def c2st(spark, sf_dir):
 
 def mixture_fit(spark, sf_dir):
     """Weights of a two-component mixture fitted to the state rows."""
-    model = density.mixture_fit(state_view(spark, sf_dir), ["px", "py", "pz"], 2, seeds=(1, 2), max_iter=20)
+    model = density.mixture_fit(state_view(spark, sf_dir), ["px", "py", "pz"], 2)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "component_id int, weight double")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from pointgrain.functions import expressions as X
 from pointgrain.functions import targets as T
 from pointgrain.operators import density
+from pointgrain.operators.mixture import GaussianMixture
 from pointgrain.plans import sql
 from pointgrain.plans.contracts import rounded
 from pointgrain.plans.views import _lnjac, _S, unbent
-from pointgrain.sources.tables import STATE_SQL, state_view
+from pointgrain.sources.tables import STATE_SQL, shared_folder, state_view
 
 P5 = sql.COLUMNS
 D1, D2, D4, D5 = T.target("D1"), T.target("D2"), T.target("D4"), T.target("D5")
@@ -83,6 +85,13 @@ def component_counts(spark, sf_dir):
     return best.groupBy("id", "component_id").agg(F.count("*").alias("n"))
 
 
+def mixture_reloaded(spark, sf_dir):
+    """Log densities under a mixture that was saved and read back; it is laid by in the session's shared folder."""
+    model, path = GaussianMixture.of_target(D2, 13), f"{shared_folder(spark)}/mixture-{uuid4().hex}"
+    model.save(spark, path)
+    return GaussianMixture.load(spark, path).with_log_prob(state_view(spark, sf_dir)).select(F.round("log_prob", 5).alias("log_prob"))
+
+
 def _terms(t, i, columns=P5):
     return [f"({math.log(c.weight)!r} + {sql.gauss(columns, c.mean, c.cov)})" for c in t.components[i]]
 
@@ -109,12 +118,13 @@ _IN = {i: f"{sql.quadratic(P5, T.D5_RARE_MEAN[i], np.diag(1 / np.square(T.D5_RAR
 QUERIES = {
     "full_gauss_logpdf": _scores(D1), "mixture_logpdf": _scores(D2),
     "transformed_logpdf": _scores(D4), "base_stage_logpdf": _scores(T.target("D5", base=True)),
-} | {f.__name__: f for f in (diag_gauss_logpdf, component_logpdf, component_posterior, posterior_mass, mahalanobis_filter, region_mask, weighted_moments, weighted_cov, component_counts)}
+} | {f.__name__: f for f in (diag_gauss_logpdf, component_logpdf, component_posterior, posterior_mass, mahalanobis_filter, region_mask, weighted_moments, weighted_cov, component_counts, mixture_reloaded)}
 ORACLE_SQL = {
     "full_gauss_logpdf": _logpdf_sql(D1, False),
     "mixture_logpdf": _logpdf_sql(D2, False),
     "transformed_logpdf": _logpdf_sql(D4, True),
     "base_stage_logpdf": _logpdf_sql(D5, False),
+    "mixture_reloaded": f"SELECT round({sql.lse(_terms(D2, 13))}, 5) AS log_prob FROM {STATE_SQL}",
     "diag_gauss_logpdf": f"SELECT round({sql.gauss(P5, T.D0['mean'], np.diag(np.square(T.D0['std'])))}, 5) AS log_prob FROM {STATE_SQL}",
     "component_logpdf": f"SELECT id, round(t[1], 5) AS term0, round(t[2], 5) AS term1 FROM {_D2T}",
     "component_posterior": f"SELECT id, round(p[1], 6) AS p0, round(p[2], 6) AS p1 FROM {_D2P}",
