@@ -34,6 +34,12 @@ def logsumexp(terms: Sequence[Column]) -> Column:
     return F.when(top == F.lit(-INFINITY), F.lit(-INFINITY)).otherwise(top + F.log(total([F.exp(t - top) for t in terms])))
 
 
+def place(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts (an array column of at most 1,023) are at most value: a binary search."""
+    steps = F.lit([1 << i for i in reversed(range(10))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def hash_code(*parts: Column) -> Column:
     """48 bits of the MD5 of the parts joined by bars: the same value in any engine and under any partitioning."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("long")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pointgrain.functions.expressions import finite, hash_uniform, total
 from pointgrain.operators import profile
+from pointgrain.operators.selection import exact_quantiles
 
 NAN = float("nan")
 
@@ -55,10 +56,18 @@ def weight_ess(df: DataFrame, weight: str) -> DataFrame:
 
 
 def tail_quantile_error(p: DataFrame, q: DataFrame, columns: Sequence[str], levels: Sequence[float] = (0.01, 0.99), accuracy: int | None = None) -> DataFrame:
-    """Quantiles of p and q and their absolute difference, one row for each column and level."""
-    a = profile.column_quantiles(p, columns, levels, accuracy).withColumnRenamed("value", "q_p")
-    b = profile.column_quantiles(q, columns, levels, accuracy).withColumnRenamed("value", "q_q")
-    return a.join(b, ["column", "level"]).withColumn("abs_error", F.abs(F.col("q_p") - F.col("q_q")))
+    """Quantiles of p and q and their absolute difference, one row for each column and level. Both sides go through one
+    selection; with an accuracy they are approximate."""
+    if not accuracy:
+        both = p.select(*columns, F.lit(1).alias("_side")).unionByName(q.select(*columns, F.lit(0).alias("_side")))
+        found = {r[:3]: r[3] for r in exact_quantiles(both, columns, levels, F.col("_side"))}
+        rows = [(c, float(level), found.get((1, c, float(level))), found.get((0, c, float(level)))) for c in columns for level in levels]
+        joined = p.sparkSession.createDataFrame(rows, "column string, level double, q_p double, q_q double")
+    else:
+        a = profile.column_quantiles(p, columns, levels, accuracy).withColumnRenamed("value", "q_p")
+        b = profile.column_quantiles(q, columns, levels, accuracy).withColumnRenamed("value", "q_q")
+        joined = a.join(b, ["column", "level"])
+    return joined.withColumn("abs_error", F.abs(F.col("q_p") - F.col("q_q")))
 
 
 def exceedance_error(p: DataFrame, q: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointgrain.operators.selection import exact_quantiles
 from pointgrain.sources.tables import CONTRACT_VERSION
 
 #: The reported quantile levels.
@@ -26,10 +27,12 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float] = LEVELS, accuracy: int | None = None) -> DataFrame:
-    """Quantiles with linear interpolation, one row for each column and level. The exact form holds a column's distinct
-    values with their counts in one buffer; give an accuracy for columns of very many distinct values."""
-    q = lambda c: F.percentile_approx(c, list(levels), accuracy) if accuracy else F.percentile(c, F.array(*map(F.lit, levels)))
-    wide = df.agg(*(q(c).alias(f"{c}|q") for c in columns))
+    """Quantiles with linear interpolation, one row for each column and level: exact by distributed selection, which
+    reads df a few times as the table is made, or with an accuracy approximate in one pass."""
+    if not accuracy:
+        rows = [r[1:] for r in exact_quantiles(df, columns, levels)]
+        return df.sparkSession.createDataFrame(rows, "column string, level double, value double")
+    wide = df.agg(*(F.percentile_approx(c, list(levels), accuracy).alias(f"{c}|q") for c in columns))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("level"), F.col(f"`{c}|q`")[i].alias("value")) for c in columns for i, p in enumerate(levels)))
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
