@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.functions.expressions import finite, total
+from pointgrain.functions.expressions import finite, place, total
+from pointgrain.sources.tables import saved
 
 
 def exact_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,31 +20,74 @@ def exact_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).select("n_rows", "n_distinct", (F.col("n_rows") - F.col("n_distinct")).alias("n_duplicates"))
 
 
+#: Points of a cell that meet each other, at most; a cell of more is cut into SLICES at a time.
+CELL, SLICES = 1024, 16
+#: Coordinates of more widths of a small cell than this are not told apart by cells.
+FAR = 1e9
+
+
 def near_duplicates(df: DataFrame, columns: Sequence[str], atol: float) -> DataFrame:
-    """How many rows have another row within Euclidean distance atol (strictly), over all rows.
-
-    Equal rows collapse first. A point falls in a cell of side atol by its first two columns and meets the points of
-    the 3 by 3 cells around it: an equi-join, never all pairs. A point counts once, however many neighbours it has:
-    the join is a semi-join, so a crowded cell gives no pairs."""
-    points = df.groupBy(*columns).agg(F.count("*").alias("copies"))
-    grid = list(columns[:2])
-    cell = [F.floor(F.col(c) / atol).cast("long") for c in grid]
-    left = points.withColumns({f"cell{i}": c for i, c in enumerate(cell)})
-    around = points.select(*(F.col(c).alias(f"o_{c}") for c in columns))
-    for i, c in enumerate(grid):
-        around = around.withColumn(f"o_cell{i}", F.explode(F.array(*(F.floor(F.col(f"o_{c}") / atol).cast("long") + d for d in (-1, 0, 1)))))
-    same_cell = [F.col(f"cell{i}") == F.col(f"o_cell{i}") for i in range(len(grid))]
-    distance = total([(F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in columns])
-    other = F.lit(False)
-    for c in columns:
-        other = other | (F.col(c) != F.col(f"o_{c}"))
-    condition = (distance < atol * atol) & other
-    for s in same_cell:
-        condition = condition & s
-    lonely = left.where("copies = 1")
-    near = lonely.join(around, condition, "left_semi").agg(F.count("*").alias("n_close"))
-    copies = points.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("copies") > 1, F.col("copies"))), F.lit(0)).alias("n_copied"))
-    return copies.crossJoin(near).select("n_rows", (F.col("n_copied") + F.col("n_close")).alias("n_near"))  # one row each
+    """How many rows have another row within Euclidean distance atol (strictly), over all rows: n_rows, n_near.
+
+    Equal rows collapse first, and each has the other. Then points fall into small cells of all coordinates in which any
+    two are near, so a crowded spot is settled by a count. A point that is alone in its small cell looks for others: all
+    points are dealt into the cells of a tree (see dealt), and a cell's points meet in an equi-join on the cell.
+    Points with a cell that is no finite number are near to equal ones only."""
+    names = [f"p{i}" for i in range(len(columns))]
+    points = saved(df.select(*(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names, strict=True))).groupBy(*names).agg(F.count("*").alias("copies")))
+    side = atol / len(columns) ** 0.5 * (1 - 1e-6)
+    there = points.where(reduce(lambda a, b: a & b, map(finite, names)))
+    small = reduce(lambda a, b: a & b, [F.abs(F.col(n) / side) < FAR for n in names])
+    spots = there.where(small).groupBy(*(F.floor(F.col(n) / side).alias(f"m{i}") for i, n in enumerate(names)))
+    spots = saved(spots.agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), *(F.max(n).alias(n) for n in names)))
+    lonely = spots.where("n = 1 AND copies = 1").select(*names).unionByName(there.where(~small & (F.col("copies") == 1)).select(*names))
+    found = met(dealt(lonely, there.select(*names), names, atol), names, atol)
+    odd = ~reduce(lambda a, b: a & b, map(finite, names))
+    several = lambda c: F.coalesce(F.sum(F.when(c, F.col("copies"))), F.lit(0))
+    n_rows, n_other = points.agg(F.coalesce(F.sum("copies"), F.lit(0)), several((odd | ~small) & (F.col("copies") > 1))).first()
+    n_spots = spots.agg(several((F.col("n") > 1) | (F.col("copies") > 1))).first()[0]
+    return df.sparkSession.createDataFrame([(n_rows, n_other + n_spots + found.count())], "n_rows long, n_near long")
+
+
+def dealt(homes: DataFrame, others: DataFrame, names: Sequence[str], atol: float) -> DataFrame:
+    """homes (home true, each in one cell) and others (home false, in each cell that reaches to within atol of it) with
+    their cell: any two points within atol of each other meet in the home's cell.
+
+    All begin in one cell. A cell of more than CELL points is cut along its homes' widest coordinate, at quantiles and
+    in the middle; points within atol of a cut go to both sides. A cell whose homes lie within some atol of each other
+    can't be cut to use any more: it holds few homes, since each is alone in its small cell, and stays as it is.
+    Cells without homes are dropped as they come."""
+    rows = saved(homes.withColumn("home", F.lit(True)).unionByName(others.withColumn("home", F.lit(False))).withColumn("cell", F.lit(0).cast("long")))
+    done: list[DataFrame] = []
+    while True:
+        extents = [F.struct((F.max(F.when(F.col("home"), F.col(n))) - F.min(F.when(F.col("home"), F.col(n)))).alias("width"), F.lit(i).alias("no"), F.min(F.when(F.col("home"), F.col(n))).alias("low")) for i, n in enumerate(names)]
+        cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"), F.greatest(*extents).alias("widest")).where("homes > 0")
+        cells = saved(cells.withColumn("cut", (F.col("n") > CELL) & (F.col("widest.width") > 4 * atol)))
+        with_cell = rows.join(cells.select("cell", "cut", "widest"), "cell")
+        if cells.where("cut").isEmpty():
+            return reduce(DataFrame.unionByName, [*done, with_cell.select(*names, "home", "cell")])
+        done.append(saved(with_cell.where("NOT cut").select(*names, "home", "cell")))
+        open_ = with_cell.where("cut").withColumn("v", F.get(F.array(*names), F.col("widest.no")))
+        levels = [i / SLICES for i in range(1, SLICES)]
+        quantiles = open_.groupBy("cell").agg(F.percentile_approx(F.when(F.col("home"), F.col("v")), levels, 200).alias("q"), F.first("widest").alias("w"))
+        middle = F.array(F.col("w.low") + F.col("w.width") / 2)
+        cuts = quantiles.select("cell", F.array_sort(F.array_distinct(F.filter(F.concat("q", middle), lambda x: x > F.col("w.low")))).alias("cuts"))
+        reach = atol * (1 + 1e-9)
+        own = place(F.col("cuts"), F.col("v"))
+        slices = F.when(F.col("home"), F.array(own)).otherwise(F.sequence(place(F.col("cuts"), F.col("v") - reach), place(F.col("cuts"), F.col("v") + reach)))
+        rows = saved(open_.join(cuts, "cell").select(*names, "home", "cell", F.explode(slices).alias("slice")).select(*names, "home", F.xxhash64("cell", "slice").alias("cell")))
+
+
+def met(rows: DataFrame, names: Sequence[str], atol: float) -> DataFrame:
+    """The homes of dealt rows that have another point within atol. A cell of more points than CELL, which can't be cut, is
+    dealt into tiles, and its few homes go to each."""
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("tiles"))
+    spread = rows.join(sizes, "cell")
+    homes = spread.where("home").select(*names, "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    others = spread.where("NOT home").select(F.col("cell").alias("o_cell"), F.pmod(F.xxhash64(*names), F.col("tiles")).cast("int").alias("o_tile"), *(F.col(n).alias(f"o_{n}") for n in names))
+    gaps = [F.col(n) - F.col(f"o_{n}") for n in names]
+    near = (total([g * g for g in gaps]) < atol * atol) & reduce(lambda a, b: a | b, [F.col(n) != F.col(f"o_{n}") for n in names])
+    return homes.join(others, (F.col("cell") == F.col("o_cell")) & (F.col("tile") == F.col("o_tile")) & near, "left_semi").select(*names).distinct()
 
 
 def ranges(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

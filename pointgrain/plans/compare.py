@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointgrain.functions import targets as T
 from pointgrain.functions.expressions import hash_uniform
-from pointgrain.operators import compare, dedup, density
+from pointgrain.operators import compare, dedup, density, evaluate
 from pointgrain.plans import sql
 from pointgrain.plans.contracts import faulty, rounded
 from pointgrain.plans.density import _IN, _terms
@@ -166,14 +166,19 @@ def nn_summary(spark, sf_dir):
 
 
 def evaluate_bundle(spark, sf_dir):
-    """All scalar metrics of the scored rows as (metric, value)."""
-    df = scored(spark, sf_dir).withColumn("lw", (F.col("log_p") - F.col("log_q")) / 100).cache()
-    parts = {
-        "held_out": compare.held_out_nll(df, "log_q"), "forward_kl": compare.forward_kl(df, "log_p", "log_q"),
-        "ess": compare.importance_ess(df, "lw", drop=True).drop("catastrophic"), "finite": compare.nonfinite_rate(df, "log_q"), "support": compare.support_violation(df, P5),
-    }
-    longs = [p.select(F.explode(F.map_from_arrays(F.array(*(F.lit(f"{n}.{c}") for c in p.columns)), F.array(*(F.col(c).cast("double") for c in p.columns)))).alias("metric", "value")) for n, p in parts.items()]
-    return _round(reduce(lambda a, b: a.unionByName(b), longs), 5)
+    """All metrics of the scored rows of one side against the other's as (metric, value), but for the two-sample test."""
+    post = density.posterior(T.by_id("id", lambda i: density.component_log_probs(D2, i)))
+    plan = evaluate.Plan(
+        P5, log_weight=(F.col("log_p") - F.col("log_q")) / 100, weight="w", thresholds=THRESHOLDS, levels=(0.01, 0.99), posterior=post, n_components=2,
+        inside=D5.region(13, T.state()), soft=F.get(post, F.lit(0)), rare=F.col("id") == 13, target_mass=0.01, atol=0.5,
+    )
+    return _round(evaluate.evaluate(_wide(spark, sf_dir), F.col("side") == "F", plan), 5)
+
+
+def evaluate_classifier(spark, sf_dir):
+    """The bundle's two-sample test: the p side against the q side by a classifier."""
+    plan = evaluate.Plan(("px", "py", "pz"), key="l_orderkey")
+    return evaluate.evaluate(scored(spark, sf_dir), F.col("side") == "F", plan).where("metric LIKE 'c2st%'")
 
 
 _LP, _LQ = _terms(D1, 13)[0], f"CASE WHEN id = 13 THEN {sql.lse(_terms(D2, 13))} ELSE {sql.lse(_terms(D2, -13))} END"
@@ -187,7 +192,7 @@ _H = f"(SELECT least(floor((px + 25) / 2.5), 19)::INT AS bin, count_if(side = 'F
 _U5 = sql.uniform("event_id", 5)
 _NEAREST = "(SELECT q.vec_id, min(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)"
 
-QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, binomial_counts, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle)}
+QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, binomial_counts, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle, evaluate_classifier)}
 ORACLE_SQL = {
     "held_out_nll": f"SELECT round(avg(CASE WHEN {sql.ok('log_q')} THEN -log_q END), 5) AS held_out_nll, count_if(NOT {sql.ok('log_q')})::BIGINT AS n_nonfinite, count(*) AS n FROM {_SCORED}",
     "forward_kl": f"SELECT round(avg(d), 5) AS forward_kl, round(stddev_pop(d) / sqrt(count(d)), 5) AS std_error, count(d) AS n_finite, count_if(d IS NULL)::BIGINT AS n_nonfinite FROM (SELECT CASE WHEN {sql.ok('log_p - log_q')} THEN log_p - log_q END AS d FROM {_SCORED})",
@@ -220,13 +225,33 @@ SELECT CASE WHEN value < lo OR value > hi THEN 'extrapolation' WHEN coalesce(c.n
 _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 ORACLE_SQL["bootstrap_metric"] = f"WITH u AS (SELECT value, range::INT AS b, {sql.uniform('event_id', 1, 'range')} AS u FROM events, range(20)), c AS (SELECT b, value, {' + '.join(f'(u >= {c!r})::INT' for c in _CUTS)} AS c FROM u) SELECT b, round(sum(value * c) / sum(c), 5) AS mean FROM c GROUP BY b"
 
-_PARTS = {"held_out": "held_out_nll", "forward_kl": "forward_kl", "ess": "importance_ess", "finite": "nonfinite_rate", "support": "support_violation"}
-_NAMES = {
-    "held_out": ("held_out_nll", "n_nonfinite", "n"),
-    "forward_kl": ("forward_kl", "std_error", "n_finite", "n_nonfinite"),
-    "ess": ("ess_over_n", "max_weight", "log_min", "log_max", "log_range", "n_nonfinite"),
-    "finite": ("n_nonfinite", "n", "rate"),
-}
-ORACLE_SQL["evaluate_bundle"] = " UNION ALL ".join(f"SELECT '{p}.{c}' AS metric, round({c}::DOUBLE, 5) AS value FROM ({ORACLE_SQL[_PARTS[p]]})" for p, names in _NAMES.items() for c in names) + (
-    f" UNION ALL SELECT unnest(['support.nonfinite_rate', 'support.pz_rate', 'support.n_pz']), unnest([round(count_if(NOT ({' AND '.join(map(sql.ok, P5))})) / count(*), 5), round(count_if(pz <= 0) / count(*), 5), count_if(pz <= 0)::DOUBLE]) FROM {_SCORED}"
-)
+# The bundle's metrics, each from a select over the rows of its side.
+_P, _Q = f"(SELECT * FROM {_WIDE} WHERE side = 'F')", f"(SELECT * FROM {_WIDE} WHERE side = 'O')"
+_D = f"CASE WHEN {sql.ok('log_p - log_q')} THEN log_p - log_q END"
+_POST = f"(SELECT w.*, exp(t[1] - list_max(t)) / list_sum(list_transform(t, lambda v: exp(v - list_max(t)))) AS post FROM (SELECT *, CASE WHEN id = 13 THEN [{', '.join(_terms(D2, 13))}] ELSE [{', '.join(_terms(D2, -13))}] END AS t FROM {_WIDE}) w)"
+_SELECTS = {
+    "held_out": (f"SELECT avg(CASE WHEN {sql.ok('log_q')} THEN -log_q END) AS nll, count_if(NOT {sql.ok('log_q')}) AS n_nonfinite, count(*) AS n FROM {_P}", ("nll", "n_nonfinite", "n")),
+    "nonfinite": (f"SELECT count_if(NOT {sql.ok('log_q')}) / count(*) AS rate FROM {_P}", ("rate",)),
+    "forward_kl": (f"SELECT avg({_D}) AS value, stddev_pop({_D}) / sqrt(count({_D})) AS std_error, count({_D}) AS n_finite, count(*) - count({_D}) AS n_nonfinite FROM {_P}", ("value", "std_error", "n_finite", "n_nonfinite")),
+    "ess": (
+        f"WITH l AS (SELECT (log_p - log_q) / 100 AS lw FROM {_Q}), f AS (SELECT lw, max(lw) OVER () AS top FROM l WHERE {sql.ok('lw')}) SELECT sum(exp(lw - top)) ** 2 / (count(*) * sum(exp(2 * (lw - top)))) AS ess_over_n, 1 / sum(exp(lw - top)) AS max_weight, min(lw) AS log_min, max(lw) AS log_max, max(lw) - min(lw) AS log_range, (SELECT count(*) FROM l) - count(*) AS n_excluded, (sum(exp(lw - top)) ** 2 / (count(*) * sum(exp(2 * (lw - top)))) < 0.01)::INT AS catastrophic FROM f",
+        ("ess_over_n", "max_weight", "log_min", "log_max", "log_range", "n_excluded", "catastrophic"),
+    ),
+    "support": (f"SELECT count_if(NOT ({' AND '.join(map(sql.ok, P5))})) / count(*) AS nonfinite_rate, count_if(pz <= 0) / count(*) AS pz_rate, count_if(pz <= 0) AS n_pz FROM {_Q}", ("nonfinite_rate", "pz_rate", "n_pz")),
+    "posterior": (f"SELECT avg(post) AS \"0\", avg(1 - post) AS \"1\" FROM {_POST} WHERE side = 'F'", ("0", "1")),
+    "weight_ess": (f"SELECT sum(w) ** 2 / sum(w * w) AS value FROM {_P}", ("value",)),
+    "duplicates": (f"SELECT sum(n) AS n_rows, count(*) AS n_distinct, sum(n) - count(*) AS n_duplicates FROM (SELECT count(*) AS n FROM {_Q} GROUP BY {', '.join(P5)})", ("n_rows", "n_distinct", "n_duplicates")),
+    "near_duplicates": (
+        f"WITH q AS (SELECT row_number() OVER () AS r, {', '.join(P5)}, floor(px)::BIGINT AS c FROM {_Q}), b AS (SELECT *, unnest([c - 1, c, c + 1]) AS k FROM q) SELECT count(DISTINCT a.r) AS n_near FROM q a JOIN b ON a.c = b.k AND a.r <> b.r AND {' + '.join(f'(a.{c} - b.{c}) ** 2' for c in P5)} < 0.25",
+        ("n_near",),
+    ),
+    "rare": (
+        f"SELECT *, n_inside / n AS mass, (n_inside = 0)::INT AS zero, n_inside / n / 0.01 AS mass_ratio, pow(0.99, n) AS p_zero FROM (SELECT count(*) AS n, count_if({_IN[13]}) AS n_inside FROM {_Q}), (SELECT avg(post) AS soft_mass FROM {_POST} WHERE side = 'O'), (SELECT avg(log_q) FILTER (id = 13 AND {sql.ok('log_q')}) AS log_q, avg({_D}) FILTER (id = 13) AS kl FROM {_P})",
+        ("n_inside", "mass", "zero", "mass_ratio", "p_zero", "soft_mass", "log_q", "kl"),
+    ),
+} | {
+    f"exceedance.{c}": (f"SELECT p, q, abs(p - q) AS abs_error FROM (SELECT avg(({c} > {t!r})::INT) AS p FROM {_P}), (SELECT avg(({c} > {t!r})::INT) AS q FROM {_Q})", ("p", "q", "abs_error")) for c, t in THRESHOLDS.items()
+} | {
+    f"tail.{c}.{level!r}": (f"SELECT p, q, abs(p - q) AS abs_error FROM (SELECT quantile_cont({c}, {level!r}) AS p FROM {_P}), (SELECT quantile_cont({c}, {level!r}) AS q FROM {_Q})", ("p", "q", "abs_error")) for c in P5 for level in (0.01, 0.99)
+}
+ORACLE_SQL["evaluate_bundle"] = " UNION ALL ".join(f"SELECT '{part}.{c}' AS metric, round(\"{c}\"::DOUBLE, 5) AS value FROM ({select})" for part, (select, names) in _SELECTS.items() for c in names)
