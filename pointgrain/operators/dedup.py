@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +59,7 @@ def dealt(homes: DataFrame, others: DataFrame, names: Sequence[str], atol: float
     done: list[DataFrame] = []
     while True:
         extents = [F.struct((F.max(F.when(F.col("home"), F.col(n))) - F.min(F.when(F.col("home"), F.col(n)))).alias("width"), F.lit(i).alias("no"), F.min(F.when(F.col("home"), F.col(n))).alias("low")) for i, n in enumerate(names)]
-        cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"), F.greatest(*extents).alias("widest")).where("homes > 0")
+        cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"), (F.greatest(*extents) if len(extents) > 1 else extents[0]).alias("widest")).where("homes > 0")
         cells = saved(cells.withColumn("cut", (F.col("n") > CELL) & (F.col("widest.width") > 4 * atol)))
         with_cell = rows.join(cells.select("cell", "cut", "widest"), "cell")
         if cells.where("cut").isEmpty():
@@ -119,45 +117,3 @@ def support_class(train: DataFrame, df: DataFrame, columns: Sequence[str], width
     joined = df.select("*", *cell).join(counts, names, "left")
     kind = F.when(out, "extrapolation").when(F.coalesce("n_train", F.lit(0)) < least, "sparse").otherwise("interpolation")
     return joined.withColumn("support", kind).drop(*names, "n_train")
-
-
-#: Query vectors that tasks hold at a time.
-QUERY_BLOCK = 20_000
-
-
-def nn_spread(df: DataFrame, vector: str, queries: DataFrame, key: str) -> DataFrame:
-    """(key, distance): Euclidean distance of each query row (columns key and vector) to its nearest row of df with
-    another key, over all rows and all coordinates.
-
-    Queries are taken in blocks of about QUERY_BLOCK rows, by a hash of their key. A block is broadcast, each task
-    keeps the least distance of each of its queries, and the minima meet in one aggregate. Rows without a vector are
-    neither queries nor neighbours; a query without any neighbour is left out."""
-    spark = df.sparkSession
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = []
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b).toArrow()  # about QUERY_BLOCK rows
-        keys = block.column("key").to_numpy()
-        held = spark.sparkContext.broadcast((keys, np.array(block.column("vector").to_pylist(), float).reshape(len(keys), -1)))
-
-        def nearest(batches, held=held):
-            names, points = held.value
-            least = np.full(len(names), np.inf)
-            for batch in batches:
-                others, vectors = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
-                for lo in range(0, len(names), 64):
-                    gap = points[lo : lo + 64, None, :] - vectors[None, :, :]
-                    squares = np.where(names[lo : lo + 64, None] == others, np.inf, np.einsum("qrd,qrd->qr", gap, gap))
-                    least[lo : lo + 64] = np.minimum(least[lo : lo + 64], squares.min(1, initial=np.inf))
-            some = np.isfinite(least)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(np.sqrt(least[some]))], ["key", "distance"])
-
-        found.append(rows.mapInArrow(nearest, "key long, distance double").groupBy("key").agg(F.min("distance").alias("distance")))
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("key", key)
-
-
-def nn_summary(spread: DataFrame) -> DataFrame:
-    """Share of queries with a duplicate, mean and least nearest distance, from nn_spread."""
-    return spread.agg(F.count("*").alias("n"), F.avg((F.col("distance") == 0).cast("double")).alias("duplicate_rate"), F.avg("distance").alias("mean_distance"), F.min("distance").alias("min_distance"))

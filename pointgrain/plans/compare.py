@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointgrain.functions import targets as T
 from pointgrain.functions.expressions import hash_uniform
-from pointgrain.operators import compare, dedup, density, evaluate
+from pointgrain.operators import compare, dedup, density, evaluate, neighbours
 from pointgrain.plans import sql
 from pointgrain.plans.contracts import faulty, rounded
 from pointgrain.plans.density import _IN, _terms
@@ -157,12 +157,14 @@ def support_class(spark, sf_dir):
 def nn_spread(spark, sf_dir):
     """Nearest other embedding of each embedding whose id is divisible by 20, over all embeddings and coordinates."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return _round(dedup.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id"))
+    return _round(neighbours.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id").select("vec_id", "distance"))
 
 
 def nn_summary(spark, sf_dir):
+    """The summary of such distances between normalized embeddings."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return _round(dedup.nn_summary(dedup.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id")), 4)
+    found = neighbours.nn_spread(e, "embedding", e.where("vec_id % 20 = 0"), "vec_id", normalized=True)
+    return _round(neighbours.nn_summary(found).drop("visited"), 4)
 
 
 def evaluate_bundle(spark, sf_dir):
@@ -190,6 +192,9 @@ _ESS = f"""WITH l AS {_LW}, f AS (SELECT lw FROM l WHERE {sql.ok('lw')}), m AS (
 a AS (SELECT sum(exp(lw - top)) AS s, sum(exp(2 * (lw - top))) AS s2, count(*) AS n, any_value(top) AS top, any_value(low) AS low FROM f, m)"""
 _H = f"(SELECT least(floor((px + 25) / 2.5), 19)::INT AS bin, count_if(side = 'F') AS n_p, count_if(side = 'O') AS n_q FROM {STATE_SQL} WHERE px BETWEEN -25 AND 25 GROUP BY 1)"
 _U5 = sql.uniform("event_id", 5)
+_UNIT = """(WITH c AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM c GROUP BY i),
+l AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM m) SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: (x - l.m[i]) / l.s[i]) AS v FROM embeddings, l)"""
+_NEAREST_UNIT = f"(WITH u AS MATERIALIZED {_UNIT} SELECT q.vec_id, min(list_distance(q.v, e.v)) AS distance FROM u q JOIN u e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)"
 _NEAREST = "(SELECT q.vec_id, min(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)"
 
 QUERIES = {f.__name__: f for f in (held_out_nll, forward_kl, importance_ess, weight_ess, tail_quantile_error, exceedance_error, nonfinite_rate, support_violation, rare_region, region_calibration, histogram_pull, labelled_union, stratum_nll, binomial_rates, binomial_counts, c2st, mixture_fit, bootstrap_metric, exact_duplicates, near_duplicates, out_of_support, support_class, nn_spread, nn_summary, evaluate_bundle, evaluate_classifier)}
@@ -220,7 +225,7 @@ SELECT (SELECT count(*) FROM e) AS n_rows, (SELECT count(DISTINCT a.event_id) FR
     "support_class": f"""WITH t AS (SELECT value FROM events WHERE {_U5} < 0.1), r AS (SELECT min(value) AS lo, max(value) AS hi FROM t), c AS (SELECT floor(value / 5)::BIGINT AS k, count(*) AS n FROM t GROUP BY 1)
 SELECT CASE WHEN value < lo OR value > hi THEN 'extrapolation' WHEN coalesce(c.n, 0) < 20 THEN 'sparse' ELSE 'interpolation' END AS support, count(*) AS n FROM events CROSS JOIN r LEFT JOIN c ON c.k = floor(value / 5)::BIGINT WHERE {_U5} >= 0.1 GROUP BY 1""",
     "nn_spread": f"SELECT vec_id, round(distance, 5) AS distance FROM {_NEAREST}",
-    "nn_summary": f"SELECT count(*) AS n, round(avg((distance = 0)::INT), 4) AS duplicate_rate, round(avg(distance), 4) AS mean_distance, round(min(distance), 4) AS min_distance FROM {_NEAREST}",
+    "nn_summary": f"SELECT count(*) AS n, round(avg((distance = 0)::INT), 4) AS duplicate_rate, round(avg(distance), 4) AS mean_distance, round(min(distance), 4) AS min_distance FROM {_NEAREST_UNIT}",
 }
 _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 ORACLE_SQL["bootstrap_metric"] = f"WITH u AS (SELECT value, range::INT AS b, {sql.uniform('event_id', 1, 'range')} AS u FROM events, range(20)), c AS (SELECT b, value, {' + '.join(f'(u >= {c!r})::INT' for c in _CUTS)} AS c FROM u) SELECT b, round(sum(value * c) / sum(c), 5) AS mean FROM c GROUP BY b"
