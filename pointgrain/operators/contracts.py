@@ -34,9 +34,10 @@ def violations(zero_weight: bool = False, bounds: Mapping[str, float] = BOUNDS)
     }
 
 
-def contract_checks(df: DataFrame, **options) -> DataFrame:
-    """One row for each check in fixed order: check, passed, n (violations; rows for shape)."""
-    if list(df.columns[: len(STATE_COLUMNS)]) != list(STATE_COLUMNS) and set(STATE_COLUMNS) - set(df.columns):
+def contract_checks(df: DataFrame, allowed: Sequence[str] = (), **options) -> DataFrame:
+    """One row for each check in fixed order: check, passed, n (violations; rows for shape). A column set other than the
+    state's, but for allowed ones beside it, fails the shape at once."""
+    if sorted(c for c in df.columns if c not in allowed) != sorted(STATE_COLUMNS):
         raise ContractError("shape", len(df.columns))
     counts = violations(**options)
     one = df.agg(F.count("*").alias("shape"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counts.items()))

@@ -49,6 +49,18 @@ def posterior(log_probs: Column) -> Column:
     return F.transform(log_probs, lambda v: F.exp(v - lse))
 
 
+def mean_posterior(df: DataFrame, log_probs: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Mean posterior of each component, by group if columns are named: (component_id, mass)."""
+    spread = df.select(*by, F.posexplode(posterior(log_probs)).alias("component_id", "p"))
+    return spread.groupBy(*by, "component_id").agg(F.avg("p").alias("mass"))
+
+
+def component_counts(df: DataFrame, log_probs: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Rows by most probable component, the first on ties."""
+    best = F.array_position(log_probs, F.array_max(log_probs)) - 1
+    return df.select(*by, best.cast("int").alias("component_id")).groupBy(*by, "component_id").agg(F.count("*").alias("n"))
+
+
 def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, floor: float = 1e-6) -> DataFrame:
     """Weighted mean and variance, the variance around the mean of a first pass and not below floor; one row a column."""
     means = df.agg(*(F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(c) for c in columns)).first()

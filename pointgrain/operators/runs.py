@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +119,47 @@ def run_summary(runs: DataFrame, group: Sequence[str], metrics: Sequence[str]) -
     return runs.where("technical = 'completed'").groupBy(*group).agg(*aggs)
 
 
+def run_counts(runs: DataFrame) -> DataFrame:
+    """One row: all runs, completed and failed ones, and those of each verdict; a null verdict counts for none."""
+    status = lambda v: F.count_if(F.col("technical") == v)
+    return runs.agg(F.count("*").alias("n"), status("completed").alias("n_completed"), status("failed").alias("n_failed"), *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS))
+
+
+LISTS = ("catastrophic", "inconclusive", "zero_rare")
+
+
+def listed(runs: DataFrame, key: str = "run_id") -> DataFrame:
+    """Rows (kind, key) of the runs that the gate summary lists; a run may be in several lists."""
+    zero = F.col("target").startswith("D5") & (F.col("rare_count") == 0)
+    kinds = F.array(F.when(F.col("verdict") == "catastrophic", "catastrophic"), F.when(F.col("verdict") == "inconclusive", "inconclusive"), F.when(zero, "zero_rare"))
+    return runs.select(F.explode(F.array_compact(kinds)).alias("kind"), F.col(key).alias("key"))
+
+
+def gate_summary(runs: DataFrame, key: str = "run_id", most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(summary, overflow) of judged runs (columns technical, verdict, scope, target, rare_count).
+
+    summary is one row: n_runs, decision_scope (the sorted distinct scopes), counts by technical status ('unknown' for
+    null) and by verdict as maps, and for each of LISTS the number of its runs and the first of them by key, at most `most`.
+    Row numbers up to a limit are cut in each task before anything is shuffled, so a list never grows beyond its bound.
+    overflow has the (kind, key) of all listed runs that the lists leave out, so no failed run gets out of sight."""
+    counts = lambda c: runs.groupBy(c.alias("name")).agg(F.count("*").alias("n")).where("name IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("m"))  # noqa: E731  a few names
+    rows = listed(runs, key)
+    numbers = rows.groupBy("kind").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("kind").orderBy("key")
+    first = rows.withColumn("no", F.row_number().over(order)).where(F.col("no") <= most)
+    lists = first.groupBy("kind").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.max("key").alias("last"))  # at most `most` a list
+    per_kind = {r["kind"]: r for r in numbers.join(lists, "kind").collect()}  # three rows
+    kind = dict(rows.dtypes)["key"]
+    scopes = runs.agg(F.count("*").alias("n_runs"), F.sort_array(F.collect_set("scope")).alias("decision_scope"))
+    one = scopes.crossJoin(counts(F.coalesce("technical", F.lit("unknown"))).withColumnRenamed("m", "technical_counts")).crossJoin(counts(F.col("verdict")).withColumnRenamed("m", "verdict_counts"))  # one row each
+    for name in LISTS:
+        found = per_kind.get(name)
+        keys = F.lit(found["keys"]).cast(f"array<{kind}>") if found else F.array().cast(f"array<{kind}>")
+        one = one.withColumns({f"n_{name}": F.lit(found["n"] if found else 0).cast("long"), f"{name}_runs": keys})
+    beyond = reduce(lambda a, b: a | b, [(F.col("kind") == n) & (F.col("key") > F.lit(r["last"])) for n, r in per_kind.items() if r["n"] > most], F.lit(False))
+    return one, rows.where(beyond).select("kind", F.col("key").alias(key))
+
+
 def series_stats(runs: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
     ok = F.when(finite(metric), F.col(metric))
     return runs.where("technical = 'completed'").groupBy(*group).agg(F.avg(ok).alias("mean"), F.coalesce(F.stddev_pop(ok), F.lit(0.0)).alias("std"), F.count(ok).alias("n"))
@@ -204,3 +245,32 @@ def grid(df: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 def grid_gaps(expected: DataFrame, observed: DataFrame, axes: Sequence[str]) -> DataFrame:
     return expected.join(observed.select(*axes).distinct(), list(axes), "left_anti")
+
+
+def grid_invalid(expected: DataFrame, valid: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Cells of a grid whose combination of these axes is not among the valid ones."""
+    return expected.join(valid.select(*axes).distinct(), list(axes), "left_anti")
+
+
+def select_runs(runs: DataFrame, **wanted: Iterable | None) -> DataFrame:
+    """Runs whose columns lie in the given sets; None takes all."""
+    for column, values in wanted.items():
+        runs = runs if values is None else runs.where(F.col(column).isin(*values))
+    return runs
+
+
+def promotion(runs: DataFrame, by: Sequence[str], arm: str, baseline: str, seed: str, value: str, least: int, benefit: float) -> DataFrame:
+    """For each candidate arm of a group the seeds that it passes for (a value is there) and the gain of its mean over the
+    baseline arm's; promoted are those with enough seeds and at least the benefit."""
+    arms = runs.groupBy(*by, arm).agg(F.count_distinct(F.when(F.col(value).isNotNull(), F.col(seed))).alias("n_pass"), F.avg(value).alias("_mean"))
+    base = arms.where(F.col(arm) == baseline).select(*by, F.col("_mean").alias("_base"))
+    both = arms.where(F.col(arm) != baseline).join(base, list(by))
+    gain = F.col("_mean") - F.col("_base")
+    return both.select(*by, arm, "n_pass", gain.alias("gain"), ((F.col("n_pass") >= least) & (gain >= benefit)).alias("promoted"))
+
+
+def min_sufficient(runs: DataFrame, by: Sequence[str], cost: str, model: str, seed: str, ok: Column, least: int) -> DataFrame:
+    """For each group the cheapest model that is sufficient (ok) for enough seeds; ties go to the first name."""
+    arms = runs.groupBy(*by, model, cost).agg(F.count_distinct(F.when(ok, F.col(seed))).alias("_n"))
+    best = arms.where(F.col("_n") >= least).groupBy(*by).agg(F.min(F.struct(cost, model)).alias("_best"))
+    return best.select(*by, f"_best.{cost}", f"_best.{model}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pointgrain.functions import expressions as X
 from pointgrain.functions import targets as T
+from pointgrain.operators.selection import exact_quantiles
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -191,3 +192,46 @@ def normal_scores(rank: Column) -> Column:
 def snap(value: Column, levels: Sequence[float]) -> Column:
     """The closest of the levels, the first on ties."""
     return F.array_min(F.array(*(F.struct(F.abs(value - F.lit(v)).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(levels))))["v"]
+
+
+# Selection.
+
+
+def take(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in a list of keys."""
+    return df.join(keys.select(key), key, "left_semi")
+
+
+def leave(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in a list of keys."""
+    return df.join(keys.select(key), key, "left_anti")
+
+
+def tail_mask(train: DataFrame, df: DataFrame, column: str, level: float, out: str = "tail") -> DataFrame:
+    """df with whether a row lies above the train rows' exact quantile of this level; null without train rows."""
+    cut = exact_quantiles(train, [column], [level])[0][3]
+    return df.withColumn(out, F.col(column) > F.lit(cut).cast("double"))
+
+
+def weight_shares(df: DataFrame, weight: str, by: str, out: str = "share") -> DataFrame:
+    """df with each row's share of its group's weight; sums come from partial aggregates, not from a window over a group."""
+    sums = df.groupBy(F.col(by).alias("_of")).agg(F.sum(weight).alias("_total"))
+    return df.join(sums, F.col(by).eqNullSafe(F.col("_of"))).withColumn(out, F.try_divide(F.col(weight), F.col("_total"))).drop("_of", "_total")
+
+
+def acquire_random(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows by the hash of their key."""
+    return head_n(df, key, n, seed)
+
+
+def acquire_top(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
+    """The n rows of highest score, ties by key."""
+    return df.orderBy(F.desc(score), key).limit(n)
+
+
+def acquire_diverse(df: DataFrame, score: str, key: str, cell: str, n: int, per_cell: int) -> DataFrame:
+    """The n rows of highest score with at most per_cell rows of a cell. A row number up to a limit is cut in each task
+    before the shuffle, so a crowded cell stays small."""
+    order = (F.desc(score), key)
+    best = df.withColumn("_r", F.row_number().over(Window.partitionBy(cell).orderBy(*order))).where(F.col("_r") <= per_cell)
+    return best.orderBy(*order).limit(n).drop("_r")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pointgrain.functions.expressions import hash_uniform
 from pointgrain.operators import contracts, profile
 from pointgrain.plans import sql
-from pointgrain.sources.tables import CONTRACT_VERSION, FEATURES, STATE_COLUMNS, STATE_SQL, state_view, table
+from pointgrain.sources import rejects
+from pointgrain.sources.tables import CONTRACT_VERSION, FEATURES, STATE_COLUMNS, STATE_SCHEMA, STATE_SQL, state_view, table
 
 
 def faulty(spark, sf_dir):
@@ -22,6 +23,32 @@ def state_scan(spark, sf_dir):
     return rounded(state_view(spark, sf_dir).select(*STATE_COLUMNS), *STATE_COLUMNS)
 
 
+#: State rows as JSON lines, and the faults planted in them by order key.
+_PX = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
+_REST = """',"py":0.5,"pz":', CAST(l_linenumber AS STRING), ',"x":1.0,"y":2e0,"z":28.9,"id":13,"w":7.5'"""
+_FAULTS = {
+    53: (rejects.BROKEN, f"""concat('{{"px":', {_PX}, {_REST})"""), 47: (rejects.EXTRA, f"""concat('{{"px":', {_PX}, {_REST}, ',"more":1}}')"""), 43: (rejects.WRONG, f"""concat('{{"px":"abc"', {_REST}, '}}')"""),
+    41: (rejects.MISSING, f"""concat('{{"py":0.5,"pz":', {_PX}, ',"x":1.0,"y":2e0,"z":28.9,"id":13,"w":7.5}}')"""), 37: (rejects.ABSENT, f"""concat('{{"px":null', {_REST}, '}}')"""),
+}
+_LINE = "CASE " + " ".join(f"WHEN l_orderkey % {k} = 0 THEN {line}" for k, (_, line) in _FAULTS.items()) + f""" ELSE concat('{{"px":', {_PX}, {_REST}, '}}') END"""
+
+
+def rejected_lines(spark, sf_dir):
+    """Lines by what became of them, and the sum of px over the good rows."""
+    good, bad = rejects.parsed_lines(table(spark, sf_dir, "lineitem").selectExpr(f"{_LINE} AS value"), STATE_SCHEMA)
+    both = good.select(F.lit("good").alias("reason"), "px").unionByName(bad.select("reason", F.lit(None).cast("double").alias("px")))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("px").alias("sum_px"))
+
+
+def rejected_arrays(spark, sf_dir):
+    """Array rows of the right and of other lengths."""
+    cells = F.array(*(F.col("l_quantity") for _ in range(7)))
+    v = F.when(F.col("l_orderkey") % 31 == 0, F.lit(None)).when(F.col("l_orderkey") % 29 == 0, cells).otherwise(F.concat(cells, F.array(F.when(F.col("l_orderkey") % 23 != 0, F.col("l_tax")))))
+    good, bad = rejects.array_rows(table(spark, sf_dir, "lineitem").select(v.alias("v")))
+    both = good.select(F.lit("good").alias("reason"), "w").unionByName(bad.select("reason", F.lit(None).cast("double").alias("w")))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.round(F.sum("w"), 3).alias("sum_w"))
+
+
 def embed_raw(spark, sf_dir):
     return rounded(contracts.embed_state(state_view(spark, sf_dir), 28.905, 13), "px", "py", "pz", "x", "y")
 
@@ -102,8 +129,10 @@ _BAD = {
 _STD = "CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END"
 _CELLS = ", ".join(f"CAST(round({c} * 1e6) AS BIGINT)::VARCHAR" for c in STATE_COLUMNS)
 
-QUERIES = {f.__name__: f for f in (state_scan, embed_raw, contract_checks, quarantine, weight_check, unexpected_ids, domain_check, column_stats, column_quantiles, id_histogram, content_fingerprint, normalize_fit, normalize_apply, split_leakage)}
+QUERIES = {f.__name__: f for f in (rejected_lines, rejected_arrays, state_scan, embed_raw, contract_checks, quarantine, weight_check, unexpected_ids, domain_check, column_stats, column_quantiles, id_histogram, content_fingerprint, normalize_fit, normalize_apply, split_leakage)}
 ORACLE_SQL = {
+    "rejected_lines": "SELECT reason, count(*) AS n, sum(CASE WHEN reason = 'good' THEN px END) AS sum_px FROM (SELECT floor(l_quantity)::DOUBLE AS px, CASE " + " ".join(f"WHEN l_orderkey % {k} = 0 THEN '{why}'" for k, (why, _) in _FAULTS.items()) + " ELSE 'good' END AS reason FROM lineitem) GROUP BY reason",
+    "rejected_arrays": f"SELECT reason, count(*) AS n, round(sum(CASE WHEN reason = 'good' THEN l_tax END), 3) AS sum_w FROM (SELECT l_tax, CASE WHEN l_orderkey % 31 = 0 THEN '{rejects.ABSENT}' WHEN l_orderkey % 29 = 0 THEN '{rejects.LENGTH}' WHEN l_orderkey % 23 = 0 THEN '{rejects.ABSENT}' ELSE 'good' END AS reason FROM lineitem) GROUP BY reason",
     "state_scan": f"SELECT {', '.join(f'round({c}, 6) AS {c}' for c in STATE_COLUMNS)} FROM {STATE_SQL}",
     "embed_raw": f"SELECT {', '.join(f'round({c}, 6) AS {c}' for c in sql.COLUMNS)}, 28.905e0 AS z, 13e0 AS id, 1e0 AS w FROM {STATE_SQL}",
     "contract_checks": f"""WITH v AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _BAD.items())} FROM {sql.FAULTY_SQL}),

@@ -49,8 +49,8 @@ def component_posterior(spark, sf_dir):
 
 def posterior_mass(spark, sf_dir):
     """Mean posterior of each component by id."""
-    post = state_view(spark, sf_dir).select("id", F.posexplode(density.posterior(T.by_id("id", lambda i: density.component_log_probs(D2, i)))).alias("component_id", "p"))
-    return post.groupBy("id", "component_id").agg(F.round(F.avg("p"), 6).alias("mass"))
+    terms = T.by_id("id", lambda i: density.component_log_probs(D2, i))
+    return rounded(density.mean_posterior(state_view(spark, sf_dir), terms, ["id"]), "mass")
 
 
 def _region(t, i):
@@ -80,9 +80,7 @@ def weighted_cov(spark, sf_dir):
 
 def component_counts(spark, sf_dir):
     """Rows by most probable D2 component."""
-    terms = T.by_id("id", lambda i: density.component_log_probs(D2, i))
-    best = state_view(spark, sf_dir).select("id", F.when(terms[0] >= terms[1], 0).otherwise(1).alias("component_id"))
-    return best.groupBy("id", "component_id").agg(F.count("*").alias("n"))
+    return density.component_counts(state_view(spark, sf_dir), T.by_id("id", lambda i: density.component_log_probs(D2, i)), ["id"])
 
 
 def mixture_reloaded(spark, sf_dir):

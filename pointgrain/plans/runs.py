@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from pointgrain.functions.canonical import json_text
 from pointgrain.functions.expressions import finite
 from pointgrain.operators import runs as R
 from pointgrain.plans import sql
@@ -79,6 +80,28 @@ def gate_summary(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("technical", "verdict").agg(F.count("*").alias("n"), F.count_if((F.col("rare_count") == 0) & F.col("rare_present")).alias("n_zero_rare"))
 
 
+def gate_lists(spark, sf_dir, most: int = 20):
+    """The gate summary as rows (what, value): counts, scopes, and lists of run ids, with the number that overflows."""
+    scoped = judged(spark, sf_dir).withColumn("scope", F.when(F.col("run_id") % 3 == 0, "pilot").when(F.col("run_id") % 3 == 1, "full"))
+    one, rest = R.gate_summary(scoped, most=most)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    cells = {"n_runs": F.col("n_runs").cast("string"), "decision_scope": text("decision_scope")}
+    counts = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat_ws(":", k, F.element_at(m, k).cast("string"))), ",")
+    cells |= {c: counts(F.col(c)) for c in ("technical_counts", "verdict_counts")}
+    for n in R.LISTS:
+        cells |= {f"n_{n}": F.col(f"n_{n}").cast("string"), f"{n}_runs": text(f"{n}_runs")}
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("what"), c.alias("value")) for n, c in cells.items()))).alias("r")).select("r.*")
+    return rows.unionByName(rest.groupBy(F.concat(F.lit("overflow_"), "kind").alias("what")).agg(F.count("*").cast("string").alias("value")))
+
+
+def run_key_nested(spark, sf_dir):
+    """Run keys from nested configurations in canonical form."""
+    f = F.struct(F.array("seed", "params").alias("sizes"), F.col("view").alias("id"), (F.col("seed") / 4).alias("rate"))
+    config = F.struct(F.col("seed"), F.create_map(F.col("model"), F.lit(True), F.lit("a b"), F.lit(None)).alias("options"), f.alias("feature_view"), F.col("variant"))
+    df = runs(spark, sf_dir).select("run_id", "target", config.alias("config"))
+    return df.select("run_id", R.run_key([F.col("target")], json_text(F.col("config"), df.schema["config"].dataType)).alias("run_key"))
+
+
 def run_assembly(spark, sf_dir):
     df = runs(spark, sf_dir)
     status, config = df.select("run_id", "technical"), df.where("run_id % 19 <> 0").select("run_id", "target", "model", "seed")
@@ -95,7 +118,7 @@ def run_summary(spark, sf_dir):
 
 
 def run_counts(spark, sf_dir):
-    return judged(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("technical") == "completed").alias("n_completed"), F.count_if(F.col("technical") == "failed").alias("n_failed"), *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in R.VERDICTS))
+    return R.run_counts(judged(spark, sf_dir))
 
 
 def series_stats(spark, sf_dir):
@@ -171,16 +194,13 @@ def grid_invalid(spark, sf_dir):
     """Grid cells that ask for a stratified draw of a target without a rare component."""
     df = runs(spark, sf_dir)
     cells = R.grid(df, ["target", "model"]).withColumn("sampling", F.explode(F.array(F.lit("nominal"), F.lit("stratified"))))
-    valid = df.where("rare_present").select("target").distinct().withColumn("sampling", F.lit("stratified")).unionByName(df.select("target").distinct().withColumn("sampling", F.lit("nominal")))
-    return cells.join(valid, ["target", "sampling"], "left_anti")
+    valid = df.where("rare_present").select("target", F.lit("stratified").alias("sampling")).unionByName(df.select("target", F.lit("nominal").alias("sampling")))
+    return R.grid_invalid(cells, valid, ["target", "sampling"])
 
 
 def run_select(spark, sf_dir, targets=("D4", "D5"), models=None, seeds=(0, 1)):
     """Runs by sets of targets, models and seeds; None takes all."""
-    df = runs(spark, sf_dir)
-    for column, wanted in (("target", targets), ("model", models), ("seed", seeds)):
-        df = df if wanted is None else df.where(F.col(column).isin(*wanted))
-    return df.select("run_id", "target", "model", "seed")
+    return R.select_runs(runs(spark, sf_dir), target=targets, model=models, seed=seeds).select("run_id", "target", "model", "seed")
 
 
 def _passing(spark, sf_dir):
@@ -190,16 +210,12 @@ def _passing(spark, sf_dir):
 
 def promotion(spark, sf_dir, least: int = 4, benefit: float = 0.01):
     """Candidate views that pass for enough seeds and beat the identity view's mean by the benefit."""
-    arms = _passing(spark, sf_dir).groupBy("target", "model", "view").agg(F.count_distinct(F.when(F.col("ess").isNotNull(), F.col("seed"))).alias("n_pass"), F.avg("ess").alias("ess"))
-    base = arms.where("view = 'identity'").select("target", "model", F.col("ess").alias("baseline"))
-    both = arms.where("view <> 'identity'").join(base, ["target", "model"])
-    return both.select("target", "model", "view", "n_pass", F.round(F.col("ess") - F.col("baseline"), 6).alias("gain"), ((F.col("n_pass") >= least) & (F.col("ess") - F.col("baseline") >= benefit)).alias("promoted"))
+    return rounded(R.promotion(_passing(spark, sf_dir), ["target", "model"], "view", "identity", "seed", "ess", least, benefit), "gain")
 
 
 def min_sufficient(spark, sf_dir, least: int = 4):
     """Cheapest model size that passes for enough seeds, for each target and view."""
-    arms = _passing(spark, sf_dir).groupBy("target", "view", "model", "params").agg(F.count_distinct(F.when(F.col("ess") > 0.5, F.col("seed"))).alias("n_pass"))
-    return arms.where(F.col("n_pass") >= least).groupBy("target", "view").agg(F.min(F.struct("params", "model")).alias("m")).select("target", "view", "m.params", "m.model")
+    return R.min_sufficient(_passing(spark, sf_dir), ["target", "view"], "params", "model", "seed", F.col("ess") > 0.5, least)
 
 
 _SEV = "CASE {g} WHEN 'catastrophic' THEN 3 WHEN 'fail' THEN 2 WHEN 'inconclusive' THEN 1 ELSE 0 END"
@@ -231,7 +247,7 @@ _LONG = {"m.forward.kl": "kl", "m.forward.kl_bad": "kl_bad", "m.ess": "ess", "m.
 
 QUERIES = {"gate_finiteness": _one("finiteness"), "gate_ess": _one("ess_floor"), "gate_rare": _one("zero_rare")} | {
     f.__name__: f
-    for f in (gate_reported, gate_rollup, gate_threshold, gate_summary, run_assembly, run_summary, run_counts, series_stats, capacity_curve, metrics_unpivot, params_unpivot, run_key, series_label, best_epoch, resume_pending, resume_verdict, matched_arms, grid_gaps, grid_invalid, run_select, promotion, min_sufficient)
+    for f in (gate_reported, gate_rollup, gate_threshold, gate_summary, run_assembly, run_summary, run_counts, series_stats, capacity_curve, metrics_unpivot, params_unpivot, run_key, series_label, best_epoch, resume_pending, resume_verdict, matched_arms, grid_gaps, grid_invalid, run_select, promotion, min_sufficient, gate_lists, run_key_nested)
 }
 ORACLE_SQL = {
     "gate_finiteness": f"SELECT run_id, finiteness AS outcome FROM {_GATED}",
@@ -262,4 +278,12 @@ SELECT user_id, max(CASE WHEN better THEN event_id END)::BIGINT AS best_epoch, m
     "run_select": f"SELECT run_id, target, model, seed FROM {RUN_SQL} WHERE target IN ('D4', 'D5') AND seed IN (0, 1)",
     "promotion": f"WITH a AS (SELECT target, model, view, count(DISTINCT seed) FILTER (ess IS NOT NULL) AS n_pass, avg(ess) AS ess FROM {_PASS} GROUP BY ALL) SELECT c.target, c.model, c.view, c.n_pass, round(c.ess - b.ess, 6) AS gain, c.n_pass >= 4 AND c.ess - b.ess >= 0.01 AS promoted FROM a c JOIN a b ON b.view = 'identity' AND c.view <> 'identity' AND b.target = c.target AND b.model = c.model",
     "min_sufficient": f"WITH a AS (SELECT target, view, model, params, count(DISTINCT seed) FILTER (ess > 0.5) AS n FROM {_PASS} GROUP BY ALL) SELECT target, view, min(params) AS params, arg_min(model, (params, model)) AS model FROM a WHERE n >= 4 GROUP BY ALL",
+    "gate_lists": f"""WITH j AS (SELECT *, CASE run_id % 3 WHEN 0 THEN 'pilot' WHEN 1 THEN 'full' END AS scope FROM {_JUDGED}),
+k AS (SELECT 'catastrophic' AS kind, run_id FROM j WHERE verdict = 'catastrophic' UNION ALL SELECT 'inconclusive', run_id FROM j WHERE verdict = 'inconclusive' UNION ALL SELECT 'zero_rare', run_id FROM j WHERE target = 'D5' AND rare_count = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY run_id) AS no FROM k), l AS (SELECT unnest(['catastrophic', 'inconclusive', 'zero_rare']) AS kind)
+SELECT 'n_runs' AS what, count(*)::VARCHAR AS value FROM j UNION ALL SELECT 'decision_scope', string_agg(DISTINCT scope, ',' ORDER BY scope) FROM j
+UNION ALL SELECT 'technical_counts', string_agg(technical || ':' || n, ',' ORDER BY technical) FROM (SELECT technical, count(*) AS n FROM j GROUP BY 1) UNION ALL SELECT 'verdict_counts', string_agg(verdict || ':' || n, ',' ORDER BY verdict) FROM (SELECT verdict, count(*) AS n FROM j WHERE verdict IS NOT NULL GROUP BY 1)
+UNION ALL SELECT 'n_' || kind, count(run_id)::VARCHAR FROM l LEFT JOIN k USING (kind) GROUP BY kind UNION ALL SELECT kind || '_runs', coalesce(string_agg(run_id, ',' ORDER BY run_id), '') FROM l LEFT JOIN (FROM o WHERE no <= 20) USING (kind) GROUP BY kind
+UNION ALL SELECT 'overflow_' || kind, count(*)::VARCHAR FROM o WHERE no > 20 GROUP BY kind""",
+    "run_key_nested": f"""SELECT run_id, target || '__' || substr(sha256('{{"feature_view":{{"id":"' || view || '","rate":' || (seed / 4)::VARCHAR || ',"sizes":[' || seed || ',' || params || ']}},"options":{{"a b":null,"' || model || '":true}},"seed":' || seed || ',"variant":' || coalesce('"' || variant || '"', 'null') || '}}'), 1, 12) AS run_key FROM {RUN_SQL}""",
 }

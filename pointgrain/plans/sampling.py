@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointgrain.functions import targets as T
@@ -37,8 +36,8 @@ def group_split(spark, sf_dir):
 def split_take(spark, sf_dir):
     """Rows of the train split taken by its key list."""
     events = _events(spark, sf_dir)
-    keys = sampling.hash_split(events, "event_id", 0.2, 11).where("part = 'train'").select("event_id")
-    return events.join(keys, "event_id", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    keys = sampling.hash_split(events, "event_id", 0.2, 11).where("part = 'train'")
+    return sampling.take(events, keys, "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 def range_anchors(spark, sf_dir):
@@ -47,7 +46,7 @@ def range_anchors(spark, sf_dir):
 
 def anchor_pool(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return events.join(F.broadcast(sampling.range_anchors(events, ["value"], "event_id")), "event_id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+    return sampling.leave(events, sampling.range_anchors(events, ["value"], "event_id"), "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def representative_subset(spark, sf_dir):
@@ -61,8 +60,7 @@ def head_n(spark, sf_dir):
 def tail_mask(spark, sf_dir):
     """Test events above the 0.95 quantile of the train events."""
     parts = sampling.hash_split(_events(spark, sf_dir), "event_id", 0.2, 11)
-    cut = parts.where("part = 'train'").agg(F.percentile("value", F.lit(0.95)).alias("cut"))
-    return parts.where("part = 'validation'").crossJoin(F.broadcast(cut)).select("event_id", (F.col("value") > F.col("cut")).alias("tail"))  # cut is one row
+    return sampling.tail_mask(parts.where("part = 'train'"), parts.where("part = 'validation'"), "value", 0.95).select("event_id", "tail")
 
 
 def weighted_resample(spark, sf_dir):
@@ -70,10 +68,9 @@ def weighted_resample(spark, sf_dir):
 
 
 def weight_normalize(spark, sf_dir):
-    """Weights that sum to 1 within each id; the sums come from an aggregate, not from a window over all rows of an id."""
-    state = state_view(spark, sf_dir).select("id", "px", "w")
-    sums = state.groupBy("id").agg(F.sum("w").alias("total"))
-    return state.join(F.broadcast(sums), "id").select("id", F.round("px", 6).alias("px"), F.round(F.col("w") / F.col("total") * 1e6, 6).alias("share"))  # two ids
+    """Weights that sum to 1 within each id."""
+    shares = sampling.weight_shares(state_view(spark, sf_dir).select("id", "px", "w"), "w", "id")
+    return shares.select("id", F.round("px", 6).alias("px"), F.round(F.col("share") * 1e6, 6).alias("share"))
 
 
 def rank_transform(spark, sf_dir):
@@ -131,21 +128,16 @@ def _scores(spark, sf_dir):
 
 
 def acq_random(spark, sf_dir):
-    return sampling.head_n(_events(spark, sf_dir), "event_id", 50, 21).select("event_id")
+    return sampling.acquire_random(_events(spark, sf_dir), "event_id", 50, 21).select("event_id")
 
 
 def acq_topk(spark, sf_dir):
-    return _scores(spark, sf_dir).orderBy(F.desc("score"), "event_id").limit(50).select("event_id", F.round("score", 9).alias("score"))
+    return sampling.acquire_top(_scores(spark, sf_dir), "score", "event_id", 50).select("event_id", F.round("score", 9).alias("score"))
 
 
 def acq_diverse(spark, sf_dir):
-    """Top 50 with at most 5 of a cell. Tasks keep their own best of each cell first, so a crowded cell stays small."""
-    rows = _scores(spark, sf_dir)
-    order = (F.desc("score"), "event_id")
-    salted = Window.partitionBy("cell", F.pmod(F.xxhash64("event_id"), F.lit(64))).orderBy(*order)
-    few = rows.withColumn("r", F.row_number().over(salted)).where("r <= 5")
-    best = few.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where("r <= 5")
-    return best.orderBy(*order).limit(50).select("event_id", "cell")
+    """Top 50 with at most 5 of a cell."""
+    return sampling.acquire_diverse(_scores(spark, sf_dir), "score", "event_id", "cell", 50, 5).select("event_id", "cell")
 
 
 _P = f"CASE WHEN {sql.uniform('event_id', 11)} < 0.2 THEN 'validation' ELSE 'train' END"

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from pointgrain.functions import expressions as X
 from pointgrain.functions import targets
-from pointgrain.operators import profile
+from pointgrain.operators import coverage, profile, views
+from pointgrain.operators.views import MUON_MASS
 from pointgrain.plans import sql
 from pointgrain.plans.contracts import TRAIN_SQL, faulty, rounded, train_state
-from pointgrain.sources.tables import STATE_SQL, state_view
+from pointgrain.sources.tables import STATE_SQL, state_view, table
 
 P5 = sql.COLUMNS
 D4 = targets.target("D4")
-MUON_MASS = 0.1134289259
 
 
 def _round(df):
@@ -69,14 +69,13 @@ def physical_log_prob(spark, sf_dir):
     """Density in physical coordinates from one in the logpz view, which has unit variance around (0, 0, 4, 0, 0)."""
     f = X.view_forward("logpz")
     lp = X.diag_gauss_logpdf(list(f.values()), [0.0, 0.0, 4.0, 0.0, 0.0], [100.0, 9.0, 1.0, 4.0, 4.0])
-    return _round(state_view(spark, sf_dir).select((lp + X.view_log_jacobian("logpz", F.col("pz"))).alias("log_prob")))
+    return _round(state_view(spark, sf_dir).select(views.physical_log_prob(lp, "logpz").alias("log_prob")))
 
 
 def pipeline_log_prob(spark, sf_dir):
-    fitted = profile.parameters(_pipeline(spark, sf_dir, "slope"))
-    lp = _feature_logpdf(profile.standardized(X.view_forward("slope"), fitted))
-    scale = -sum(math.log(s) for _, s in fitted.values())
-    return _round(state_view(spark, sf_dir).select((lp + scale + X.view_log_jacobian("slope", F.col("pz"))).alias("log_prob")))
+    pipe = views.FeaturePipeline("slope").fit(train_state(spark, sf_dir))
+    scored = pipe.transform(state_view(spark, sf_dir)).withColumn("lp", _feature_logpdf({n: F.col(f"z_{n}") for n in X.VIEWS["slope"]}))
+    return _round(scored.select(pipe.physical_log_prob(F.col("lp")).alias("log_prob")))
 
 
 def _transform(make):
@@ -119,28 +118,38 @@ def domain_coverage(spark, sf_dir):
 
 
 def common_valid(spark, sf_dir):
-    fin = F.lit(True)
-    for c in P5:
-        fin = fin & X.finite(c)
-    return _round(faulty(spark, sf_dir).where(fin & (F.col("pz") > 0)).select(*P5))
+    return _round(coverage.common_valid(faulty(spark, sf_dir)).select(*P5))
+
+
+def native_coverage(spark, sf_dir):
+    return _round(coverage.native_coverage(faulty(spark, sf_dir)))
+
+
+def coverage_report(spark, sf_dir):
+    """Counts, reasons and key fingerprints of each arm and of all arms together, from one pass."""
+    keyed = table(spark, sf_dir, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS key", *(f"{sql.FAULTS[c]} AS {c}" for c in P5))
+    return coverage.domain_coverage(keyed, "key")
 
 
 def angles(spark, sf_dir):
     """Polar and azimuth angle; null where the direction is not defined."""
-    px, py, pz = (F.col(c) for c in P5[:3])
-    pt = F.hypot(px, py)
-    theta = F.when((pt != 0) | (pz != 0), F.atan2(pt, pz))
-    return _round(state_view(spark, sf_dir).select(theta.alias("theta"), F.when(pt == 0, F.lit(0.0)).otherwise(F.atan2(py, px)).alias("phi")))
+    return _round(state_view(spark, sf_dir).select(*(c.alias(n) for n, c in views.angles().items())))
 
 
 def energy(spark, sf_dir):
-    return _round(state_view(spark, sf_dir).select(F.sqrt(X.total([F.col(c) * F.col(c) for c in P5[:3]]) + MUON_MASS**2).alias("energy")))
+    return _round(state_view(spark, sf_dir).select(views.energy().alias("energy")))
 
 
 def score_momentum(spark, sf_dir, scale: float = 50.0):
     """Placeholder score p / (p + scale) of no physical meaning."""
-    p = F.sqrt(X.total([F.col(c) * F.col(c) for c in P5[:3]]))
-    return _round(state_view(spark, sf_dir).select((p / (p + scale)).alias("score")))
+    return _round(state_view(spark, sf_dir).select(views.momentum_score(scale).alias("score")))
+
+
+def pipeline_roundtrip(spark, sf_dir):
+    """Standardized features of a fitted pipeline, and the physical columns that its checked inverse gives back."""
+    pipe = views.FeaturePipeline("logpz", 2.0).fit(train_state(spark, sf_dir))
+    there = pipe.transform(state_view(spark, sf_dir)).select(*(f"z_{n}" for n in X.VIEWS["logpz"]))
+    return _round(pipe.inverse(there).select(*P5))
 
 
 _SLOPE = "px / pz AS tx, py / pz AS ty, ln(pz) AS log_pz, x, y"
@@ -166,7 +175,7 @@ def _rounds(cells, source=STATE_SQL):
 
 _FIN = " AND ".join(map(sql.ok, P5))
 QUERIES = {"view_identity": _view("identity"), "view_logpz": _view("logpz", 2.0), "view_slope": _view("slope")} | {
-    f.__name__: f for f in (view_roundtrip, view_logjac, pipeline_fit, standardize_view, physical_log_prob, pipeline_log_prob, banana_roundtrip, skew_roundtrip, skew_logjac, composed_logjac, domain_coverage, common_valid, angles, energy, score_momentum)
+    f.__name__: f for f in (view_roundtrip, view_logjac, pipeline_fit, standardize_view, physical_log_prob, pipeline_log_prob, banana_roundtrip, skew_roundtrip, skew_logjac, composed_logjac, domain_coverage, common_valid, native_coverage, coverage_report, angles, energy, score_momentum, pipeline_roundtrip)
 }
 _U = f"(px / {_B['scale_px']!r})"
 ORACLE_SQL = {
@@ -185,6 +194,13 @@ ORACLE_SQL = {
     "composed_logjac": _rounds({"log_jacobian": _lnjac(unbent(targets.D4_BANANA), -1)}),
     "domain_coverage": " UNION ALL ".join(f"SELECT '{v}' AS view, count(*) AS n_rows, count_if({_FIN})::BIGINT AS n_finite, count_if({_FIN}{'' if v == 'identity' else ' AND pz > 0'})::BIGINT AS n_valid, count_if({_FIN} AND pz > 0)::BIGINT AS n_common FROM {sql.FAULTY_SQL}" for v in X.VIEWS),
     "common_valid": _rounds({c: c for c in P5}, f"{sql.FAULTY_SQL} WHERE {_FIN} AND pz > 0"),
+    "native_coverage": " UNION ALL ".join(f"SELECT '{v}' AS arm, count(*) AS n_rows, count_if({_FIN}{'' if v == 'identity' else ' AND pz > 0'})::BIGINT AS n_valid, round(count_if({_FIN}{'' if v == 'identity' else ' AND pz > 0'}) / count(*), 6) AS coverage FROM {sql.FAULTY_SQL}" for v in X.VIEWS),
+    "coverage_report": f"""WITH f AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, {', '.join(f'{sql.FAULTS[c]} AS {c}' for c in P5)} FROM lineitem),
+k AS (SELECT ('0x' || substr(md5(key), 1, 15))::BIGINT AS code, CASE WHEN NOT ({_FIN}) THEN 'nonfinite' END AS a, CASE WHEN NOT ({_FIN}) THEN 'nonfinite' WHEN pz <= 0 THEN 'pz_not_positive' END AS b FROM f),
+r AS (SELECT code, 'identity' AS arm, a AS reason FROM k UNION ALL SELECT code, 'logpz', b FROM k UNION ALL SELECT code, 'slope', b FROM k UNION ALL SELECT code, 'common', CASE WHEN b IS NOT NULL THEN 'outside an arm' END FROM k),
+g AS (SELECT arm, NULL::BOOLEAN AS valid, NULL::VARCHAR AS reason, code FROM r UNION ALL SELECT arm, reason IS NULL, NULL, code FROM r UNION ALL SELECT arm, false, reason, code FROM r WHERE reason IS NOT NULL)
+SELECT arm, valid, reason, count(*) AS n, sha256(count(*) || '|' || sum(code)::VARCHAR) AS fingerprint FROM g GROUP BY ALL""",
+    "pipeline_roundtrip": _rounds({c: c for c in P5}),
     "angles": _rounds({"theta": "atan2(sqrt(px * px + py * py), pz)", "phi": "CASE WHEN px = 0 AND py = 0 THEN 0 ELSE atan2(py, px) END"}),
     "energy": _rounds({"energy": f"sqrt(px * px + py * py + pz * pz + {MUON_MASS**2!r})"}),
     "score_momentum": _rounds({"score": "sqrt(px * px + py * py + pz * pz) / (sqrt(px * px + py * py + pz * pz) + 50)"}),

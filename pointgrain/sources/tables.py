@@ -69,9 +69,3 @@ def read_state(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """Typed scan of stored state rows; the schema is given, never inferred."""
     reader = spark.read.schema(STATE_SCHEMA)
     return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
-
-
-def state_from_arrays(df: DataFrame, column: str = "v") -> DataFrame:
-    """State rows from an array column; rows whose array has not 8 cells come back as nulls."""
-    ok = F.size(column) == len(STATE_COLUMNS)
-    return df.select(*(F.when(ok, F.col(column)[i]).cast("double").alias(c) for i, c in enumerate(STATE_COLUMNS)))
