@@ -15,7 +15,7 @@ from pointgrain.llm.common import bound, fresh, packed, row_hash, saved, table,
 
 #: Share of an entity's information content that a term may reveal before it is generalised.
 DISCLOSURE = 0.9
-#: Different contexts of an entity in whose texts a term must stand; copies of one text are one context.
+#: Different texts, with the entity in different contexts, in which a term must stand with it.
 SUPPORT = 3
 #: Characters on either side of an entity that tell its contexts apart, and the least length of a term.
 REACH, TERM_LENGTH = 80, 3
@@ -142,62 +142,74 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     terms, kind 4).
 
     The patterns run once; what they find is checkpointed with the words of the texts that have base spans, which are
-    all that can stand with an entity. A second scan counts in how many texts each candidate term stands, a third marks
-    the terms that tell in the texts that hold one. Equal texts have equal spans, so a text's hash finds them.
+    all that can stand with an entity. A second scan, where there are candidate terms, notes which text holds which, and a
+    third marks the terms that tell in the texts that hold one. Equal texts have equal spans, so a text's hash finds them.
+
+    All counts are of different texts: copies count once, and so does an entity that a text names many times. Terms of
+    an entity need SUPPORT different texts in which the entity stands in different contexts and the term stands too, so
+    an entity of one text, or of near copies that name it alike, discloses nothing.
 
     Defined cases: null and empty texts have no spans; rows may repeat and each is judged alone; a term that overlaps
     a base span is none; an entity in every text has no information content and no disclosing terms; very long texts are
     read whole; an empty table gives no rows; input columns named base or terms are replaced, and all others travel in
     one struct, so no name of theirs can clash."""
     kept = [c for c in df.columns if c != text and c.lower() not in ("base", "terms")]
-    row, body, code, said, named, of, marked = "row", "body", "code", "said", "named", "of", "marked"
-    read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias(body))
-    read = read.withColumns({"full": base_matches(F.col(body)), code: F.xxhash64(body)})
+    none = F.array().cast(SPAN)
+    read = df.select(packed(df, kept).alias("own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    read = read.withColumns({"full": base_matches(F.col("body")), "code": F.xxhash64("body")})
     some, spots = F.size("full") > 0, F.transform("full", lambda x: x.dropFields("value"))
-    said_here = F.when(some, words_outside(F.col(body), F.col("full"))).otherwise(F.array().cast("array<string>"))
-    read = read.withColumns({"base": spots, named: F.when(some, mentions(F.col(body), F.col("full"))), said: said_here})
-    rows = saved(read.drop(body, "full"))
+    read = read.withColumns({"base": spots, "named": F.when(some, mentions(F.col("body"), F.col("full"))), "said": F.when(some, words_outside(F.col("body"), F.col("full")))})
+    rows = saved(read.select("own", "code", "base", "named", "said"))
+    bare, own = rows.select("own", "code", "base"), [F.col("own")[c].alias(c) for c in kept]
 
     def clear(base):
         return lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
 
-    single = rows.where(F.size("base") > 0).select(F.col(row).alias("row"), F.col(said).alias("words"), F.explode(named).alias("m")).select("row", "words", "m.value", "m.context")
-
-    n_rows = rows.count()
-    # A term has no more contexts than its entity, so entities of few contexts are out before words are paired.
-    entity = single.groupBy("value").agg(F.count_distinct("row").alias("n_value"), F.count_distinct("context").alias("n_contexts"))
-    entity = saved(entity.where((F.col("n_contexts") >= SUPPORT) & (F.col("n_value") < n_rows)).drop("n_contexts"))
-    some = F.broadcast(entity) if entity.count() <= MAX_BROADCAST else entity
-    beyond = single.join(some, "value").select("row", "value", "context", "n_value", F.explode("words").alias("term"))
-    pairs = beyond.groupBy("value", "term", "n_value").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both")).where(F.col("contexts") >= SUPPORT)
-    held = F.log(F.lit(float(n_rows)) / F.col("n_value"))
-
-    def tells(n_term: str):
-        return (held > 0) & (F.log(F.lit(float(n_rows)) * F.col("n_both") / (F.col("n_value") * F.col(n_term))) >= DISCLOSURE * held)
-
-    # A term stands in at least as many texts as it stands with any entity in, which bounds what it tells: common words
-    # are out before the corpus is searched for them.
-    beside = rows.select(F.explode(said).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
-    pairs = saved(pairs.join(beside, "term").where(tells("n_beside")))
+    # From here on a text counts once, however many copies it has, and an entity once in a text, in the least of its
+    # contexts there.
+    n_texts = rows.agg(F.count_distinct("code")).first()[0]
+    texts = saved(rows.where(F.size("base") > 0).groupBy("code").agg(F.first("named").alias("named"), F.first("said").alias("said")))
+    mentioned = texts.select("code", F.explode("named").alias("m")).groupBy("code", "m.value").agg(F.min("m.context").alias("context"))
+    entity = mentioned.groupBy("value").agg(F.count("*").alias("n_value"), F.count_distinct("context").alias("n_contexts"))
+    entity = saved(entity.where((F.col("n_contexts") >= SUPPORT) & (F.col("n_value") < n_texts)).drop("n_contexts"))
+    n_entities = entity.count()
+    if not n_entities:
+        return bare.select(*own, "base", none.alias("terms"))
+    known = F.broadcast(entity) if n_entities <= MAX_BROADCAST else entity
+    held = F.log(F.lit(float(n_texts)) / F.col("n_value"))
+
+    def tells(n_both: str, n_term: str):
+        return (held > 0) & (F.log(F.lit(float(n_texts)) * F.col(n_both) / (F.col("n_value") * F.col(n_term))) >= DISCLOSURE * held)
+
+    # A term stands in at least as many texts as it stands with any entity in, and with an entity in no more than the entity
+    # does: both bound what it tells, so rare and common words are out before they are paired with entities.
+    words = texts.select("code", F.explode("said").alias("term"))
+    beside = words.groupBy("term").agg(F.count("*").alias("n_beside")).where(F.col("n_beside") >= SUPPORT)
+    beyond = mentioned.join(known, "value").join(words.join(beside, "term"), "code").where(tells("n_value", "n_beside"))
+    pairs = beyond.groupBy("value", "term", "n_value", "n_beside").agg(F.count_distinct("context").alias("contexts"), F.count("*").alias("n_both"))
+    pairs = saved(pairs.where((F.col("contexts") >= SUPPORT) & tells("n_both", "n_beside")))
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return bare.select(*own, "base", none.alias("terms"))
     wanted = pairs.select("term").distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= MAX_BROADCAST else wanted
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RUN), F.lit(0)))
-    spread = df.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = saved(pairs.join(spread, "term").where(tells("n_term")).select("term").distinct())
-    n_telling, none = telling.count(), F.array().cast(SPAN)
-    bare = rows.drop(row, named, said)
+    wanted = F.broadcast(wanted) if n_pairs <= MAX_BROADCAST else wanted
+    bodies = df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")).withColumn("code", F.xxhash64("body"))
+    held_words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD_RUN), F.lit(0)))
+    # Which text holds which candidate: this table serves both to count the candidates and to find the texts of those that tell.
+    stands = saved(bodies.select("code", F.explode(held_words).alias("term")).join(wanted, "term", "left_semi").distinct())
+    spread = stands.groupBy("term").agg(F.count("*").alias("n_term"))
+    telling = saved(pairs.join(spread, "term").where(tells("n_both", "n_term")).select("term").distinct())
+    n_telling = telling.count()
     if not n_telling:
-        return bare.select(*(F.col("own")[c].alias(c) for c in kept), "base", none.alias("terms"))
+        return bare.select(*own, "base", none.alias("terms"))
     telling = F.broadcast(telling) if n_telling <= MAX_BROADCAST else telling
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("code", F.xxhash64("body"))
-    held_words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD_RUN), F.lit(0)))
-    holds = saved(texts.select("code", F.explode(held_words).alias("term")).join(telling, "term", "left_semi").groupBy("code").agg(F.collect_set("term").alias("its")))
+    holds = saved(stands.join(telling, "term", "left_semi").groupBy("code").agg(F.collect_set("term").alias("its")))
     holders = F.broadcast(holds) if holds.count() <= MAX_BROADCAST else holds
     # Places are sought only in texts that hold a term.
     places = spans(F.col("body"), WORD_RUN, lambda m: F.array_contains("its", F.lower(m)), len(KINDS))
-    found = texts.join(holders, "code").select(F.col("code").alias(of), places.alias(marked)).groupBy(of).agg(F.first(marked).alias(marked))
-    terms = F.filter(F.coalesce(F.col(marked), none), clear(F.col("base")))
-    return bare.join(found, F.col(code) == F.col(of), "left").select(*(F.col("own")[c].alias(c) for c in kept), "base", terms.alias("terms"))
+    found = bodies.join(holders, "code").select(F.col("code").alias("of"), places.alias("marked")).groupBy("of").agg(F.first("marked").alias("marked"))
+    terms = F.filter(F.coalesce("marked", none), clear(F.col("base")))
+    return bare.join(found, F.col("code") == F.col("of"), "left").select(*own, "base", terms.alias("terms"))
 
 
 def listed(found: Column) -> Column:
@@ -234,8 +246,8 @@ def sanitised(df: DataFrame, text: str = "text") -> DataFrame:
     # Equal rows have equal spans, so one of them tells for all.
     found = found.groupBy(of).agg(F.first(spots).alias(spots))
     joined = df.withColumn(mark, row_hash(df)).join(found, F.col(mark) == F.col(of), "left")
-    new = F.when(F.col(spots).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(spots)))
-    return joined.withColumn(text, new).select(*df.columns)
+    new = F.when(F.col(spots).isNull(), F.col(f"`{text}`")).otherwise(redacted(F.col(f"`{text}`"), F.col(spots)))
+    return joined.withColumn(text, new).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op7_pii(spark, sf_dir):
