@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bounded_batches, packed, saved, table
+from pointgrain.llm.common import bounded_batches, packed, row_hash, saved, table
 
 #: Most frequent tokens that tasks know by heart; the counts of all others come by a join.
 HEAD = 1 << 18
@@ -173,7 +173,7 @@ def count_tokens(df: DataFrame, text: str) -> DataFrame:
                     held.clear()
         yield rows()
 
-    return df.select(text).mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return df.select(F.col(f"`{text}`")).mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def frequent_tokens(counts: DataFrame) -> tuple[bytes, np.ndarray]:
@@ -193,16 +193,34 @@ def frequent_tokens(counts: DataFrame) -> tuple[bytes, np.ndarray]:
 
 
 def encoded(texts: DataFrame, words: bytes) -> DataFrame:
-    """Column ids: the texts as runs of ids, 4 bytes a token. They are checkpointed, so that every later pass over the
-    training texts reads these in place of the texts."""
+    """Columns ids and seeds: texts (columns body and code, a hash of the row) as runs of ids, 4 bytes a token, and the codes
+    of a run's texts, 8 bytes each. They are checkpointed, so that every later pass over the training texts reads these in
+    place of the texts."""
 
     def runs(batches):
         index = indexed(words)
         for batch in batches:
-            made = [encode(some, index)[0].tobytes() for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
+            codes, lo, made = batch.column(1).to_numpy(), 0, []
+            for some in pieces_of(batch.column(0).cast(pa.binary()).to_pylist()):
+                made.append((encode(some, index)[0].tobytes(), codes[lo : lo + len(some)].tobytes()))
+                lo += len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.binary()) for i in (0, 1)], ["ids", "seeds"])
+
+    return saved(texts.mapInArrow(runs, "ids binary, seeds binary"))
+
 
-    return saved(texts.mapInArrow(runs, "ids binary"))
+def random_places(ids: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers for each place of a run but the first three: each a hash of its row's code and its place in its
+    text, so that they are the same however texts are dealt out, and copies of a text under other keys have others."""
+    over = ids == END
+    text = np.cumsum(over) - over
+    starts = np.concatenate([[0], np.flatnonzero(over) + 1])
+    z = seeds[text] + (np.arange(len(ids)) - starts[text]).astype(np.uint64) * np.uint64(ODD[0])
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(odd)
+    z = z[3:] ^ (z[3:] >> np.uint64(31))
+    unit = np.float32(1 / (1 << 24))
+    return (z >> np.uint64(40)).astype(np.float32) * unit, (z >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.float32) * unit
 
 
 def learn_classes(ids: DataFrame, words: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +270,8 @@ def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bia
     task counts both for its texts, the expected outcome of a place drawn from the model as it stands (a first model
     has classes by their shares, which needs no draw), and a shuffle adds the counts up. An update moves a weight by a
     share of the log of their ratio (generalised iterative scaling), which needs no step size of its own for rare
-    features. Draws are seeded by the texts, so that reruns agree."""
+    features. Draws hang on a text's row and the place in it, and counts are whole numbers, so neither reruns nor another
+    dealing of the texts change the weights."""
     spark, wide = ids.sparkSession, CLASSES + LEAVES
     seen, weights, inner = np.zeros((size, wide), np.float32), np.zeros((size, CLASSES), np.float32), np.zeros((size, LEAVES), np.float32)
     leaf_shares = np.exp(inner_bias)
@@ -266,8 +285,9 @@ def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bia
         def sums(batches, turn=turn, held=held):
             counts, (outer, within) = np.zeros((2 - min(turn, 1), size * wide), np.int32), held.value
             for batch in batches:
-                for run in batch.column(0).to_pylist():
-                    array, random = np.frombuffer(run, np.int32), np.random.default_rng(zlib.crc32(run))
+                for run, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    array = np.frombuffer(run, np.int32)
+                    first, second = random_places(array, np.frombuffer(codes, np.uint64))
                     of, leaf, hashed = class_of[array[3:]], leaf_of[array[3:]], hashes(array, class_of)
                     places = np.flatnonzero(of >= 0)
                     for lo in range(0, len(places), CHUNK >> 2):
@@ -275,10 +295,10 @@ def learn_weights(ids: DataFrame, class_of: np.ndarray, leaf_of: np.ndarray, bia
                         k, several = of[at], of[at] != END_CLASS
                         rows, inside = rows_at(hashed, at, k, size)
                         if turn:
-                            outcome = drawn(np.exp(exponents(rows, outer, bias)), random.random(len(at), np.float32))
-                            leaves = drawn(np.exp(exponents(inside, within, inner_bias[k])), random.random(len(at), np.float32))
+                            outcome = drawn(np.exp(exponents(rows, outer, bias)), first[at])
+                            leaves = drawn(np.exp(exponents(inside, within, inner_bias[k])), second[at])
                         else:  # there are no weights yet: leaves are drawn by their bias, and classes need no draw
-                            outcome, leaves = k, drawn(leaf_shares[k], random.random(len(at), np.float32))
+                            outcome, leaves = k, drawn(leaf_shares[k], second[at])
                             for r in inside:
                                 np.add.at(counts[1], (r * wide + CLASSES + leaf[at])[several], np.int32(1))
                         for r in rows:
@@ -319,7 +339,7 @@ def train(df: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     words, of_words = frequent_tokens(counts)
     n, types = stats[0] + n_texts, stats[1] + (n_texts > 0)
     size = table_rows(n)
-    ids = encoded(df.select(text), words).coalesce(max(PARTS, -(-n // (PART_TOKENS * size))))
+    ids = encoded(df.select(F.col(f"`{text}`").alias("body"), row_hash(df).alias("code")), words).coalesce(max(PARTS, -(-n // (PART_TOKENS * size))))
     class_of, leaf_of = learn_classes(ids, words, of_words)
 
     def by_leaf(batches):
