@@ -17,6 +17,8 @@ EPOCHS = 3
 CHUNK = 4096
 #: Sources whose cumulative targets are held as one array; those of more are a joined table.
 MAX_SOURCES = 100_000
+#: Slots that a join with whole rows broadcasts, at most (some 30 bytes each).
+MAX_BROADCAST = 500_000
 #: Cells of the unit interval in that join, at most.
 MAX_CELLS = 1 << 20
 
@@ -166,16 +168,24 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1
 
 def mixed_rows(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
     """The mix in whole rows: a row comes once for each copy whose middle word lies in a scheduled block, so 0 to
-    EPOCHS times, with the columns of df. The schedule holds all blocks up to a source's target, so the rows need no
-    join with the slots.
+    EPOCHS times, with the columns of df. A copy has the slot of the block that its middle word lies in, and rows are dealt
+    out and sorted by slot: a partition is a stretch of the schedule, and sources take turns in it as the schedule says.
+    Slots are broadcast up to MAX_BROADCAST of them and joined beyond.
 
     Defined cases: rows without words are left out; a very long row counts by its middle word; equal rows are
     interchangeable; an empty table gives no rows; no name of a column can clash."""
-    placed, _ = placed_rows(df, df.columns, source, text, seed, None)
+    placed, slots = placed_rows(df, df.columns, source, text, seed, None)
     limit = F.round("target").cast("long")
     copy = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     middle = F.col("starts") + F.col("copy") * F.col("source_size") + F.floor(F.col("size") / 2)
-    return placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).select(*given_back(df.columns))
+    copies = placed.where(F.col("size") > 0).withColumn("copy", copy).where(middle < limit).withColumn("at_rank", F.floor(middle / F.col("block")))
+    slots = saved(slots.select("slot", F.col("source_no").alias("of_source"), F.col("rank").alias("of_rank")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_slots, bounds = slots.agg(F.count("*"), F.percentile_approx("slot", [i / parts for i in range(parts)], 8 * parts)).first()
+    slots = F.broadcast(slots) if n_slots <= MAX_BROADCAST else slots
+    turns = copies.join(slots, (F.col("source_no") == F.col("of_source")) & (F.col("at_rank") == F.col("of_rank")))
+    dealt = turns.withColumn("part", search(sorted(set(bounds or []))[1:], F.col("slot"))).repartitionById(parts, "part")
+    return dealt.sortWithinPartitions("slot", "ordinal", "copy").select(*given_back(df.columns))
 
 
 def op4_mixing(spark, sf_dir):
