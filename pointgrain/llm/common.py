@@ -64,6 +64,22 @@ def packed(df: DataFrame, names: Sequence[str] | None = None) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in chosen)) if chosen else F.struct(F.lit(True).alias("none"))
 
 
+def named(names: Sequence[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in names]
+
+
+def unpacked(names: Sequence[str], struct: str = "own") -> list[Column]:
+    """The columns that packed has put into a struct."""
+    return [F.col(struct)[c].alias(c) for c in names]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own outputs replace columns of the same name."""
     clash = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import ascii_lower, bound, fresh, packed, row_hash, saved, table, walk, without
+from pointgrain.llm.common import ascii_lower, bound, fresh, named, packed, row_hash, saved, table, walk, without
 
 #: Words of a window; an item of fewer words is one window of all its words.
 WINDOW = 10
@@ -136,7 +136,7 @@ def without_spans(df: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     runs = bound(F.col(pieces), lambda p: F.transform(ranges, lambda x: F.slice(p, x["s"], x["e"] - x["s"])))
     tail = F.regexp_extract(whole, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     cut = F.when(F.col("n_hit") == 0, F.col(whole)).otherwise(F.concat(F.array_join(F.flatten(runs), ""), tail))
-    return found.withColumn(pieces, split).withColumn(text, cut).select(*df.columns)
+    return found.withColumn(pieces, split).withColumn(text, cut).select(*named(df.columns))
 
 
 def op5_decontamination(spark, sf_dir):

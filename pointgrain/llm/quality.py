@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bounded_batches, fresh, saved, table, without
+from pointgrain.llm.common import bounded_batches, packed, saved, table, unpacked, without
 
 #: Common words of a language: its most frequent, each with at least this share of its words.
 TOP_WORDS, LEAST_SHARE = 60, 0.002
@@ -131,16 +131,16 @@ def judge(df: DataFrame, refs: dict, lang: str = "lang", text: str = "text") ->
     """The columns of df other than the text, with the base counts, base_failed, char_distance, word_distance (null
     where a guard holds) and kept.
 
-    Defined cases: null and empty texts have no words and fail the base rule; a null or unknown language, or one with
+    Defined cases: null and empty texts have no words and fail the base rule; very long ones are judged whole; a null or unknown language, or one with
     a small reference, is judged by the base rule alone; rows may repeat; an empty table gives no rows; input columns
-    named as an output are replaced."""
+    named as an output are replaced, and all others travel in one
+    struct, so no name of theirs can clash."""
     bounded_batches(df.sparkSession)
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    (of,) = fresh(df, "of")
-    df = without(df.withColumn(of, F.col(lang).cast("string")), *outputs)
-    kept = [c for c in df.columns if c not in (text, of)]
+    kept = [c for c in without(df, *outputs).columns if c != text]
+    rows = df.select(packed(df, kept).alias("own"), F.col(f"`{lang}`").cast("string").alias("of"), F.col(f"`{text}`").alias("body"))
     types = [*["long"] * 5, "boolean", "double", "double", "boolean"]
-    schema = df.select(*kept).withColumns({n: F.lit(None).cast(t) for n, t in zip(outputs, types, strict=True)}).schema
+    schema = rows.select("own").withColumns({n: F.lit(None).cast(t) for n, t in zip(outputs, types, strict=True)}).schema
     arrow = [*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def verdict(language: str | None, value: str | None) -> tuple:
@@ -162,12 +162,11 @@ def judge(df: DataFrame, refs: dict, lang: str = "lang", text: str = "text") ->
 
     def judged(batches):
         for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c))
-            rows = [verdict(*x) for x in zip(column(of).to_pylist(), column(text).to_pylist(), strict=True)]
-            values = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*map(column, kept), *values], [*kept, *outputs])
+            found = [verdict(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            values = [pa.array([r[i] for r in found], t) for i, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["own", *outputs])
 
-    return df.mapInArrow(judged, schema)
+    return rows.mapInArrow(judged, schema).select(*unpacked(kept), *outputs)
 
 
 def op9_quality(spark, sf_dir):

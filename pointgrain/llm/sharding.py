@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bucket_count, fresh, row_hash, search, table, without
+from pointgrain.llm.common import bucket_count, fresh, named, row_hash, search, table, without
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
 
     Defined cases: a null text has size 1; null keys come first; equal keys are ordered by a hash of the whole row,
     and a key that is null or fills a range alone is dealt over 256 hash ranges; equal rows are interchangeable; an
-    empty table gives no rows; a table with fewer rows than shards leaves shards empty; columns named as an output
+    empty table gives no rows; very long texts count their bytes; a table with fewer rows than shards leaves shards empty; columns named as an output
     are replaced, all other columns are kept."""
     spark = df.sparkSession
     df = without(df, "size", "start", "shard", "slot")
@@ -40,7 +40,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
     middle = (2 * start + F.col("size")).cast("double") / (2 * F.col(total)).cast("double")
     placed = placed.withColumns({"start": start, "shard": F.least(F.floor(middle * n_shards), F.lit(n_shards - 1)).cast("int"), row: F.col(rows_before) + F.col(row) - 1})
     firsts = placed.groupBy("shard").agg(F.min(row).alias(first))
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col(row) - F.col(first)).select(*df.columns, "size", "start", "shard", "slot")
+    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col(row) - F.col(first)).select(*named(df.columns), "size", "start", "shard", "slot")
 
 
 def op1_sharding(spark, sf_dir):

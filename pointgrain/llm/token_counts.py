@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bounded_batches, table, without
+from pointgrain.llm.common import bounded_batches, packed, table, unpacked, without
 
 SECTION_BREAK = "\n"
 
@@ -47,14 +47,14 @@ def count_sections(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
     The whole text is encoded once; the tokens' byte spans tile it, and sections tile it too, so a text's section
     counts sum up to its tokens. The vocabulary travels in a broadcast, so executors need no file.
 
-    Defined cases: a null or empty text has one empty section with no tokens; a closing separator opens no section;
+    Defined cases: a null or empty text has one empty section with no tokens; a very long one is encoded whole; a closing separator opens no section;
     rows may repeat; an empty table gives no rows; input columns named as an output are replaced."""
     spark = df.sparkSession
     bounded_batches(spark)
     outputs = ["section", "begin", "end", "n_tokens", "n_crossing", "doc_tokens"]
-    df = without(df, *outputs)
-    kept = [c for c in df.columns if c != text]
-    schema = df.select(*kept).withColumns({o: F.lit(0).cast("long") for o in outputs}).schema
+    kept = [c for c in without(df, *outputs).columns if c != text]
+    rows = df.select(packed(df, kept).alias("own"), F.col(f"`{text}`").alias("body"))
+    schema = rows.select("own").withColumns({o: F.lit(0).cast("long") for o in outputs}).schema
     held = spark.sparkContext.broadcast(ranks)  # a vocabulary: of fixed size
 
     def counted(batches):
@@ -65,8 +65,8 @@ def count_sections(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
         for token, rank in held.value.items():
             size_of[rank] = len(token)
         for batch in batches:
-            place, rows = [], []
-            for at, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+            place, found = [], []
+            for at, value in enumerate(batch.column(1).to_pylist()):
                 value = value or ""
                 parts = value.split(separator)
                 parts = [p + separator for p in parts[:-1]] + ([parts[-1]] if parts[-1] or len(parts) == 1 else [])
@@ -75,13 +75,12 @@ def count_sections(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
                 points = np.cumsum([0, *map(len, parts)])
                 tokens, crossing = attribute(lengths, edges) if len(lengths) else (np.zeros(len(parts), np.int64),) * 2
                 place.append(np.full(len(parts), at))
-                rows.append(np.stack([np.arange(len(parts)), points[:-1], points[1:], tokens, crossing, np.full(len(parts), len(lengths))]))
+                found.append(np.stack([np.arange(len(parts)), points[:-1], points[1:], tokens, crossing, np.full(len(parts), len(lengths))]))
             if place:
                 take = pa.array(np.concatenate(place))
-                columns = [batch.column(batch.schema.get_field_index(c)).take(take) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in np.concatenate(rows, 1))], [*kept, *outputs])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(pa.array(x) for x in np.concatenate(found, 1))], ["own", *outputs])
 
-    return df.mapInArrow(counted, schema)
+    return rows.mapInArrow(counted, schema).select(*unpacked(kept), *outputs)
 
 
 def op6_token_counts(spark, sf_dir, vocabulary: str | None = None):

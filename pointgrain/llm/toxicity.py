@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointgrain.llm.common import bounded_batches, fresh, saved, table, without
+from pointgrain.llm.common import bounded_batches, fresh, packed, saved, table, unpacked, without
 
 #: Labelled rows that the lexicon and the channel weights are fitted on, at most; a hash of the key picks them.
 MAX_TRAIN = 12_000
@@ -159,20 +159,23 @@ def learn_lexicon(train: DataFrame, text: str = "text", label: str = "toxic") ->
 def with_features(df: DataFrame, lexicon: dict[str, float], text: str, out: str = "features") -> DataFrame:
     """Adds the text's features and drops the text."""
     kept, heads = [c for c in df.columns if c != text], frozenset(s[:3] for s in lexicon)
-    schema = df.select(*kept).withColumn(out, F.array(F.lit(0.0))).schema
+    rows = df.select(packed(df, kept).alias("own"), F.col(f"`{text}`").alias("body"))
+    schema = rows.select("own").withColumn("found", F.array(F.lit(0.0))).schema
 
     def featured(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            values = pa.array([text_features(t, lexicon, heads) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), values], [*kept, out])
+            values = pa.array([text_features(t, lexicon, heads) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["own", "found"])
 
-    return df.mapInArrow(featured, schema)
+    return rows.mapInArrow(featured, schema).select(*unpacked(kept), F.col("found").alias(out))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[str, float], list[float], float]:
     """(lexicon, weights of the features, intercept), learned from at most MAX_TRAIN labelled rows; rows whose label is
-    null do not count, and a key with several labels has the largest. The sample's keys are broadcast."""
+    null do not count, and a key with several labels has the largest. The sample's keys are broadcast.
+
+    Defined cases: null texts count as empty; repeated rows count each; no labelled row, or labels of one kind only, give no
+    lexicon or weights of 0 and the labels' smoothed rate; other columns don't matter."""
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
     n = known.count()
@@ -192,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float], float], text: str = "text") -> DataFrame:
     """The columns of docs other than the text, with score: the probability that the text is toxic.
 
-    Defined cases: null and empty texts match nothing and get the score of a text without matches; rows may repeat; an
+    Defined cases: null and empty texts match nothing and get the score of a text without matches; very long ones are scored whole; rows may repeat; an
     empty table gives no rows; an input column named score or features is replaced."""
     lexicon, weights, intercept = model
     bounded_batches(docs.sparkSession)
@@ -203,7 +206,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float], float], t
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose score reaches THRESHOLD. The text is scored in a copy that the scoring consumes,
-    so the rows keep theirs without a join."""
+    so the rows keep theirs without a join.
+
+    Defined cases: as score; null texts have a score and stay where it is low; rows may repeat and each is judged alone; all
+    columns are kept, whatever their names; an empty table gives no rows."""
     model, (copy, own) = fit(docs, labels, key, text), fresh(docs, "copy", "own")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(own), F.col(text).alias(copy))
     return score(rows, model, copy).where(F.col("score") < THRESHOLD).select(f"{own}.*")
