@@ -51,14 +51,15 @@ def posterior(log_probs: Column) -> Column:
 
 def mean_posterior(df: DataFrame, log_probs: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mean posterior of each component, by group if columns are named: (component_id, mass)."""
-    spread = df.select(*by, F.posexplode(posterior(log_probs)).alias("component_id", "p"))
+    terms = df.select(*by, log_probs.alias("_terms"))  # a column of its own, so that it is written once
+    spread = terms.select(*by, F.posexplode(posterior(F.col("_terms"))).alias("component_id", "p"))
     return spread.groupBy(*by, "component_id").agg(F.avg("p").alias("mass"))
 
 
 def component_counts(df: DataFrame, log_probs: Column, by: Sequence[str] = ()) -> DataFrame:
     """Rows by most probable component, the first on ties."""
-    best = F.array_position(log_probs, F.array_max(log_probs)) - 1
-    return df.select(*by, best.cast("int").alias("component_id")).groupBy(*by, "component_id").agg(F.count("*").alias("n"))
+    best = F.array_position("_terms", F.array_max("_terms")) - 1
+    return df.select(*by, log_probs.alias("_terms")).select(*by, best.cast("int").alias("component_id")).groupBy(*by, "component_id").agg(F.count("*").alias("n"))
 
 
 def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str, floor: float = 1e-6) -> DataFrame:

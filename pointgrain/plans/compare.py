@@ -169,12 +169,13 @@ def nn_summary(spark, sf_dir):
 
 def evaluate_bundle(spark, sf_dir):
     """All metrics of the scored rows of one side against the other's as (metric, value), but for the two-sample test."""
-    post = density.posterior(T.by_id("id", lambda i: density.component_log_probs(D2, i)))
+    rows = _wide(spark, sf_dir).withColumn("terms", T.by_id("id", lambda i: density.component_log_probs(D2, i))).withColumn("post", density.posterior(F.col("terms")))
+    post = F.col("post")
     plan = evaluate.Plan(
         P5, log_weight=(F.col("log_p") - F.col("log_q")) / 100, weight="w", thresholds=THRESHOLDS, levels=(0.01, 0.99), posterior=post, n_components=2,
         inside=D5.region(13, T.state()), soft=F.get(post, F.lit(0)), rare=F.col("id") == 13, target_mass=0.01, atol=0.5,
     )
-    return _round(evaluate.evaluate(_wide(spark, sf_dir), F.col("side") == "F", plan), 5)
+    return _round(evaluate.evaluate(rows, F.col("side") == "F", plan), 5)
 
 
 def evaluate_classifier(spark, sf_dir):
