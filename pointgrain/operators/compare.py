@@ -151,15 +151,19 @@ def binomial_rates(df: DataFrame, group: Sequence[str], success: Column, level:
 
 
 def beta_share(x: float, a: float, b: float) -> float:
-    """Regularized incomplete beta function, by its continued fraction (Lentz's way): constant memory for any a and b."""
+    """Regularized incomplete beta function, by its continued fraction (Lentz's way): constant memory for any a and b. The
+    fraction needs some sqrt(max(a, b)) steps; a bound far above that turns a value that does not settle into an error."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
     if x > (a + 1) / (a + b + 2):
         return 1 - beta_share(1 - x, b, a)
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
     value, m = d, 0
+    most = 1000 + 20 * math.isqrt(int(max(a, b)) + 1)
     while m == 0 or abs(c * d - 1) > 1e-14:
         m += 1
+        if m > most:
+            raise ArithmeticError(f"the continued fraction does not settle at {x}, {a}, {b}")
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + term * d)
             c = 1 + term / c

@@ -19,7 +19,7 @@ def exact_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 #: Points of a cell that meet each other, at most; a cell of more is cut into SLICES at a time.
-CELL, SLICES = 1024, 16
+CELL, SLICES = 4096, 16
 #: Coordinates of more widths of a small cell than this are not told apart by cells.
 FAR = 1e9
 

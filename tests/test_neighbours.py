@@ -27,7 +27,7 @@ def families():
 
 
 @pytest.mark.parametrize("name", list(families()))
-@pytest.mark.parametrize("cell", [1024, 16])
+@pytest.mark.parametrize("cell", [4096, 16])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, name, cell):
     monkeypatch.setattr(dedup, "CELL", cell)
     points = families()[name].tolist()
