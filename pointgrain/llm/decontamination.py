@@ -12,8 +12,11 @@ WINDOW = 10
 #: A window set of at most so many rows is broadcast (some 200 bytes each); a larger one is joined by a shuffle. The same
 #: bound holds for the keys of contaminated rows.
 MAX_BROADCAST = 500_000
-#: Words of 64 bits in the bit table through which places are sifted before they are shuffled.
-SIFT = 1 << 20
+#: Words of 64 bits in the bit table through which places are sifted before they are shuffled: one for each SIFT_LOAD windows,
+#: so that a set bit is met by chance by one place in 16, and SIFT at most (some 20 bytes each).
+SIFT_LOAD, SIFT = 4, 1 << 22
+#: Parts over which the places of one window are dealt before a join by shuffle; the set goes to each.
+DEALT = 8
 #: Fixed value: a word is a run of digits, a to z and characters outside ASCII, after lower-casing A to Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,7 +44,8 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
 
     Each word position of a text, and position 0 that every row has, is a row inside one stage: its window's hash
     probes the set, a hash match is verified word by word, and a partial aggregate gathers a row's matches before the
-    one shuffle. A set too large to broadcast is joined by a shuffle of the places that a bit table of hashes lets pass.
+    one shuffle. With a set too large to broadcast the places that a bit table of hashes lets pass are shuffled, each with
+    its own window and the hash of its text alone; what is found for a text is joined back to its rows at the end.
 
     Defined cases: null, empty and wordless texts have no words and no hits; very long texts are read whole; repeated
     rows and items are judged alike; items without words or an empty item table hit nothing; an empty table gives no
@@ -49,8 +53,7 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     kept = [c for c in without(df, "n_words", "n_hit", "spans", "items").columns if c != text]
     windows = item_windows(items, item_id, text)
     size = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
-    lengths = sorted(r["length"] for r in size)
-    small = sum(r["n"] for r in size) <= MAX_BROADCAST
+    lengths, n_windows = sorted(r["length"] for r in size), sum(r["n"] for r in size)
     windows = windows.select(F.col("length").alias("of_length"), F.col("hash").alias("of_hash"), F.col("words").alias("of_words"), F.col("items").alias("of_items"))
     read = df.select(packed(df, kept).alias("own"), F.monotonically_increasing_id().alias("row"), tokens(F.col(f"`{text}`")).alias("all_words"))
     read = read.withColumns({"codes": F.transform("all_words", lambda w: F.xxhash64(w)), "n_words": F.size("all_words")})
@@ -61,36 +64,54 @@ def hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     code = F.when(inside, F.xxhash64(F.slice(F.col("codes"), start, F.col("length"))))
     probe = places.withColumn("probed", code)
     window = F.slice(F.col("all_words"), start, F.col("length"))
-    if not small:
-        # A bit table of the windows' hashes, of at most SIFT rows however many windows there are, is broadcast first: only
-        # places whose bit is set are shuffled. One of them takes its own window along, never its text's arrays, and places
-        # without a window get codes of their own, so that they do not meet in one task.
-        probe = probe.join(F.broadcast(sift(windows)), (sift_word("probed") == F.col("sift_word")) & (F.bit_get("sift_bits", sift_bit("probed")) == 1), "left")
-        probe = probe.where((F.col("at") == 0) | F.col("sift_word").isNotNull())
-        code = F.coalesce(F.col("probed"), F.xxhash64("row", "at"))
-        probe = probe.select("own", "row", "n_words", "at", "length", code.alias("probed"), window.alias("all_words"))
-        window = F.col("all_words")
+    if n_windows > MAX_BROADCAST:
+        return found_by_shuffle(read, probe.withColumn("window", window), windows, n_windows, kept)
     on = (F.col("probed") == F.col("of_hash")) & (F.col("length") == F.col("of_length")) & (window == F.col("of_words"))
-    found = probe.join(F.broadcast(windows) if small else windows, on, "left").where((F.col("at") == 0) | F.col("of_hash").isNotNull())
+    found = probe.join(F.broadcast(windows), on, "left").where((F.col("at") == 0) | F.col("of_hash").isNotNull())
     hit = F.when(F.col("of_hash").isNotNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("length")).alias("e")))
     grouped = found.groupBy("row", "n_words").agg(F.first("own").alias("own"), F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("of_items"))).alias("items"))
-    grouped = grouped.withColumn("spans", merged("all_hits"))
+    return told(grouped, [F.col("own")[c].alias(c) for c in kept])
+
+
+def told(gathered: DataFrame, own: list[Column]) -> DataFrame:
+    """The results of rows whose all_hits (sorted) and items are gathered."""
+    spans = gathered.withColumn("spans", merged("all_hits"))
     n_hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long").alias("n_hit")
-    return grouped.select(*(F.col("own")[c].alias(c) for c in kept), "n_words", n_hit, "spans", "items")
+    return spans.select(*own, "n_words", n_hit, "spans", "items")
+
+
+def found_by_shuffle(read: DataFrame, probe: DataFrame, windows: DataFrame, n_windows: int, kept: list[str]) -> DataFrame:
+    """hits with a set of windows that is too large to broadcast. Equal texts have equal hits, so a text goes by its hash.
+
+    A bit table of the windows' hashes is broadcast first: only places whose bit is set are shuffled, each with its text's
+    hash and its own window. The places of one window are dealt over DEALT parts by their texts, and the set's windows go
+    to each, so that a window of very many documents is no group of its own. Only texts with hits come back."""
+    n_words = min(SIFT, 1 << max(10, (n_windows // SIFT_LOAD).bit_length()))
+    passed = probe.join(F.broadcast(sift(windows, n_words)), (sift_word("probed", n_words) == F.col("sift_word")) & (F.bit_get("sift_bits", sift_bit("probed")) == 1))
+    passed = passed.select(F.xxhash64("codes").alias("text"), "at", "length", "probed", "window").withColumn("deal", F.pmod("text", F.lit(DEALT)).cast("int"))
+    spread = windows.withColumn("of_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    same = (F.col("probed") == F.col("of_hash")) & (F.col("deal") == F.col("of_deal")) & (F.col("length") == F.col("of_length")) & (F.col("window") == F.col("of_words"))
+    hit = F.struct(F.col("at").alias("s"), (F.col("at") + F.col("length")).alias("e"))
+    found = passed.join(spread, same).groupBy("text").agg(F.array_sort(F.collect_set(hit)).alias("all_hits"), F.array_distinct(F.flatten(F.collect_set("of_items"))).alias("items"))
+    found = saved(found.withColumnRenamed("text", "of_text"))
+    few = F.broadcast(found) if found.count() <= MAX_BROADCAST // 10 else found
+    rows = read.select("own", "n_words", F.xxhash64("codes").alias("text")).join(few, F.col("text") == F.col("of_text"), "left")
+    none = {"all_hits": F.coalesce("all_hits", F.array().cast(STRETCHES)), "items": F.coalesce("items", F.array().cast(dict(found.dtypes)["items"]))}
+    return told(rows.withColumns(none), [F.col("own")[c].alias(c) for c in kept])
 
 
-def sift_word(code: str) -> Column:
-    return F.pmod(code, F.lit(SIFT))
+def sift_word(code: str, n_words: int) -> Column:
+    return F.pmod(code, F.lit(n_words))
 
 
 def sift_bit(code: str) -> Column:
-    return F.pmod(F.shiftrightunsigned(code, 20), F.lit(64)).cast("int")
+    return F.pmod(F.shiftrightunsigned(code, 30), F.lit(64)).cast("int")
 
 
-def sift(windows: DataFrame) -> DataFrame:
-    """(sift_word, sift_bits): a bit set for each window's hash, in at most SIFT rows."""
+def sift(windows: DataFrame, n_words: int) -> DataFrame:
+    """(sift_word, sift_bits): a bit set for each window's hash, in at most n_words rows."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), sift_bit("of_hash"))
-    return windows.groupBy(sift_word("of_hash").alias("sift_word")).agg(F.bit_or(one).alias("sift_bits"))
+    return windows.groupBy(sift_word("of_hash", n_words).alias("sift_word")).agg(F.bit_or(one).alias("sift_bits"))
 
 
 def merged(sorted_hits: str) -> Column:
@@ -125,7 +146,8 @@ def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", t
 
 def without_spans(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """df with the hit words, and the characters right before each of them, cut out of the texts; other texts stay as
-    they are. Rows are gathered with their texts, since the cut needs both. Defined cases: as hits; a null text stays."""
+    they are. With a set of windows that is broadcast rows are gathered with their texts, since the cut needs both. Defined
+    cases: as hits; a null text stays."""
     whole, pieces = fresh(df, "whole", "pieces")
     found = hits(df.withColumn(whole, F.col(text)), items, text)
     # A piece is a word with what stands before it; what follows the last word is kept.
