@@ -24,7 +24,7 @@ def quoted(text: Column) -> Column:
             letter = letter.when(u == unit, what)
         return letter.when((u >= "0020") & (u <= "007e"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), u))
 
-    plain = text.rlike(r'^[ !#-\[\]-~]*$')
+    plain = text.rlike(r'\A[ !#-\[\]-~]*\z')
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(cells, escaped), "")), F.lit('"'))
 
 

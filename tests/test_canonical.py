@@ -27,7 +27,7 @@ def texts(spark, rows, kind=KIND):
 def test_nested_rows(spark):
     rows = [
         {"b": 'q"\\/\n\t\b\f\r\x00\x7f é 世 😀', "a": {"z": 0.1, "y": [1, None, -3], "x y": True, "m": {"é": [{"q": 1e-7, "p": None}], "a": [], "B": None}}, "n": {"b": 1, "a": None, "é": 2, "\U0001f600": 3, "￿": 4}, "d": -0.0, "i": 7},
-        {"b": "", "a": None, "n": {}, "d": math.inf, "i": None}, {"b": None, "a": {"z": None, "y": None, "x y": None, "m": None}, "n": None, "d": None, "i": -1},
+        {"b": "line\r", "a": None, "n": {"end\n": 1, "": 2}, "d": math.inf, "i": None}, {"b": None, "a": {"z": None, "y": None, "x y": None, "m": None}, "n": None, "d": None, "i": -1},
     ]
     assert texts(spark, rows) == [dumped(r) for r in rows]
 
