@@ -32,14 +32,17 @@ FINEST = 10
 #: Whole documents are held against each other by their sets of five-word shingles, from this Jaccard similarity on.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits of a wide fingerprint. Sets of Jaccard similarity J differ in about acos(2J / (1 + J)) / pi of its
-#: bits, at 0.8 in 156 of 1024, give or take 11. Up to SURE bits a pair is similar, beyond WIDE_RADIUS it is not, and
-#: between them the sets decide: one pair in 1,000 at exactly 0.8 falls outside the two.
-WIDE_WORDS, SURE, WIDE_RADIUS = 16, 118, 192
+#: bits, at 0.8 in 156 of 1024, give or take 11, and small sets in 140 (of seven shingles and nine) to 192 (of four and
+#: five). Up to SURE bits a pair is similar, beyond WIDE_RADIUS it is not, and between them the sets decide: of pairs
+#: below 0.8 one in 10^13 at most has SURE bits or fewer, and of those from 0.8 on one in 10^12 at most has more than
+#: WIDE_RADIUS, but for sets of four and five with one in 3 * 10^6.
+WIDE_WORDS, SURE, WIDE_RADIUS = 16, 64, 256
 #: Owners of sets that are looked up by a broadcast, at most (some 60 bytes each); more are joined.
 MAX_BROADCAST = 200_000
-#: Texts that tell which shingles are common: at most so many, and at most this share of all. A shingle in COMMON of
-#: them is common; at most MAX_COMMON are known. Which ones are known moves work, never results.
-SAMPLE, SAMPLE_SHARE, COMMON, MAX_COMMON = 50_000, 16, 4, 200_000
+#: The shingles of all texts are counted in a table of cells, one at least for every CELL_BYTES of text, from PART of
+#: them to MAX_CELLS. A cell that COMMON shingles fall in, and CROWDED times as many as in the median cell of its part, is
+#: common, and so are its shingles. Which ones these are moves work, never results.
+CELL_BYTES, PART, MAX_CELLS, COMMON, CROWDED = 256, 1 << 12, 1 << 22, 64, 3
 
 
 def shingle_hashes(words: list[bytes], length: int, begin: int, end: int) -> np.ndarray:
@@ -246,19 +249,39 @@ def links(values: DataFrame, blocks: int) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Hashes of common shingles, sorted, from a bounded sample of the distinct texts (column body)."""
-    code = F.xxhash64("body")
-    share = min(1_000_000 // SAMPLE_SHARE, 1_000_000 * SAMPLE // max(1, texts.count()))
-    some = texts.where(F.pmod(code, F.lit(1_000_000)) < share).groupBy(code).agg(F.first("body").alias("body")).select("body")
-
-    def shingles(batches):
+    """Whether each cell is common, from the shingles of all texts (column body): a cell has the shingles whose lowest
+    bits are its number. Each task counts its texts' shingles by cell, and the counts of all tasks are summed by part of
+    the table; the driver gets a bit for each cell."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    cells = min(MAX_CELLS, max(PART, 1 << (size // CELL_BYTES).bit_length()))
+
+    def counted(batches):
+        counts, held, n = np.zeros(cells, np.int64), [], 0
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], ["h"])
-
-    counted = some.mapInArrow(shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    found = counted.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()  # MAX_COMMON rows at most
-    return np.sort(found.column("h").to_numpy().view(np.uint64))
+                held.append((shingle_set(t) & np.uint64(cells - 1)).astype(np.int64))
+                n += len(held[-1])
+                if n >= cells:
+                    counts += np.bincount(np.concatenate(held), minlength=cells)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=cells)
+        parts = [c.astype(np.min_scalar_type(c.max())) for c in counts.reshape(-1, PART)]
+        some = [i for i, c in enumerate(parts) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].itemsize for i in some], pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "width", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        counts = np.zeros(PART, np.int64)
+        for width, some in zip(group["width"].to_pylist(), group["counts"].to_pylist(), strict=True):
+            counts += np.frombuffer(some, f"u{width}").astype(np.int64)
+        bits = np.packbits(counts >= max(COMMON, CROWDED * np.median(counts)))
+        return pa.table({"part": group["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    parts = texts.mapInArrow(counted, "part int, width int, counts binary").groupBy("part").applyInArrow(summed, "part int, bits binary").toArrow()
+    common = np.zeros((cells // PART, PART // 8), np.uint8)
+    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        common[part] = np.frombuffer(bits, np.uint8)
+    return common.ravel()
 
 
 def sketched(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -268,10 +291,11 @@ def sketched(texts: DataFrame, common: np.ndarray) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches):
+        known = np.unpackbits(held.value).view(bool)
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) - (1 << 63) for x in sets], pa.int64())
-            blocks = pa.array([block_shingles(x, held.value) for x in sets], pa.list_(pa.int64()))
+            blocks = pa.array([block_shingles(x, x[known[x & np.uint64(len(known) - 1)]]) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(map(wide_fingerprint, sets), pa.binary()), blocks], schema.names)
 
     return texts.mapInArrow(sketch, schema)

@@ -219,6 +219,29 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, tile):
     check_near_copies(dict(rows), [r["doc_id"] for r in kept])
 
 
+def test_common_shingles_are_counted_in_all_texts(spark):
+    """Passages of long words that 66 texts each share are no block of theirs, whichever of the texts have them."""
+    rnd = np.random.default_rng(8)
+    passages = [" ".join(f"passage{x:012}" for x in rnd.integers(0, 10**9, 12)) for _ in range(10)]
+    texts = [" ".join([*(f"w{x}" for x in rnd.integers(0, 10**6, 60)), *passages[i // 66 : i // 66 + 1]]) for i in range(2000)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "its_key long, its_mark long, body string")
+    blocks = simhash.sketched(docs, simhash.common_shingles(docs.select("body"))).select("its_key", F.explode("blocks").alias("block"))
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] < 10
+    assert blocks.select("its_key").distinct().count() == len(texts)
+
+
+def test_small_sets_near_the_border(spark):
+    """Fingerprints of small sets are coarse: sets of seven shingles and nine have 140 different bits or so and are not
+    similar, sets of four and five have 192 and are."""
+    rnd, rows = np.random.default_rng(12), []
+    for i in range(300):
+        words = [f"w{x}" for x in rnd.integers(0, 10**6, 13)]
+        for n in (11, 13) if i % 2 else (8, 9):
+            rows.append((len(rows), " ".join(words[:n])))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_near_copies(dict(rows), [r["doc_id"] for r in kept])
+
+
 def test_links_of_a_crowded_key_are_whole(spark, monkeypatch):
     """A chain of fingerprints one bit apart and a dense ball, dealt over many tiles, come back as two components."""
     monkeypatch.setattr(simhash, "TILE", 16)
