@@ -55,8 +55,10 @@ def evaluate(df: DataFrame, is_p: Column, plan: Plan) -> DataFrame:
         cells = F.create_map(F.lit("p"), "q_p", F.lit("q"), "q_q", F.lit("abs_error"), "abs_error")
         parts.append(found.select(F.concat_ws(".", F.lit("tail"), "column", F.col("level").cast("string")).alias("at"), F.explode(cells).alias("what", "value")).select(F.concat_ws(".", "at", "what").alias("metric"), "value"))
     if plan.atol is not None:
-        parts.append(_long(dedup.exact_duplicates(q, plan.columns), "duplicates"))
-        parts.append(_long(dedup.near_duplicates(q, plan.columns, plan.atol).select("n_near"), "near_duplicates"))
+        found = dedup.duplicates(q, plan.columns, plan.atol)
+        doubles = all(t == "double" for _, t in q.select(*side).dtypes)
+        parts.append(_long(found.drop("n_near") if doubles else dedup.exact_duplicates(q, plan.columns), "duplicates"))
+        parts.append(_long(found.select("n_near"), "near_duplicates"))
     if plan.key is not None:
         found = compare.c2st(p, q, list(plan.columns), plan.key, plan.seed)
         parts.append(df.sparkSession.createDataFrame([(f"c2st.{k}", float(v)) for k, v in found.items()], "metric string, value double"))

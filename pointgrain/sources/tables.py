@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a table in columns to the shared folder, where it takes less room than a checkpoint, and
+    reads it from there. All its tables go at the end, so only results that are known by then may hang on them."""
+    at, number = f"{shared_folder(spark)}/scratch-{uuid4().hex}", count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = f"{at}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield kept
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def state_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State rows (8 columns) and `side`, derived from lineitem without a shuffle."""
     return table(spark, sf_dir, "lineitem").selectExpr(*_items(STATE_SELECT))
