@@ -23,8 +23,10 @@ def exact_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 CELL, SLICES = 4096, 16
 #: Coordinates of more widths of a small cell than this are not told apart by cells.
 FAR = 1e9
-#: Sides of the grid's cells in units of atol, and how often its borders may repeat a point on average.
-SIDES, REPEATS = (64, 48, 32, 24, 16, 12, 8, 6, 5, 4, 3), 8.0
+#: Sides of the grid's cells in units of atol, its columns at most, and how often its borders may repeat a point on average.
+SIDES, MOST, REPEATS = (64, 48, 32, 24, 16, 12, 8, 6, 5, 4, 3), 6, 8.0
+#: Where the grid may begin, as shares of its side: values that many points have should not lie at its borders.
+STARTS = [(i + 0.5) / 8 for i in range(8)]
 #: A cell of more than CROWD times CELL homes is parted further.
 CROWD = 4
 #: Points with their cells that go to all tasks, at most; more are shuffled.
@@ -79,26 +81,30 @@ def found(homes: DataFrame, points: DataFrame, names: Sequence[str], atol: float
 
     Points lie in the cells of a grid, each in one; homes go to every cell that reaches to within atol of them, and both
     meet in a join on the cell. Few homes go to all tasks, so points are not shuffled; else both are, once. The grid is
-    over the columns and of the side that repeat homes least for about half of CELL points a cell. It becomes finer while
-    there are cells of more than CROWD times CELL homes; what it can't part is cut by a tree (see dealt). Cells of more
-    points than CELL are dealt into tiles."""
+    over the columns and of the side that repeat homes least for about half of CELL points a cell, and begins in each column
+    where the fewest homes reach over a border. It becomes finer while there are cells of more than CROWD times CELL homes;
+    what it can't part is cut by a tree (see dealt). Cells of more points than CELL are dealt into tiles."""
     reach = atol * (1 + 1e-9)
-    slices = homes.agg(*(F.approx_count_distinct(F.floor(F.col(n) / (4 * atol))) for n in names)).first()
-    needed = 2 * n_points / CELL
+    slices = dict(zip(names, homes.agg(*(F.approx_count_distinct(F.floor(F.col(n) / (4 * atol))) for n in names)).first(), strict=True))
+    choice = grid(slices, 2 * n_points / CELL)
     while True:
-        on, width, last = grid(dict(zip(names, slices, strict=True)), needed)
-        at = [F.floor(F.col(n) / (width * atol)) for n in on]
-        others = points.withColumn("cell", F.xxhash64(*at))
+        on, width, cells = choice
+        cell = lambda v, start: F.floor(v / (width * atol) + start)  # noqa: B023, E731
+        crossed = [F.avg((cell(F.col(n) - reach, s) != cell(F.col(n) + reach, s)).cast("double")) for n in on for s in STARTS]
+        shares = list(homes.agg(*crossed).first())
+        starts = [min(zip(shares[i : i + len(STARTS)], STARTS, strict=True))[1] for i in range(0, len(shares), len(STARTS))]
+        others = points.withColumn("cell", F.xxhash64(*(cell(F.col(n), s) for n, s in zip(on, starts, strict=True))))
         asked = homes
-        for i, n in enumerate(on):
-            asked = asked.withColumn(f"at{i}", F.explode(F.sequence(F.floor((F.col(n) - reach) / (width * atol)), F.floor((F.col(n) + reach) / (width * atol)))))
+        for i, (n, s) in enumerate(zip(on, starts, strict=True)):
+            asked = asked.withColumn(f"at{i}", F.explode(F.sequence(cell(F.col(n) - reach, s), cell(F.col(n) + reach, s))))
         asked = asked.select("home", *names, F.xxhash64(*(f"at{i}" for i in range(len(on)))).alias("cell"))
         sizes = asked.select("cell", F.lit(1).alias("h")).unionByName(others.select("cell", F.lit(0).alias("h"))).groupBy("cell").agg(F.sum("h").alias("homes"), F.sum(1 - F.col("h")).alias("n"))
         crowded = kept(sizes.where((F.col("n") > CELL) & (F.col("homes") > 0)))
         heavy = crowded.where(F.col("homes") > CROWD * CELL).select("cell")
-        if last or heavy.isEmpty():
+        finer = grid(slices, 8 * cells)
+        if finer == choice or heavy.isEmpty():
             break
-        needed *= 8
+        choice = finer
     hits = []
     if not heavy.isEmpty():
         inside = asked.join(heavy, "cell", "left_semi").select("home", *names).distinct()
@@ -120,19 +126,19 @@ def found(homes: DataFrame, points: DataFrame, names: Sequence[str], atol: float
     return reduce(DataFrame.unionByName, hits).distinct().count()
 
 
-def grid(slices: dict[str, int], needed: float) -> tuple[list[str], int, bool]:
-    """Columns and side (in units of atol) of the grid that repeats points least among those of needed cells or more, and
-    whether none has more cells. slices: how many slices of 4 atol hold points, by column."""
+def grid(slices: dict[str, int], needed: float) -> tuple[list[str], int, float]:
+    """Columns, side (in units of atol) and cells of the grid that repeats points least among those of needed cells or
+    more, or else of that with the most cells. slices: how many slices of 4 atol hold points, by column."""
     order = sorted(slices, key=lambda n: -slices[n])
     choices = []
     for width in SIDES:
-        for k in range(1, len(order) + 1):
+        for k in range(1, min(len(order), MOST) + 1):
             repeats = (1 + 2 / width) ** k
             if repeats <= REPEATS:
                 choices.append((math.prod(1 + (slices[n] - 1) * 4 / width for n in order[:k]), repeats, k, width))
     most = max(choices, key=lambda c: (c[0], -c[1]))
-    _, _, k, width = min((c for c in choices if c[0] >= needed), key=lambda c: c[1], default=most)
-    return order[:k], width, needed >= most[0]
+    cells, _, k, width = min((c for c in choices if c[0] >= needed), key=lambda c: c[1], default=most)
+    return order[:k], width, cells
 
 
 def dealt(homes: DataFrame, others: DataFrame, names: Sequence[str], atol: float, kept=saved) -> DataFrame:

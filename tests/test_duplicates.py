@@ -67,13 +67,26 @@ def test_packed_cells_are_told_apart(spark):
 
 
 def test_grid_takes_the_columns_that_part_points():
-    on, width, last = dedup.grid({"a": 2, "b": 50, "c": 1, "d": 100}, 500)
-    assert on == ["d", "b"] and not last and (1 + 99 * 4 / width) * (1 + 49 * 4 / width) >= 500
-    on, width, last = dedup.grid({"a": 1, "b": 1}, 1e9)
-    assert last and len(on) == 1
+    on, width, cells = dedup.grid({"a": 2, "b": 50, "c": 1, "d": 100}, 500)
+    assert on == ["d", "b"] and (1 + 99 * 4 / width) * (1 + 49 * 4 / width) == pytest.approx(cells) and cells >= 500
+    on, width, cells = dedup.grid({"a": 1, "b": 1}, 1e9)
+    assert cells == 1 and len(on) == 1
     for k in (1, 5, 50):
         on, width, _ = dedup.grid({f"c{i}": 1000 for i in range(k)}, 1e30)
-        assert (1 + 2 / width) ** len(on) <= dedup.REPEATS
+        assert (1 + 2 / width) ** len(on) <= dedup.REPEATS and len(on) <= dedup.MOST
+
+
+@pytest.mark.parametrize("at", [0.0, 1.0])
+def test_values_that_most_points_have_are_not_at_borders(spark, monkeypatch, at):
+    """Columns that are all but constant: were that value at a border, each point would go to two cells a column."""
+    monkeypatch.setattr(dedup, "CELL", 16)
+    n, sent = 800, []
+    df = spark.range(n).select((F.col("id") * 0.3).alias("a"), *(F.when(F.col("id") % 40 == i, F.lit(float(i + 3))).otherwise(F.lit(at)).alias(f"b{i}") for i in range(6)))
+    frame = type(df)
+    count = frame.count
+    monkeypatch.setattr(frame, "count", lambda self: sent.append((self.columns, count(self))) or sent[-1][1])
+    assert dedup.near_duplicates(df, df.columns, 0.1).first()[:] == (n, 0)
+    assert max(x for c, x in sent if "cell" in c) < 2 * n
 
 
 def test_exact_duplicates_of_the_bundle_keep_their_type(spark):
